@@ -53,7 +53,7 @@ part("nav", """
 SELECT symbol AS strategy_id, date,
        1000000 * exp(sum(ln(1 + r)) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING)) AS equity
 FROM (SELECT symbol, date,
-             coalesce(greatest(-0.03, least(0.03, (close / lag(close) OVER (PARTITION BY symbol ORDER BY date) - 1) / 50)), 0) AS r
+             coalesce(greatest(-0.03, least(0.03, CASE WHEN lag(close) OVER (PARTITION BY symbol ORDER BY date) IS NOT NULL THEN ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY date)) / 50 ELSE 0 END)), 0) AS r
       FROM type_bars)""")
 
 part("quarterly", """

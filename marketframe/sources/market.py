@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from marketframe.functions.timeseries import clip
 from marketframe.operators.panel import complete_panel, number_sessions
 
 # The allocation universe of six part types.
@@ -157,8 +158,8 @@ class Market:
     def nav(self) -> DataFrame:
         """Candidate curves: compounded, bounded daily returns of each part type."""
         w = Window.partitionBy("symbol").orderBy("date")
-        r = F.col("close") / F.lag("close").over(w) - 1
-        bounded = F.coalesce(F.greatest(F.lit(-0.03), F.least(F.lit(0.03), r / 50)), F.lit(0.0))
+        r = F.ln(F.col("close") / F.lag("close").over(w)) / 50
+        bounded = F.coalesce(clip(r, -0.03, 0.03), F.lit(0.0))
         return (
             self.bars("p_type").select("symbol", "date", bounded.alias("r"))
             .select(
