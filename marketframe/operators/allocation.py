@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marketframe.functions.timeseries import YEAR_SESSIONS, flag, forward_fill, holds, rolling_count, ts_mean
-from marketframe.operators.selection import top_n_capped
+from marketframe.session import cut_lineage
 
 # Largest share of each asset class, of one asset, and of all equity.
 GROUP_CAPS = {
@@ -235,6 +235,7 @@ def adaptive_weights(
     w = mixing.join(groups, ["date", "bucket"]).select(
         F.lit(strategy).alias("strategy_id"), "date", "session_no", "symbol", "bucket",
         F.least(F.col("mixing") * F.col("allocation"), F.lit(ASSET_CAP)).alias("weight"))
+    w = cut_lineage(w)  # used by the risk estimate and by the result
     risk = portfolio_risk(w, returns, window).select(*DAY, "risk")
     scale = F.least(F.lit(1.0), target / F.greatest("risk", F.lit(1e-12)))
     return w.join(risk, DAY, "left").withColumn("scale", scale).withColumn("weight", F.col("weight") * F.coalesce("scale", F.lit(1.0)))
@@ -273,39 +274,41 @@ def rolling_pairs(returns: DataFrame, symbols: list[str], window: int, needed: i
 
 def rotation_weights(
     scores: DataFrame, assets: DataFrame, returns: DataFrame, sessions: DataFrame, *, top_n: int, max_asset: float,
-    max_group: float, cash_buffer: float, window: int, target: float, bond_trend: DataFrame,
+    max_group: float, cash_buffer: float, window: int, target: float,
 ) -> DataFrame:
     """Picks per sleeve with class limits, averaged, bonds filled in, then the shrunk ceiling.
 
-    ``scores`` has one row per family, sleeve, symbol and date with ``allowed``;
-    ``bond_trend`` has ``fill`` per symbol and date.
+    ``scores`` has one row per family, sleeve, symbol and date. Ranking, sizing, class
+    limits and the bond fill are windows inside one (family, date) partition, so the
+    scores are shuffled once.
     """
     day = ["family", "date"]
     per_group = max(1, -int(-(top_n * max_group) // 1))
-    s = scores.join(assets.select("symbol", "bucket", "position"), "symbol")
-    sleeves = s.groupBy("family").agg(F.count_distinct("sleeve").alias("sleeves"))
-    picks = top_n_capped(s.where(F.col("allowed") & (F.col("bucket") != "bond")), "score", "bucket", per_group, top_n,
-                         [*day, "sleeve"], ["position"])
+    bond = F.col("bucket") == "bond"
+    s = scores.join(assets.select("symbol", "bucket", "position"), "symbol").repartition(*day)
+    s = s.withColumn("_c", F.col("allowed") & ~bond & F.col("score").isNotNull())
+    best = [F.desc("score"), "position"]
+    s = s.withColumn("_g", F.row_number().over(Window.partitionBy(*day, "sleeve", "bucket", "_c").orderBy(*best)))
+    s = s.withColumn("_c", F.col("_c") & (F.col("_g") <= per_group))
+    s = s.withColumn("_r", F.row_number().over(Window.partitionBy(*day, "sleeve", "_c").orderBy(*best)))
+    picked = F.col("_c") & (F.col("_r") <= top_n)
     raw = F.when(F.col("family") == "dual", 1.0).otherwise(1 / F.greatest("vol", F.lit(0.08)))
-    whole = Window.partitionBy(*day, "sleeve")
-    picks = picks.withColumn("raw", raw).withColumn(
-        "w", F.least(F.col("raw") / F.sum("raw").over(whole) * (1 - cash_buffer), F.lit(max_asset)))
-    total = F.sum("w").over(Window.partitionBy(*day, "sleeve", "bucket"))
-    picks = picks.withColumn("w", F.when(total > max_group, F.col("w") * max_group / total).otherwise(F.col("w")))
-    mean = picks.join(sleeves, "family").groupBy(*day, "symbol").agg(F.sum(F.col("w") / F.col("sleeves")).alias("weight"))
-    risky = mean.groupBy(*day).agg(F.sum("weight").alias("risky"))
-    live = scores.where("eligible").select(*day).distinct()
-    bonds = (
-        bond_trend.where("fill").join(assets.where("bucket = 'bond'").select("symbol", "position"), "symbol")
-        .join(live, "date").join(risky, day, "left")
-        .withColumn("room", F.greatest(F.lit(0.0), 1 - cash_buffer - F.coalesce("risky", F.lit(0.0))))
-    )
-    earlier = (F.row_number().over(Window.partitionBy(*day).orderBy("position")) - 1) * max_asset
-    added = F.least(F.lit(max_asset), F.greatest(F.lit(0.0), F.col("room") - earlier))
-    filled = bonds.select(*day, "symbol", added.alias("weight"))
-    w = mean.unionByName(filled).groupBy(*day, "symbol").agg(F.sum("weight").alias("weight")).where("weight > 0")
-    w = w.withColumnRenamed("family", "strategy_id").join(sessions, "date")
-    return shrunk_ceiling(w, returns, window, target, 0.25)
+    s = s.withColumn("_raw", F.when(picked, raw))
+    share = F.col("_raw") / F.sum("_raw").over(Window.partitionBy(*day, "sleeve"))
+    s = s.withColumn("_w", F.least(share * (1 - cash_buffer), F.when(picked, F.lit(max_asset))))
+    total = F.sum("_w").over(Window.partitionBy(*day, "sleeve", "bucket"))
+    s = s.withColumn("_w", F.when(total > max_group, F.col("_w") * max_group / total).otherwise(F.col("_w")))
+    fill = bond & F.col("eligible") & (F.col("trend60") > 0)
+    mean = s.groupBy(*day, "symbol").agg(
+        (F.coalesce(F.sum("_w"), F.lit(0.0)) / F.count_distinct("sleeve")).alias("weight"),
+        F.max(F.coalesce(fill, F.lit(False))).alias("_fill"), F.first("position").alias("position"))
+    whole = Window.partitionBy(*day)
+    room = F.greatest(F.lit(0.0), 1 - cash_buffer - F.sum("weight").over(whole))
+    earlier = (F.row_number().over(Window.partitionBy(*day, "_fill").orderBy("position")) - 1) * max_asset
+    added = F.when(F.col("_fill"), F.least(F.lit(max_asset), F.greatest(F.lit(0.0), room - earlier))).otherwise(0.0)
+    w = mean.withColumn("weight", F.col("weight") + added).where("weight > 0").select(
+        F.col("family").alias("strategy_id"), "date", "symbol", "weight").join(sessions, "date")
+    return shrunk_ceiling(cut_lineage(w), returns, window, target, 0.25)
 
 
 def shrunk_ceiling(weights: DataFrame, returns: DataFrame, window: int, target: float, shrinkage: float) -> DataFrame:

@@ -35,15 +35,15 @@ def number_sessions(dates: DataFrame) -> DataFrame:
 
 
 def calendar_grid(symbols: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Every symbol on every session, as an equi-join over years.
+    """Every symbol (or other key) on every session, as an equi-join over years.
 
-    Each symbol emits the calendar's years and meets the sessions of a year, so the
-    grid spreads over (symbol, year) and needs no cross join.
+    Each key emits the calendar's years and meets the sessions of a year, so the
+    grid spreads over (key, year) and needs no cross join.
     """
     first = sessions.agg(F.min(F.year("date"))).scalar()
     last = sessions.agg(F.max(F.year("date"))).scalar()
-    by_year = symbols.select("symbol", F.explode(F.sequence(first, last)).alias("year"))
-    return by_year.join(sessions.withColumn("year", F.year("date")), "year").drop("year")
+    by_year = symbols.withColumn("_year", F.explode(F.sequence(first, last)))
+    return by_year.join(sessions.withColumn("_year", F.year("date")), "_year").drop("_year")
 
 
 def complete_panel(bars: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -124,11 +124,13 @@ def trend_vote(x: Column, windows: tuple[int, ...], strict: bool = False) -> Col
     return sum(votes[1:], votes[0]) / len(windows)
 
 
-def stock_eligibility(max_lot_price: float | None, min_amount: float) -> Column:
+def stock_eligibility(
+    max_lot_price: float | None, min_amount: float, observed: int = 253, window: int = 270, amount_days: int = 15
+) -> Column:
     """Stock rule: 253 of 270 sessions observed, liquid, affordable, traded and quoted today."""
     price = F.col("close") * F.col("adj_factor")
-    ok = holds(rolling_count(price, 270) >= 253)
-    ok &= holds(rolling_mean(F.col("amount"), 20, 15) >= min_amount)
+    ok = holds(rolling_count(price, window) >= observed)
+    ok &= holds(rolling_mean(F.col("amount"), 20, amount_days) >= min_amount)
     ok &= holds(F.col("volume") > 0) & price.isNotNull()
     return ok if max_lot_price is None else ok & holds(F.col("close") * 100 <= max_lot_price)
 
@@ -204,3 +206,10 @@ def relative_strength(scores: DataFrame, benchmark: str, columns: list[str]) ->
     parts = [F.col(c) - F.col(f"_b_{c}") for c in columns]
     joined = scores.join(base, "date")
     return joined.withColumn("relative", sum(parts[1:], parts[0]) / len(parts)).drop(*[f"_b_{c}" for c in columns])
+
+
+def seasoned_since(bars: DataFrame, n: int) -> DataFrame:
+    """Date of each symbol's n-th bar (its last one if there are fewer) and the latest of these."""
+    place = F.row_number().over(by_symbol())
+    per = bars.select("symbol", "date", place.alias("_k")).where(F.col("_k") <= n).groupBy("symbol").agg(F.max("date").alias("date"))
+    return per.withColumn("all_seasoned", per.agg(F.max("date")).scalar())

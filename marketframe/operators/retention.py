@@ -8,6 +8,7 @@ of the themed universe, both bounded by the fund list and the calendar.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def retention_picks(candidates: DataFrame, returns: DataFrame, entry_count: int = 2, retain_rank: int = 5,
@@ -46,5 +47,7 @@ def retention_picks(candidates: DataFrame, returns: DataFrame, entry_count: int
             rows += [(key[0], date, k, s) for k, s in enumerate(picked, 1)]
         return pd.DataFrame(rows, columns=["variant", "date", "place", "symbol"])
 
-    return candidates.groupBy("variant").cogroup(returns.groupBy("variant")).applyInPandas(
+    # both sides may come from one panel: fresh names keep them apart
+    history = returns.select(*[F.col(c).alias(c) for c in ("variant", "session_no", "symbol", "ret")])
+    return candidates.groupBy("variant").cogroup(history.groupBy("variant")).applyInPandas(
         walk, "variant string, date date, place int, symbol string")

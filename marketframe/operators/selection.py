@@ -87,3 +87,16 @@ def stitch_by_year(rows: DataFrame, chosen: DataFrame, fallback: str) -> DataFra
     """Follow each year's chosen candidate; years without a choice follow the fallback."""
     tagged = rows.withColumn("year", F.year("date")).join(chosen, "year", "left")
     return tagged.where(F.col("strategy_id") == F.coalesce("chosen", F.lit(fallback))).drop("year", "chosen")
+
+
+def reduction_test(rows: DataFrame, base: str, cagr: float = 0.002, sharpe: float = 0.03, drawdown: float = 0.01, reduction: float = 0.20) -> DataFrame:
+    """Candidates within tolerance of the base in every capital size that trade enough less."""
+    b = rows.where(F.col("model") == base).select(
+        "capital", F.col("trades").alias("b_trades"), F.col("cagr").alias("b_cagr"), F.col("sharpe").alias("b_sharpe"), F.col("max_drawdown").alias("b_dd"))
+    ok = (
+        (F.col("cagr") >= F.col("b_cagr") - cagr) & (F.col("sharpe") >= F.col("b_sharpe") - sharpe)
+        & (F.col("max_drawdown") >= F.col("b_dd") - drawdown))
+    g = rows.where(F.col("model") != base).join(b, "capital").groupBy("model").agg(
+        F.bool_and(ok).alias("_ok"), F.avg(1 - F.col("trades") / F.col("b_trades")).alias("mean_trade_reduction"))
+    return g.select("model", F.col("_ok").cast("int").alias("tolerances"), "mean_trade_reduction",
+                    (F.col("_ok") & (F.col("mean_trade_reduction") >= reduction)).cast("int").alias("eligible"))

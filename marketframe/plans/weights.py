@@ -11,6 +11,7 @@ from marketframe.operators import allocation as A, panel as P, selection, xsecti
 from marketframe.plans.crosssection import brand_scores, rotation_features
 from marketframe.plans.pointintime import PEPB
 from marketframe.plans.registry import frame, lag, part, query, roll
+from marketframe.session import cut_lineage
 from marketframe.sources.market import TYPE_ASSETS, Market
 
 MIN_AMOUNT = 50000
@@ -112,7 +113,7 @@ def class_assets(m: Market) -> DataFrame:
 def mixing(m: Market) -> DataFrame:
     def build():
         p = P.mark_prices(m.adjusted("p_type")).withColumn("trend", P.trend_vote(F.col("close"), (5, 10)))
-        return A.group_mixing(p, class_assets(m), P.fixed_eligibility(240, MIN_AMOUNT), WINDOW, 240)
+        return cut_lineage(A.group_mixing(p, class_assets(m), P.fixed_eligibility(240, MIN_AMOUNT), WINDOW, 240))
 
     return m._once("mixing", build)
 
@@ -251,10 +252,9 @@ ROTATED = f"""
 
 def rotated_weights(m: Market) -> DataFrame:
     f = rotation_features(m)
-    fill = f.select("symbol", "date", (F.col("eligible") & F.coalesce(F.col("trend60") > 0, F.lit(False))).alias("fill"))
     return A.rotation_weights(
         X.rotation_scores(f), m.type_assets, f.select("symbol", "date", "session_no", "ret"), m.sessions, top_n=3, max_asset=0.30,
-        max_group=0.25, cash_buffer=0.01, window=60, target=8.0, bond_trend=fill)
+        max_group=0.25, cash_buffer=0.01, window=60, target=8.0)
 
 
 @query("k08_rotation_allocation", ROTATED, floats="weight", dates="date")
@@ -455,10 +455,37 @@ def trained_mean(m):
 # --- ridge -----------------------------------------------------------------------------------
 
 
+RIDGE_GROUPS = ("p_type", "o_orderpriority", "l_returnflag", "o_orderstatus")
+for _k in RIDGE_GROUPS[1:]:
+    part(f"{_k}_bars", f"""
+SELECT symbol, date, (low + high) / 2 AS open, amount / volume AS close, volume, amount,
+       1 + 0.05 * floor((date_diff('day', DATE '1995-01-01', date) + 30 * length(symbol)) / 365.0) AS adj_factor
+FROM (SELECT {_k} AS symbol, date, min(l_extendedprice / l_quantity) AS low, max(l_extendedprice / l_quantity) AS high,
+             CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS amount, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS volume
+      FROM trades GROUP BY ALL)""")
+part("wide_bars", "SELECT symbol, date, open, close, volume, amount, adj_factor FROM type_bars UNION ALL " + " UNION ALL ".join(
+    f"SELECT * FROM {_k}_bars" for _k in RIDGE_GROUPS[1:]))
+part("wide_marked", """
+SELECT *, marked / lag(marked) OVER w - 1 AS ret, abs(marked - lag(marked) OVER w) AS move FROM (
+  SELECT *, last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING) AS marked FROM (
+    SELECT g.symbol, g.date, g.session_no, b.open * b.adj_factor / f.f0 AS open, b.close * b.adj_factor / f.f0 AS close, b.volume, b.amount
+    FROM (SELECT symbol, date, session_no FROM (SELECT DISTINCT symbol FROM wide_bars), sessions) g
+    JOIN (SELECT symbol, arg_min(adj_factor, date) AS f0 FROM wide_bars GROUP BY symbol) f USING (symbol)
+    LEFT JOIN wide_bars b ON b.symbol = g.symbol AND b.date = g.date)) WINDOW w AS (PARTITION BY symbol ORDER BY date)""")
+
+
+def wide_adjusted(m: Market) -> DataFrame:
+    """Seventeen dense symbols: part types, order priorities, return flags and order states."""
+    bars = m.bars(RIDGE_GROUPS[0])
+    for key in RIDGE_GROUPS[1:]:
+        bars = bars.unionByName(m.bars(key))
+    return P.complete_panel(P.rebase_to_first_factor(bars), m.sessions)
+
+
 def ridge_model(m: Market):
     from marketframe.operators import ridge as R
 
-    f = P.rotation_features(m.adjusted("p_type"), 60, 10000)
+    f = P.rotation_features(wide_adjusted(m), 60, 10000)
     samples = R.ridge_samples(f)
     rows = R.training_rows(samples, R.fit_dates(m.sessions, P.month_firsts(m.sessions)))
     return R, samples, rows, R.fit_moments(rows)
@@ -470,7 +497,7 @@ SELECT c.date AS fit_date, count(*) AS samples, max(s.i) AS last_i, avg(x1) AS m
     close IS NOT NULL AND seen >= 60 AND coalesce(a20 >= 10000, false) AND coalesce(volume > 0, false) AND vol IS NOT NULL AND mom252 IS NOT NULL AND trend120 IS NOT NULL AND efficiency IS NOT NULL AND drawdown IS NOT NULL AND downside IS NOT NULL AS valid
   FROM (SELECT *, ({roll('stddev_samp', 'ret', 60)}) * sqrt(252) AS vol, {roll('avg', 'loss2', 60)} AS downside, marked / {lag('marked', 21)} - 1 AS mom21, marked / {lag('marked', 252)} - 1 AS mom252,
       {roll('avg', 'marked', 120)} AS trend120, {roll('sum', 'move', 63)} AS efficiency, {roll('max', 'marked', 126)} AS drawdown, count(close) OVER {frame()} AS seen, {roll('avg', 'amount', 20)} AS a20
-    FROM (SELECT *, CASE WHEN ret IS NOT NULL THEN pow(least(ret, 0), 2) END AS loss2 FROM type_marked)) WINDOW w AS (PARTITION BY symbol ORDER BY date)) s
+    FROM (SELECT *, CASE WHEN ret IS NOT NULL THEN pow(least(ret, 0), 2) END AS loss2 FROM wide_marked)) WINDOW w AS (PARTITION BY symbol ORDER BY date)) s
 ON s.valid AND s.y IS NOT NULL AND s.i % 21 = 0 AND s.i >= greatest(0, c.session_no - 1 - 756) AND s.i < greatest(0, c.session_no - 1 - 21)
 GROUP BY c.date HAVING count(*) >= 150""")
 
