@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -105,54 +105,37 @@ def analyst_revision(pairs: DataFrame) -> DataFrame:
                     F.when(enough, F.col("_b")).alias("revision_breadth_63"), "paired_brokers", "analyst_available_at")
 
 
-def period_values(known: DataFrame, keys: list[str], fields: list[str], name: str) -> DataFrame:
-    """One map per key: period end → struct of fields (a stock has a few dozen periods)."""
-    entry = F.struct("end_date", F.struct(*fields).alias("v"))
-    return known.groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias(name))
+def by_quarter(keys: tuple[str, ...] = ("cutoff", "ts_code")) -> WindowSpec:
+    """One stock's periods as known at one cutoff, ordered by quarter number."""
+    return Window.partitionBy(*keys).orderBy(F.year("end_date") * 4 + F.quarter("end_date"))
 
 
-def at(book: str, period: Column, field: str) -> Column:
-    """Value of a field at a period, missing when the period is unknown."""
-    return F.try_element_at(F.col(book), period)[field]
+def quarters_before(x: Column, k: int) -> Column:
+    """Value exactly ``k`` quarters earlier, missing when that period is unknown."""
+    return F.first(x).over(by_quarter().rangeBetween(-k, -k))
 
 
-def ttm(book: str, period: Column, field: str) -> Column:
+def ttm(x: Column) -> Column:
     """Trailing twelve months: year to date + last full year - last year to date."""
-    current = at(book, period, field)
-    full = F.make_date(F.year(period) - 1, F.lit(12), F.lit(31))
-    rolled = current + at(book, full, field) - at(book, year_before(period), field)
-    return F.when(F.month(period) == 12, current).otherwise(rolled)
+    last_year = quarters_before(x, 4)
+    quarter = F.quarter("end_date")
+    full = F.when(quarter == 1, quarters_before(x, 1)).when(quarter == 2, quarters_before(x, 2)).otherwise(quarters_before(x, 3))
+    return F.when(quarter == 4, x).otherwise(x + full - last_year)
 
 
-def year_before(period: Column) -> Column:
-    return F.last_day(F.add_months(period, -12))
-
-
-def quarter_before(period: Column, k: int | Column = 1) -> Column:
-    return F.last_day(F.add_months(F.trunc(period, "MM"), -3 * k))
-
-
-def single_quarter(book: str, period: Column, field: str) -> Column:
+def single_quarter(x: Column) -> Column:
     """Quarter value from year-to-date figures; the first quarter stands as it is."""
-    current = at(book, period, field)
-    return F.when(F.month(period) == 3, current).otherwise(current - at(book, quarter_before(period), field))
+    return F.when(F.quarter("end_date") == 1, x).otherwise(x - quarters_before(x, 1))
 
 
-def seasonal_change(book: str, period: Column, field: str) -> Column:
-    return single_quarter(book, period, field) - single_quarter(book, year_before(period), field)
-
-
-def seasonal_surprise(book: str, period: Column, field: str = "n_income_attr_p") -> Column:
+def with_seasonal_surprise(known: DataFrame, field: str = "n_income_attr_p") -> DataFrame:
     """Year-on-year change of the quarter over the spread of its eight predecessors."""
-    past = F.filter(
-        F.array(*[seasonal_change(book, quarter_before(period, k), field) for k in range(1, 9)]),
-        lambda v: v.isNotNull(),
-    )
-    n = F.size(past)
-    mean = F.aggregate(past, F.lit(0.0), lambda a, v: a + v) / n
-    square = F.aggregate(past, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean))
-    spread = F.sqrt(square / (n - 1))
-    return F.when((n >= 6) & (spread > MIN_SURPRISE_SPREAD), seasonal_change(book, period, field) / spread)
+    q = known.withColumn("_q", single_quarter(F.col(field)))
+    d = q.withColumn("_d", F.col("_q") - quarters_before(F.col("_q"), 4))
+    past = by_quarter().rangeBetween(-8, -1)
+    d = d.withColumns({"_n": F.count("_d").over(past), "_sd": F.stddev_samp("_d").over(past)})
+    sue = F.when((F.col("_n") >= 6) & (F.col("_sd") > MIN_SURPRISE_SPREAD), F.col("_d") / F.col("_sd"))
+    return d.withColumn("seasonal_sue", sue).drop("_q", "_d", "_n", "_sd")
 
 
 def financial_factors(income: DataFrame, cashflow: DataFrame, balance: DataFrame, cutoffs: DataFrame) -> DataFrame:
@@ -163,49 +146,42 @@ def financial_factors(income: DataFrame, cashflow: DataFrame, balance: DataFrame
     """
     reach = 19 + 3 * 14
     keys = ["cutoff", "ts_code"]
-
-    def book(df, kind, extra=()):
-        known = known_versions(df, cutoffs.select("cutoff"), ["ts_code", "end_date"], reach)
-        return period_values(known, keys, [*KINDS[kind], "available_at", *extra], kind)
-
-    books = (
-        book(income, "income", ["comp_type"])
-        .join(book(cashflow, "cashflow"), keys, "left")
-        .join(book(balance, "balance"), keys, "left")
-    )
-    common = F.array_intersect(
-        F.array_intersect(F.map_keys("income"), F.map_keys("cashflow")), F.map_keys("balance"))
-    d = books.withColumns({"sue_period": F.array_max(F.map_keys("income")), "quality_period": F.array_max(common)})
-    s, q = F.col("sue_period"), F.col("quality_period")
-    day = F.col("cutoff").cast("date")
-    fresh = F.datediff(day, s) <= REPORT_AGE
-    assets = (at("balance", q, "total_assets") + at("balance", year_before(q), "total_assets")) / 2
-    d = d.withColumn("assets", assets)
-    usable = (F.datediff(day, q) <= REPORT_AGE) & (at("income", q, "comp_type") == "1") & (F.col("assets") > 0)
-    cash = ttm("cashflow", q, "n_cashflow_act")
-    profit = ttm("income", q, "n_income")
-    gross = ttm("income", q, "revenue") - ttm("income", q, "oper_cost")
-    capital = at("balance", q, "accounts_receiv") + at("balance", q, "inventories")
-    before = at("balance", year_before(q), "accounts_receiv") + at("balance", year_before(q), "inventories")
-    sales, old_sales = at("income", q, "revenue"), at("income", year_before(q), "revenue")
-    discipline = F.when((before > 0) & (old_sales > 0), -(capital / before - sales / old_sales))
-
-    def newest(name, period):
-        seen = F.filter(F.map_entries(name), lambda e: e["key"] <= period)
-        return F.array_max(F.transform(seen, lambda e: e["value"]["available_at"]))
-
-    return d.select(
-        "cutoff", "ts_code",
-        F.when(fresh, seasonal_surprise("income", s)).alias("seasonal_sue"),
-        F.when(fresh, s).alias("sue_period"),
-        F.when(fresh, newest("income", s)).alias("sue_available_at"),
-        F.when(usable, cash / F.col("assets")).alias("cash_profitability"),
-        F.when(usable, (cash - profit) / F.col("assets")).alias("negative_accruals"),
-        F.when(usable, gross / F.col("assets")).alias("gross_profitability"),
-        F.when(usable, discipline).alias("working_capital_discipline"),
-        F.when(usable, q).alias("quality_period"),
-        F.when(usable, F.greatest(newest("income", q), newest("cashflow", q), newest("balance", q))).alias("quality_available_at"),
-    )
+    running = by_quarter().rangeBetween(Window.unboundedPreceding, 0)
+
+    def known(df: DataFrame, name: str) -> DataFrame:
+        d = known_versions(df, cutoffs.select("cutoff"), ["ts_code", "end_date"], reach)
+        return d.withColumn(f"{name}_at", F.max("available_at").over(running))
+
+    capital = F.col("accounts_receiv") + F.col("inventories")
+    inc = with_seasonal_surprise(known(income, "income")).withColumns({
+        "profit": ttm(F.col("n_income")), "gross": ttm(F.col("revenue")) - ttm(F.col("oper_cost")),
+        "old_sales": quarters_before(F.col("revenue"), 4)})
+    cf = known(cashflow, "cashflow").withColumn("cash", ttm(F.col("n_cashflow_act")))
+    bs = known(balance, "balance").withColumns({
+        "assets": (F.col("total_assets") + quarters_before(F.col("total_assets"), 4)) / 2,
+        "capital": capital, "old_capital": quarters_before(F.col("accounts_receiv"), 4) + quarters_before(F.col("inventories"), 4)})
+    age = F.datediff(F.col("cutoff").cast("date"), "end_date")
+
+    latest = inc.groupBy(*keys).agg(F.max_by(F.struct("end_date", "seasonal_sue", "income_at"), "end_date").alias("s")).select(*keys, "s.*")
+    fresh = age <= REPORT_AGE
+    surprise = latest.select(*keys, F.when(fresh, F.col("seasonal_sue")).alias("seasonal_sue"), F.when(fresh, F.col("end_date")).alias("sue_period"),
+                             F.when(fresh, F.col("income_at")).alias("sue_available_at"))
+
+    period = [*keys, "end_date"]
+    common = inc.select(*period, "comp_type", "profit", "gross", "revenue", "old_sales", "income_at").join(
+        cf.select(*period, "cash", "cashflow_at"), period).join(
+        bs.select(*period, "assets", "capital", "old_capital", "balance_at"), period)
+    values = [c for c in common.columns if c not in keys]
+    best = common.groupBy(*keys).agg(F.max_by(F.struct(*values), "end_date").alias("q")).select(*keys, "q.*")
+    best = best.where((age <= REPORT_AGE) & (F.col("comp_type") == "1") & (F.col("assets") > 0))
+    discipline = F.when((F.col("old_capital") > 0) & (F.col("old_sales") > 0),
+                        -(F.col("capital") / F.col("old_capital") - F.col("revenue") / F.col("old_sales")))
+    quality = best.select(
+        *keys, (F.col("cash") / F.col("assets")).alias("cash_profitability"),
+        ((F.col("cash") - F.col("profit")) / F.col("assets")).alias("negative_accruals"),
+        (F.col("gross") / F.col("assets")).alias("gross_profitability"), discipline.alias("working_capital_discipline"),
+        F.col("end_date").alias("quality_period"), F.greatest("income_at", "cashflow_at", "balance_at").alias("quality_available_at"))
+    return surprise.join(quality, keys, "left")
 
 
 def disclosure_events(guidance: DataFrame, income: DataFrame) -> DataFrame:

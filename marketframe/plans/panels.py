@@ -49,25 +49,23 @@ LEFT JOIN (SELECT l.cutoff, l.ts_code, count(p.d) AS n, stddev_samp(p.d) AS v FR
   AND p.end_date < l.end_date AND p.end_date >= last_day(l.end_date - INTERVAL 24 MONTH) GROUP BY l.cutoff, l.ts_code) s ON s.cutoff = l.cutoff AND s.ts_code = l.ts_code""")
 
 
-def books(m: Market, kind: str) -> DataFrame:
-    known = asof.known_versions(prepared(m, kind), cutoffs(m).select("cutoff"), ["ts_code", "end_date"])
-    return G.period_values(known, ["cutoff", "ts_code"], [*G.KINDS[kind], "available_at"], kind)
+def known(m: Market, kind: str) -> DataFrame:
+    return asof.known_versions(prepared(m, kind), cutoffs(m).select("cutoff"), ["ts_code", "end_date"])
 
 
 @query("g03_trailing_twelve_months", "SELECT cutoff, ts_code, end_date, cash FROM ttm_values WHERE cash IS NOT NULL",
        floats="cash", dates="cutoff end_date", digits=1)
 def trailing_twelve_months(m):
-    b = books(m, "cashflow").withColumn("end_date", F.explode(F.map_keys("cashflow")))
-    return b.select("cutoff", "ts_code", "end_date", G.ttm("cashflow", F.col("end_date"), "n_cashflow_act").alias("cash")).where("cash IS NOT NULL")
+    return known(m, "cashflow").select("cutoff", "ts_code", "end_date", G.ttm(F.col("n_cashflow_act")).alias("cash")).where("cash IS NOT NULL")
 
 
 @query("g04_single_quarter", "SELECT cutoff, ts_code, end_date, q FROM quarter_values WHERE q IS NOT NULL", floats="q", dates="cutoff end_date", digits=1)
 def single_quarter(m):
-    b = books(m, "income").withColumn("end_date", F.explode(F.map_keys("income")))
-    return b.select("cutoff", "ts_code", "end_date", G.single_quarter("income", F.col("end_date"), "n_income_attr_p").alias("q")).where("q IS NOT NULL")
+    return known(m, "income").select("cutoff", "ts_code", "end_date", G.single_quarter(F.col("n_income_attr_p")).alias("q")).where("q IS NOT NULL")
 
 
 def financials(m: Market) -> DataFrame:
+    m.settle("statements", lambda: D.statements(m))  # read by all three statement kinds
     return G.financial_factors(prepared(m, "income"), prepared(m, "cashflow"), prepared(m, "balance"), cutoffs(m))
 
 
@@ -200,6 +198,8 @@ FROM (SELECT *, {_ranks} FROM factor_raw))""")
 
 def factor_panel(m: Market) -> DataFrame:
     """Month-first members with revision, surprise, quality, industry, size and price factors."""
+    m.settle(("bars", "p_brand"), lambda: m.bars("p_brand"))
+    m.settle("estimates", lambda: estimates(m))
     days = cutoffs(m).where("session_no > 63")
     base = pool(m).join(days.select("date", "cutoff"), "date")
     revision = G.analyst_revision(G.paired_estimates(estimates(m), revision_dates(m))).withColumnRenamed("ts_code", "symbol")

@@ -66,10 +66,10 @@ FROM trades GROUP BY ALL""")
 
 part("statements_once", """
 SELECT *, CAST(ann_date + CASE WHEN flag = 'N' THEN 2 ELSE 0 END AS DATE) AS f_ann_date,
-       revenue * 0.7::DOUBLE AS oper_cost, operate_profit - n_cashflow_act * 0.5::DOUBLE AS n_income,
-       (operate_profit - n_cashflow_act * 0.5::DOUBLE) * 0.9::DOUBLE AS n_income_attr_p,
-       (operate_profit - n_cashflow_act * 0.5::DOUBLE) / 1000000 AS basic_eps,
-       operate_profit - n_cashflow_act * 0.5::DOUBLE AS net_profit
+       revenue * 0.7::DOUBLE AS oper_cost, (operate_profit - n_cashflow_act * 0.5::DOUBLE) * 100 AS n_income,
+       (operate_profit - n_cashflow_act * 0.5::DOUBLE) * 100 * 0.9::DOUBLE AS n_income_attr_p,
+       (operate_profit - n_cashflow_act * 0.5::DOUBLE) * 100 / 1000000 AS basic_eps,
+       (operate_profit - n_cashflow_act * 0.5::DOUBLE) * 100 AS net_profit
 FROM (SELECT ts_code, end_date, flag, no,
         CAST(sum(rev) OVER y AS DOUBLE) AS revenue, CAST(sum(prof) OVER y AS DOUBLE) AS operate_profit,
         CAST(sum(cash) OVER y AS DOUBLE) AS n_cashflow_act, CAST(sum(units) OVER y AS DOUBLE) AS c_pay_acq_const_fiolta,

@@ -410,6 +410,7 @@ def known_balance(m):
 
 
 def surprises(m: Market) -> DataFrame:
+    m.settle("statements", lambda: D.statements(m))  # read by income, balance, guidance and express
     return m._once("surprises", lambda: G.disclosure_surprises(
         guidance(m), express(m), prepared(m, "income"), prepared(m, "balance")))
 

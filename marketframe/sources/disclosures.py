@@ -46,7 +46,7 @@ def statements(m: Market) -> DataFrame:
         )
         no = brand_number(F.col("ts_code"))
         lag = F.when(F.col("flag") == "R", 20 + no).when(F.col("flag") == "N", 60 + no).otherwise(F.lit(380))
-        income = F.col("operate_profit") - F.col("n_cashflow_act") * 0.5
+        income = (F.col("operate_profit") - F.col("n_cashflow_act") * 0.5) * 100
         d = d.select(
             "*",
             F.date_add("end_date", lag).alias("ann_date"),

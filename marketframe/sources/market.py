@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from marketframe.functions.timeseries import clip
 from marketframe.operators.panel import complete_panel, number_sessions
+from marketframe.session import cut_lineage
 
 # The allocation universe of six part types.
 TYPE_ASSETS = [
@@ -52,6 +53,13 @@ class Market:
             self._memo[key] = build()
         return self._memo[key]
 
+    def settle(self, key, build) -> DataFrame:
+        """Write a table once that several branches of a plan read again and again."""
+        settled = ("settled", key)
+        if settled not in self._memo:
+            self._memo[settled] = self._memo[key] = cut_lineage(build())
+        return self._memo[settled]
+
     # --- calendar ---------------------------------------------------------
 
     @cached_property
