@@ -19,8 +19,8 @@ PRIME, MULTIPLIER, RESAMPLE_STEP, BLOCK_STEP = 2147483647, 48271, 7919, 104729
 
 
 def block_start(seed: int, n: Column) -> Column:
-    """Start position in [0, n) of block ``b`` of resample ``k``."""
-    x = (F.col("k") * RESAMPLE_STEP + F.col("b") * BLOCK_STEP + seed) % PRIME
+    """Start position in [0, n) of block ``_b`` of resample ``_k``."""
+    x = (F.col("_k") * RESAMPLE_STEP + F.col("_b") * BLOCK_STEP + seed) % PRIME
     x = (x * MULTIPLIER) % PRIME
     x = (x * MULTIPLIER) % PRIME
     return x % n
@@ -30,40 +30,40 @@ def positions(values: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Number each curve's values from 0 and count them."""
     w = Window.partitionBy(*keys)
     return values.withColumns({
-        "p": (F.row_number().over(w.orderBy(order)) - 1).cast("bigint"),
-        "n": F.count(F.lit(1)).over(w),
+        "_p": (F.row_number().over(w.orderBy(order)) - 1).cast("bigint"),
+        "_n": F.count(F.lit(1)).over(w),
     })
 
 
 def block_sums(values: DataFrame, keys: list[str], columns: list[str], block: int) -> DataFrame:
     """For every start the sums of the next ``block`` values, going round at the end."""
-    head = values.where(F.col("p") < block - 1).withColumn("p", F.col("p") + F.col("n"))
-    w = Window.partitionBy(*keys).orderBy("p").rowsBetween(0, block - 1)
+    head = values.where(F.col("_p") < block - 1).withColumn("_p", F.col("_p") + F.col("_n"))
+    w = Window.partitionBy(*keys).orderBy("_p").rowsBetween(0, block - 1)
     around = values.unionByName(head)
-    return around.withColumns({c: F.sum(c).over(w) for c in columns}).where(F.col("p") < F.col("n"))
+    return around.withColumns({c: F.sum(c).over(w) for c in columns}).where(F.col("_p") < F.col("_n"))
 
 
 def resample(values: DataFrame, keys: list[str], columns: list[str], block: int, resamples: int, seed: int) -> DataFrame:
-    """Sums of ``columns`` per resample; ``values`` carries ``p`` and ``n``."""
-    sizes = values.groupBy(*keys).agg(F.max("n").alias("n"))
+    """Sums of ``columns`` per resample; ``values`` carries ``_p`` and ``_n``."""
+    sizes = values.groupBy(*keys).agg(F.max("_n").alias("_n"))
     draws = (
-        sizes.withColumn("blocks", F.ceil(F.col("n") / block).cast("bigint"))
-        .withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(resamples - 1).cast("bigint"))))
-        .withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-        .withColumn("p", block_start(seed, F.col("n")))
+        sizes.withColumn("_blocks", F.ceil(F.col("_n") / block).cast("bigint"))
+        .withColumn("_k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(resamples - 1).cast("bigint"))))
+        .withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1)))
+        .withColumn("_p", block_start(seed, F.col("_n")))
     )
-    rest = F.col("n") - (F.col("blocks") - 1) * block
-    whole = draws.where((F.col("b") < F.col("blocks") - 1) | (rest == block))
+    rest = F.col("_n") - (F.col("_blocks") - 1) * block
+    whole = draws.where((F.col("_b") < F.col("_blocks") - 1) | (rest == block))
     last = (
-        draws.where((F.col("b") == F.col("blocks") - 1) & (rest < block))
-        .withColumn("o", F.explode(F.sequence(F.lit(0).cast("bigint"), rest - 1)))
-        .withColumn("p", (F.col("p") + F.col("o")) % F.col("n"))
+        draws.where((F.col("_b") == F.col("_blocks") - 1) & (rest < block))
+        .withColumn("_o", F.explode(F.sequence(F.lit(0).cast("bigint"), rest - 1)))
+        .withColumn("_p", (F.col("_p") + F.col("_o")) % F.col("_n"))
     )
-    sums = block_sums(values.select(*keys, "p", "n", *columns), keys, columns, block).drop("n")
-    picked = whole.select(*keys, "k", "p", "n").join(sums, [*keys, "p"])
-    single = last.select(*keys, "k", "p", "n").join(values.select(*keys, "p", *columns), [*keys, "p"])
+    sums = block_sums(values.select(*keys, "_p", "_n", *columns), keys, columns, block).drop("_n")
+    picked = whole.select(*keys, "_k", "_p", "_n").join(sums, [*keys, "_p"])
+    single = last.select(*keys, "_k", "_p", "_n").join(values.select(*keys, "_p", *columns), [*keys, "_p"])
     picked = picked.unionByName(single)
-    return picked.groupBy(*keys, "k", "n").agg(*[F.sum(c).alias(c) for c in columns])
+    return picked.groupBy(*keys, "_k", "_n").agg(*[F.sum(c).alias(c) for c in columns])
 
 
 def _spread(total: str, squares: str, n: Column) -> Column:
@@ -82,9 +82,9 @@ def bootstrap_sharpe(returns: DataFrame, keys: list[str], rf: float = 0.02, resa
                      seed: int = 1729, order: str = "date") -> DataFrame:
     """2.5 %, 50 % and 97.5 % quantiles of the resampled Sharpe ratio; needs 252 returns."""
     r = F.col("ret")
-    v = positions(returns.where("ret IS NOT NULL").select(*keys, order, "ret"), keys, order).where(F.col("n") >= YEAR_SESSIONS)
-    s = resample(v.withColumn("sq", r * r), keys, ["ret", "sq"], block, resamples, seed)
-    n, sd = F.col("n"), _spread("ret", "sq", F.col("n"))
+    v = positions(returns.where("ret IS NOT NULL").select(*keys, order, "ret"), keys, order).where(F.col("_n") >= YEAR_SESSIONS)
+    s = resample(v.withColumn("_sq", r * r), keys, ["ret", "_sq"], block, resamples, seed)
+    n, sd = F.col("_n"), _spread("ret", "_sq", F.col("_n"))
     sharpe = F.when(sd > 1e-12, (F.col("ret") / n - daily_rate(rf)) / sd * YEAR_SESSIONS**0.5)
     return _interval(s, keys, sharpe)
 
@@ -94,18 +94,18 @@ def paired_sharpe(pairs: DataFrame, keys: list[str], rf: float = 0.02, resamples
     """Interval of the Sharpe difference of two curves under the same blocks (columns ra, rb)."""
     v = positions(pairs.where("ra IS NOT NULL AND rb IS NOT NULL").select(*keys, order, "ra", "rb"), keys, order)
     a, b = F.col("ra"), F.col("rb")
-    s = resample(v.withColumns({"qa": a * a, "qb": b * b}), keys, ["ra", "rb", "qa", "qb"], block, resamples, seed)
-    n, free = F.col("n"), daily_rate(rf)
-    gap = (a / n - free) / _spread("ra", "qa", n) - (b / n - free) / _spread("rb", "qb", n)
+    s = resample(v.withColumns({"_qa": a * a, "_qb": b * b}), keys, ["ra", "rb", "_qa", "_qb"], block, resamples, seed)
+    n, free = F.col("_n"), daily_rate(rf)
+    gap = (a / n - free) / _spread("ra", "_qa", n) - (b / n - free) / _spread("rb", "_qb", n)
     return _interval(s, keys, gap * YEAR_SESSIONS**0.5)
 
 
 def block_mean(series: DataFrame, keys: list[str], value: str, block: int, resamples: int = 1000, seed: int = 2031,
                order: str = "date", needed: int = 24) -> DataFrame:
     """Interval of a mean; missing slots keep their place and are left out of the average."""
-    v = positions(series.select(*keys, order, F.col(value).cast("double").alias("v")), keys, order)
-    known = F.count("v").over(Window.partitionBy(*keys))
-    v = v.withColumn("known", known).where(F.col("known") >= needed).drop("known")
-    v = v.withColumns({"c": F.col("v").isNotNull().cast("double"), "v": F.coalesce("v", F.lit(0.0))})
-    s = resample(v, keys, ["v", "c"], block, resamples, seed)
-    return _interval(s, keys, F.when(F.col("c") > 0, F.col("v") / F.col("c")), middle=False)
+    v = positions(series.select(*keys, order, F.col(value).cast("double").alias("_v")), keys, order)
+    known = F.count("_v").over(Window.partitionBy(*keys))
+    v = v.withColumn("_known", known).where(F.col("_known") >= needed).drop("_known")
+    v = v.withColumns({"_c": F.col("_v").isNotNull().cast("double"), "_v": F.coalesce("_v", F.lit(0.0))})
+    s = resample(v, keys, ["_v", "_c"], block, resamples, seed)
+    return _interval(s, keys, F.when(F.col("_c") > 0, F.col("_v") / F.col("_c")), middle=False)

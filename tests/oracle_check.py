@@ -59,11 +59,13 @@ def duck(folder):
 
 
 def compare(spark, con, name, folder, queries, oracles):
+    begun = time.time()
     df = queries[name](spark, folder)
     table = df.toArrow()
     rows = list(zip(*[table.column(c).to_pylist() for c in df.columns])) if table.num_rows else []
+    spent = time.time() - begun
     if name not in oracles:
-        return f"rows={len(rows)} (no sql)", True
+        return f"rows={len(rows)} (no sql) spark={spent:.1f}s", True
     cur = con.execute(oracles[name])
     names = [d[0] for d in cur.description]
     expected = cur.fetchall()
@@ -77,7 +79,7 @@ def compare(spark, con, name, folder, queries, oracles):
         shown = "\n".join(f"    spark {x}\n    sql   {y}" for x, y in bad[:3])
         return f"{len(bad)} of {len(a)} rows differ {sorted(names)}\n{shown}", False
     nonnull = len([1 for r in a if any(v is not None and v != 0 for v in r)])
-    return f"rows={len(a)} nonempty={nonnull}", True
+    return f"rows={len(a)} nonempty={nonnull} spark={spent:.1f}s", True
 
 
 def main(argv):
