@@ -81,3 +81,9 @@ def classify(text: Column, rules: list[tuple[str, str]], exclude: str) -> Column
         hit = text.rlike("(?i)" + pattern)
         out = F.when(hit, name) if out is None else out.when(hit, name)
     return F.when(text.rlike(exclude), None).otherwise(out)
+
+
+def micros_after(date: Column, moment: Column) -> Column:
+    """Microseconds from the start of a date to a zone-free timestamp, whatever the session's zone."""
+    seconds = F.datediff(moment.cast("date"), date).cast("bigint") * 86400 + F.hour(moment) * 3600 + F.minute(moment) * 60
+    return seconds * 1000000 + (F.extract(F.lit("SECOND"), moment) * 1000000).cast("bigint")

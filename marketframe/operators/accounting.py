@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from marketframe.functions.scalar import fee
 from marketframe.functions.timeseries import forward_fill, ordered, running
 from marketframe.operators.asof import asof_backward
-from marketframe.operators.panel import calendar_grid
+from marketframe.operators.panel import calendar_grid, complete_panel
 from marketframe.operators.quantiles import positive_quantile
 
 BOOK = ["account", "symbol"]
@@ -38,8 +38,7 @@ def marks(panel: DataFrame) -> DataFrame:
 
 def position_grid(flows: DataFrame, sessions: DataFrame) -> DataFrame:
     """Every (account, symbol) that ever traded on every session, with its flow."""
-    books = flows.select(*BOOK).distinct()
-    return calendar_grid(books, sessions).join(flows, [*BOOK, "date"], "left")
+    return complete_panel(flows, sessions, tuple(BOOK))
 
 
 def account_nav(fills: DataFrame, panel: DataFrame, sessions: DataFrame, initial_cash: float, cash_rate: float = 0.0,

@@ -31,16 +31,20 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 def drop_conflicts(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """Drop exact repeats, then every key that still has more than one version.
 
-    Missing values compare as equal. Two versions differ when their smallest and
-    largest value tuples differ, so one aggregate per key is enough.
+    Missing values compare as equal. A key has one version exactly when every value
+    column is constant on it: all missing, or none missing and smallest = largest.
+    Such a check keeps plain numbers per key and merges before the shuffle.
     """
-    version = F.struct(*values)
     rest = [c for c in df.columns if c not in keys and c not in values]
-    kept = df.groupBy(*keys).agg(
-        F.min(version).alias("_a"), F.max(version).alias("_b"),
-        *([F.min(F.struct(*rest)).alias("_r")] if rest else []),
-    ).where(F.col("_a").eqNullSafe(F.col("_b")))
-    shown = {**{c: F.col(c) for c in keys}, **{c: F.col(f"_a.{c}") for c in values},
+    checks, constant = [F.count(F.lit(1)).alias("_n")], F.lit(True)
+    for i, c in enumerate(values):
+        checks += [F.min(c).alias(f"_a{i}"), F.max(c).alias(f"_b{i}"), F.count(c).alias(f"_c{i}")]
+        alike = (F.col(f"_c{i}") == F.col("_n")) & (F.col(f"_a{i}") == F.col(f"_b{i}"))
+        constant = constant & ((F.col(f"_c{i}") == 0) | alike)
+    if rest:
+        checks.append(F.min(F.struct(*rest)).alias("_r"))
+    kept = df.groupBy(*keys).agg(*checks).where(constant)
+    shown = {**{c: F.col(c) for c in keys}, **{c: F.col(f"_a{i}") for i, c in enumerate(values)},
              **{c: F.col(f"_r.{c}") for c in rest}}
     return kept.select(*[shown[c].alias(c) for c in df.columns])
 

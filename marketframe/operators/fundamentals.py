@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marketframe.functions.timeseries import divide, finite
+from marketframe.functions.scalar import micros_after
+from marketframe.functions.timeseries import divide
 from marketframe.operators.asof import (
     asof_backward,
     by_month,
@@ -16,7 +17,7 @@ from marketframe.operators.asof import (
     latest_within,
     month_of,
 )
-from marketframe.operators.dedup import drop_conflicts, keep_last
+from marketframe.operators.dedup import drop_conflicts
 
 # Statement columns of each kind.
 INCOME = ["revenue", "oper_cost", "operate_profit", "n_income", "n_income_attr_p", "basic_eps"]
@@ -48,10 +49,9 @@ def prepare_statements(raw: DataFrame, kind: str) -> DataFrame:
 
 def prepare_estimates(raw: DataFrame) -> DataFrame:
     """Usable analyst estimates: update within a week, a real fiscal quarter, no contradictions."""
-    lag = F.col("create_time").cast("date")
-    seconds = F.timestamp_diff("SECOND", F.col("report_date").cast("timestamp_ntz"), F.col("create_time"))
+    lag = micros_after(F.col("report_date"), F.col("create_time"))
     good = F.coalesce(F.regexp_like("quarter", F.lit("^[0-9]{4}Q[1-4]$")), F.lit(False))
-    d = raw.where(good & seconds.between(0, 7 * 86400) & lag.isNotNull() & F.col("org_name").isNotNull()).select(
+    d = raw.where(good & lag.between(0, 7 * 86400 * 1000000) & F.col("org_name").isNotNull()).select(
         "ts_code", "org_name", "quarter", F.col("report_date").alias("reported_at"),
         F.greatest(end_of_day(F.col("report_date")), F.col("create_time")).alias("available_at"),
         (F.col("np") * 10000).alias("np_cny"),
@@ -59,12 +59,10 @@ def prepare_estimates(raw: DataFrame) -> DataFrame:
     return drop_conflicts(d, ["ts_code", "org_name", "quarter", "reported_at", "available_at"], ["np_cny"])
 
 
-def latest_estimates(estimates: DataFrame, dates: DataFrame) -> DataFrame:
-    """Last estimate of each broker for the fiscal year of ``at``, at most 180 days old.
+def _seen_estimates(estimates: DataFrame, dates: DataFrame) -> DataFrame:
+    """Estimates in sight of each day ``at``, with a number that orders them by age.
 
-    ``dates`` carries ``date`` (a label), ``at`` (the day whose 18:30 is the cutoff)
-    and ``fiscal``. The newest report decides first and a missing number drops it
-    afterwards, so an older number never survives a newer missing one.
+    One number orders by report day, then by moment of knowledge (at most 8 days later).
     """
     spread = by_month(estimates, F.col("available_at"), F.date_add("reported_at", ESTIMATE_AGE).cast("timestamp_ntz"), "_m")
     seen = spread.join(
@@ -73,20 +71,38 @@ def latest_estimates(estimates: DataFrame, dates: DataFrame) -> DataFrame:
         (F.col("available_at") < cutoff_of(F.col("at")))
         & (F.col("reported_at") >= F.date_sub("at", ESTIMATE_AGE))
     )
-    best = F.max(F.struct("reported_at", "available_at", "np_cny")).alias("_v")
+    later = micros_after(F.col("reported_at"), F.col("available_at"))
+    return seen.withColumn("_rank", F.unix_date("reported_at").cast("bigint") * F.lit(2**40) + later)
+
+
+def latest_estimates(estimates: DataFrame, dates: DataFrame) -> DataFrame:
+    """Last estimate of each broker for the fiscal year of ``at``, at most 180 days old.
+
+    ``dates`` carries ``date`` (a label), ``at`` (the day whose 18:30 is the cutoff)
+    and ``fiscal``. The newest report decides first and a missing number drops it
+    afterwards, so an older number never survives a newer missing one.
+    """
     return (
-        seen.groupBy("date", "ts_code", "org_name").agg(best)
-        .select("date", "ts_code", "org_name", "_v.np_cny", "_v.available_at").where("np_cny IS NOT NULL")
+        _seen_estimates(estimates, dates).groupBy("date", "ts_code", "org_name")
+        .agg(F.max_by("np_cny", "_rank").alias("np_cny"), F.max_by("available_at", "_rank").alias("available_at"))
+        .where("np_cny IS NOT NULL")
     )
 
 
 def paired_estimates(estimates: DataFrame, dates: DataFrame) -> DataFrame:
-    """Estimates of the same broker now and at the earlier day; ``dates(date, at, before)``."""
+    """Estimates of the same broker now and at the earlier day; ``dates(date, at, before)``.
+
+    Both days are looked up in one pass and meet in one aggregate instead of a join.
+    """
     fiscal = F.concat(F.year("at").cast("string"), F.lit("Q4"))
-    now = latest_estimates(estimates, dates.select("date", "at", fiscal.alias("fiscal")))
-    old = latest_estimates(estimates, dates.select("date", F.col("before").alias("at"), fiscal.alias("fiscal")))
-    return now.join(
-        old.select("date", "ts_code", "org_name", F.col("np_cny").alias("np_old")), ["date", "ts_code", "org_name"]
+    days = dates.withColumn("fiscal", fiscal).select("date", "fiscal", F.explode(F.array(
+        F.struct(F.lit(True).alias("now"), F.col("at").alias("at")), F.struct(F.lit(False).alias("now"), F.col("before").alias("at")))).alias("d"))
+    seen = _seen_estimates(estimates, days.select("date", "fiscal", "d.now", "d.at"))
+    new, old = F.when(F.col("now"), F.col("_rank")), F.when(~F.col("now"), F.col("_rank"))
+    return (
+        seen.groupBy("date", "ts_code", "org_name")
+        .agg(F.max_by("np_cny", new).alias("np_cny"), F.max_by("available_at", new).alias("available_at"), F.max_by("np_cny", old).alias("np_old"))
+        .where("np_cny IS NOT NULL AND np_old IS NOT NULL")
     )
 
 

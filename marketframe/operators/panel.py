@@ -46,10 +46,33 @@ def calendar_grid(symbols: DataFrame, sessions: DataFrame) -> DataFrame:
     return by_year.join(sessions.withColumn("_year", F.year("date")), "_year").drop("_year")
 
 
-def complete_panel(bars: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Reindex bars to the shared calendar; a session without a bar stays missing."""
-    grid = calendar_grid(bars.select("symbol").distinct(), sessions)
-    return grid.join(bars, ["symbol", "date"], "left")
+def numbered(df: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Add ``session_no``. A calendar has at most 366 rows a year, hence the broadcast."""
+    return df.join(F.broadcast(sessions), "date")
+
+
+def session_dates(df: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Add the ``date`` of ``session_no``; the calendar's size is bounded as above."""
+    return df.join(F.broadcast(sessions), "session_no")
+
+
+def complete_panel(bars: DataFrame, sessions: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """Reindex bars to the shared calendar; a session without a bar stays missing.
+
+    Each bar also emits the sessions up to the next bar of its key (the first one the
+    sessions before it, the last one the sessions after it). That needs one shuffle by
+    key, which the windows on the panel then share, and reads the bars only once.
+    """
+    w = Window.partitionBy(*keys).orderBy("session_no")
+    end = sessions.agg(F.max("session_no")).scalar()
+    d = numbered(bars, sessions).withColumn("_end", end)
+    first = F.when(F.row_number().over(w) == 1, 1).otherwise(F.col("session_no"))
+    until = F.coalesce(F.lead("session_no").over(w) - 1, F.col("_end"))
+    spans = d.withColumn("_no", F.sequence(first, until)).withColumn("_no", F.explode("_no"))
+    own = F.col("_no") == F.col("session_no")
+    values = [c for c in bars.columns if c not in (*keys, "date")]
+    filled = spans.select(*keys, F.col("_no").alias("session_no"), *[F.when(own, F.col(c)).alias(c) for c in values])
+    return session_dates(filled, sessions).select(*keys, "date", "session_no", *values)
 
 
 def rebase_to_first_factor(bars: DataFrame) -> DataFrame:

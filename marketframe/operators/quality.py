@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from marketframe.functions.scalar import micros_after
 from marketframe.operators.dedup import keep_last
-from marketframe.operators.panel import calendar_grid
+from marketframe.operators.panel import numbered, session_dates
 
 PRICES = ("open", "high", "low", "close")
 TOLERANCE = 1e-8
@@ -82,11 +83,15 @@ def mislabelled(df: DataFrame, expected: dict[str, list]) -> DataFrame:
 
 
 def calendar_gaps(bars: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Sessions between a symbol's first and last bar that have no bar."""
-    span = bars.groupBy("symbol").agg(F.min("date").alias("first"), F.max("date").alias("last"))
-    expected = calendar_grid(span.select("symbol"), sessions).join(span, "symbol").where("date BETWEEN first AND last")
-    missing = expected.select("symbol", "date").join(bars.select("symbol", "date"), ["symbol", "date"], "left_anti")
-    return missing.groupBy("symbol").agg(
+    """Sessions between a symbol's first and last bar that have no bar.
+
+    A gap shows as a jump of the session number from one bar to the next.
+    """
+    w = Window.partitionBy("symbol").orderBy("session_no")
+    d = numbered(bars.select("symbol", "date"), sessions).withColumn("_next", F.lead("session_no").over(w))
+    jumps = d.where(F.col("_next") > F.col("session_no") + 1)
+    missing = jumps.select("symbol", F.explode(F.sequence(F.col("session_no") + 1, F.col("_next") - 1)).alias("session_no"))
+    return session_dates(missing, sessions).groupBy("symbol").agg(
         F.count(F.lit(1)).alias("missing"), F.min("date").alias("first_gap"), F.max("date").alias("last_gap"))
 
 
@@ -150,7 +155,7 @@ def lag_profile(reports: DataFrame) -> DataFrame:
     The lags are counted per distinct value first, so the median works on the few
     distinct lags and not on all rows.
     """
-    lag = F.timestamp_diff("SECOND", F.col("report_date").cast("timestamp_ntz"), F.col("create_time")) / 86400
+    lag = micros_after(F.col("report_date"), F.col("create_time")) / (86400 * 1000000)
     bad = ~F.coalesce(F.regexp_like("quarter", F.lit("^[0-9]{4}Q[1-4]$")), F.lit(False))
     d = reports.select(lag.alias("lag"), bad.cast("int").alias("bad"))
     counts = d.groupBy("lag").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"))

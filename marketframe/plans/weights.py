@@ -253,7 +253,7 @@ ROTATED = f"""
 def rotated_weights(m: Market) -> DataFrame:
     f = rotation_features(m)
     return A.rotation_weights(
-        X.rotation_scores(f), m.type_assets, f.select("symbol", "date", "session_no", "ret"), m.sessions, top_n=3, max_asset=0.30,
+        X.rotation_scores(f), m.type_assets, type_returns(m), m.sessions, top_n=3, max_asset=0.30,
         max_group=0.25, cash_buffer=0.01, window=60, target=8.0)
 
 
