@@ -34,8 +34,9 @@ def top_n_capped(
     """
     usable = df.where(F.col(score).isNotNull() & F.col(group).isNotNull())
     if min_distinct > 1:
-        distinct = F.size(F.collect_set(score).over(Window.partitionBy(*keys)))
-        usable = usable.withColumn("_d", distinct).where(F.col("_d") >= min_distinct).drop("_d")
+        level = F.dense_rank().over(Window.partitionBy(*keys).orderBy(F.desc(score)))
+        usable = usable.withColumn("_d", level).withColumn("_d", F.max("_d").over(Window.partitionBy(*keys)))
+        usable = usable.where(F.col("_d") >= min_distinct).drop("_d")
     inside = Window.partitionBy(*keys, group).orderBy(F.desc(score), *tie)
     room = usable.withColumn("_g", F.row_number().over(inside)).where(F.col("_g") <= cap).drop("_g")
     return top_n(room, score, n, keys, tie, all_or_nothing)

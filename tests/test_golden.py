@@ -129,3 +129,12 @@ def test_units_and_cash_follow_the_factor_and_the_rate(spark):
     nav = {r.date: r for r in accounting.account_nav(fills, panel, sessions, 2000.0, 0.1, reinvest=True).collect()}
     assert nav[days[1]].holdings == pytest.approx(200 * 5.0) and nav[days[2]].holdings == pytest.approx(1000.0)
     assert nav[days[2]].cash == pytest.approx(995.0 * 1.1 ** (2 / 365.25))
+
+
+def test_themes_are_ordered_and_exclusion_comes_first(spark):
+    from marketframe.functions.themes import theme
+
+    names = ["国债ETF", "芯片科技ETF", "ai人工智能", "红利低波", "黄金股ETF", "沪深300ETF", None]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string")
+    got = [r.t for r in df.orderBy("i").select(theme(F.col("n")).alias("t")).collect()]
+    assert got == [None, "semiconductor", "technology", "dividend", "resources", None, None]
