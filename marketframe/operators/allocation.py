@@ -484,7 +484,7 @@ def constant_benchmark(assets: DataFrame, sessions: DataFrame, strategy_weights:
     """Constant weights, zero until the strategy first invests."""
     start = strategy_weights.where("weight > 0").agg(F.min("date")).scalar()
     days = sessions.select("date", F.year("date").alias("y")).withColumn("start", start)
-    years = sessions.agg(F.array_distinct(F.collect_list(F.year("date")))).scalar()
+    years = sessions.agg(F.array_sort(F.collect_set(F.year("date")))).scalar()
     rows = assets.withColumn("y", F.explode(years)).join(days, "y")
     w = F.when(F.col("date") >= F.col("start"), F.col("weight")).otherwise(0.0)
     return rows.select(F.lit(strategy).alias("strategy_id"), "date", "symbol", w.alias("weight"))

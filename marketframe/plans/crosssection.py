@@ -273,11 +273,11 @@ def running_totals(m):
 
 
 @query("o01_stable_order",
-       "SELECT symbol, date, row_number() OVER (ORDER BY date, amount DESC, symbol) AS place FROM type_bars WHERE date >= DATE '2001-01-01'",
+       "SELECT symbol, date, row_number() OVER (ORDER BY date, amount DESC, symbol) AS place FROM type_bars",
        dates="date")
 def stable_order(m):
     """A total order needs an explicit last key; the date keys the work, not one global sort."""
-    b = m.bars("p_type").where(F.col("date") >= F.lit("2001-01-01").cast("date")).select("symbol", "date", "amount")
+    b = m.bars("p_type").select("symbol", "date", "amount")
     w = Window.partitionBy("date").orderBy(F.desc("amount"), "symbol")
     inside = b.withColumn("_i", F.row_number().over(w))
     before = b.groupBy("date").agg(F.count(F.lit(1)).alias("_n")).withColumn(

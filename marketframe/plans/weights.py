@@ -122,15 +122,17 @@ def class_covariance(m: Market) -> DataFrame:
     return m._once("class_cov", lambda: A.group_covariance(mixing(m), type_returns(m), WINDOW, 0.3))
 
 
+_ORDER = "[" + ", ".join(f"'{g}'" for g in GROUPS) + "]"
+
+
 @query("k06_class_covariance",
-       """SELECT date, a, b, CASE WHEN a = b THEN c * 252 + 1e-8 ELSE 0.7 * c * 252 END AS covariance FROM (
+       f"""SELECT date, a, b, CASE WHEN a = b THEN c * 252 + 1e-8 ELSE 0.7 * c * 252 END AS covariance FROM (
           SELECT x.date, x.bucket AS a, y.bucket AS b, covar_samp(x.ret, y.ret) AS c FROM class_returns x JOIN class_returns y ON x.date = y.date AND x.s = y.s GROUP BY ALL)
-          WHERE (a, b) IN (VALUES ('cn_equity', 'cn_equity'), ('cn_equity', 'gold'), ('us_equity', 'bond'), ('gold', 'gold'), ('hk_equity', 'bond'))""",
+          WHERE list_position({_ORDER}, a) <= list_position({_ORDER}, b)""",
        floats="covariance", dates="date", digits=4)
 def class_covariances(m):
-    shown = [("cn_equity", "cn_equity"), ("cn_equity", "gold"), ("us_equity", "bond"), ("gold", "gold"), ("hk_equity", "bond")]
     rows = F.explode(F.array(*[
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{a}__{b}").alias("covariance")) for a, b in shown]))
+        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{a}__{b}").alias("covariance")) for a, b in A.pair_names(GROUPS)]))
     return class_covariance(m).select("date", rows.alias("r")).select("date", "r.*").where("covariance IS NOT NULL")
 
 
