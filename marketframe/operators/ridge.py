@@ -35,23 +35,24 @@ def ridge_samples(features: DataFrame) -> DataFrame:
     return d.withColumn("valid", known)
 
 
-def fit_dates(sessions: DataFrame, month_firsts: DataFrame) -> DataFrame:
+def fit_dates(month_firsts: DataFrame) -> DataFrame:
     """Fit sessions with their position ``f`` and the month they start."""
     return month_firsts.select(F.col("date").alias("fit_date"), F.col("month"), (F.col("session_no") - 1).alias("f"))
 
 
-def training_rows(samples: DataFrame, fits: DataFrame) -> DataFrame:
+def training_rows(samples: DataFrame, fits: DataFrame, sessions: DataFrame) -> DataFrame:
     """Each usable sample once per fit whose window [f-756, f-21) contains it.
 
-    Candidate months come from the calendar: a window of 756 sessions reaches back
-    at most a bounded number of months, so the join is on the month.
+    A sample can serve the fits up to 756 sessions after it. Those sessions' months are
+    looked up in the calendar (at most 366 rows a year), so the join is on the month.
     """
     d = samples.where(F.col("valid") & F.col("y").isNotNull() & (F.col("i") % STEP == 0))
-    # the last session a sample can serve lies within TRAIN sessions after it
-    horizon = fits.agg(F.max("month")).scalar()
-    spread = d.withColumn("_h", horizon).withColumn(
-        "month", F.explode(F.sequence(F.trunc("date", "MM"), F.greatest(F.col("_h"), F.trunc("date", "MM")), F.expr("INTERVAL 1 MONTH"))))
-    j = spread.drop("_h").join(fits, "month")
+    end = sessions.agg(F.max("session_no")).scalar()
+    d = d.withColumn("_end", end).withColumn("_last", F.least(F.col("i") + 1 + TRAIN, F.col("_end")))
+    until = sessions.select(F.col("session_no").alias("_last"), F.col("date").alias("_until"))
+    d = d.join(F.broadcast(until), "_last").withColumn(
+        "month", F.explode(F.sequence(F.trunc("date", "MM"), F.trunc("_until", "MM"), F.expr("INTERVAL 1 MONTH"))))
+    j = d.drop("_end", "_last", "_until").join(fits, "month")
     return j.where((F.col("i") >= F.greatest(F.lit(0), F.col("f") - TRAIN)) & (F.col("i") < F.greatest(F.lit(0), F.col("f") - STEP)))
 
 

@@ -489,7 +489,7 @@ def ridge_model(m: Market):
 
     f = P.rotation_features(wide_adjusted(m), 60, 10000)
     samples = R.ridge_samples(f)
-    rows = R.training_rows(samples, R.fit_dates(m.sessions, P.month_firsts(m.sessions)))
+    rows = R.training_rows(samples, R.fit_dates(P.month_firsts(m.sessions)), m.sessions)
     return R, samples, rows, R.fit_moments(rows)
 
 

@@ -124,7 +124,7 @@ def test_ridge_fits_equal_numpy(spark):
     samples = spark.createDataFrame(rows, "symbol string, date date, i int, valid boolean, y double, " + ", ".join(f"{c} double" for c in R.FEATURES))
     from marketframe.operators.panel import month_firsts
 
-    training = R.training_rows(samples, R.fit_dates(sessions, month_firsts(sessions)))
+    training = R.training_rows(samples, R.fit_dates(month_firsts(sessions)), sessions)
     fits = {r.fit_date: r for r in R.fit_ridge(training, R.fit_moments(training)).collect()}
     d = pd.DataFrame(rows, columns=["symbol", "date", "i", "valid", "y", *R.FEATURES])
     first = {}
