@@ -35,6 +35,21 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM j LEFT JOIN v USING (host)
 """
 
+OP2 = r"""
+WITH e AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS x
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+    SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(list_zip(q.x, v.x), lambda p: p[1] * p[2]))::BIGINT AS score
+    FROM e AS q JOIN e AS v ON v.vec_id <> q.vec_id AND len(q.x) = len(v.x)
+    WHERE q.vec_id % 20 = 0)
+SELECT query_id::BIGINT AS query_id, rank::INTEGER AS rank, vec_id::BIGINT AS vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+WHERE rank <= 20
+"""
+
 OP5 = r"""
 WITH given AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -74,4 +89,4 @@ SELECT conv_id::BIGINT AS conv_id, count(*)::BIGINT AS n_turns,
 FROM x GROUP BY conv_id
 """
 
-ORACLES = {"op1_host_rules": OP1, "op5_chat_windows": OP5}
+ORACLES = {"op1_host_rules": OP1, "op2_norm_buckets": OP2, "op5_chat_windows": OP5}

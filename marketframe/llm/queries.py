@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketframe.llm import bpe, chat, hostrules, zlang
-from marketframe.llm.common import table
+from marketframe.llm import bpe, chat, hostrules, mixing, repair, simhash, topk, zlang
+from marketframe.llm.common import shared_folder, table
 
 LEARN_REMAINDER = 2
 
@@ -16,6 +18,19 @@ def op1_host_rules(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op2_norm_buckets(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").select(
+        F.col("vec_id").cast("long").alias("id"), topk.quantize(F.col("embedding")).alias("x"))
+    return topk.top_k(vectors, vectors.where(F.col("id") % 20 == 0))
+
+
+def op4_target_weights(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    mixed = mixing.mixing_rates(docs, table(spark, folder, "labels"))
+    share = [F.col("mix.p")[k].alias(f"p_{name}") for k, name in enumerate(mixing.DOMAINS)]
+    return mixed.select("doc_id", F.col("mix.tokens").alias("n_tokens"), *share, F.col("mix.rate").alias("rate"))
+
+
 def op5_chat_windows(spark: SparkSession, folder: str) -> DataFrame:
     said = F.lit("</s>[INST] ok [/INST]")
     given = table(spark, folder, "conversations").select(
@@ -26,10 +41,21 @@ def op5_chat_windows(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digests(chat.windows(given.unionByName(extra)))
 
 
+def op6_bk_trees(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op7_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(bpe.encode_documents(table(spark, folder, "documents")))
 
 
+def op8_repair_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/token-blocks-{uuid.uuid4().hex}"
+    repair.write(table(spark, folder, "documents"), path)
+    return repair.read(spark, path)
+
+
 def op9_compression_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == LEARN_REMAINDER
@@ -40,7 +66,11 @@ def op9_compression_language(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_host_rules": op1_host_rules,
+    "op2_norm_buckets": op2_norm_buckets,
+    "op4_target_weights": op4_target_weights,
     "op5_chat_windows": op5_chat_windows,
+    "op6_bk_trees": op6_bk_trees,
     "op7_bpe_round_trip": op7_bpe_round_trip,
+    "op8_repair_blocks": op8_repair_blocks,
     "op9_compression_language": op9_compression_language,
 }
