@@ -89,10 +89,10 @@ def encode_documents(docs: DataFrame, ranks: str = RANKS, text: str = "text") ->
     return ids.select("doc_id", "token_ids", decode(F.col("token_ids"), ranks).alias("decoded"))
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """Per document the number of ids and the digests of ids and decoded bytes."""
+def digests(encoded: DataFrame, *more: str) -> DataFrame:
+    """Per document the number of ids and the digests of ids and decoded bytes; ``more`` columns go along."""
     return encoded.select(
-        "doc_id",
+        "doc_id", *more,
         (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("token_ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -39,7 +39,7 @@ from marketframe.llm.common import raw, settle
 DOMAINS = ("good", "poor", "toxic")
 #: Labelled documents that the classifier may read; labelled features it may keep.
 MAX_LABELLED, MAX_FEATURES = 20_000, 4096
-MIN_DOCS, MIN_Z = 20, 5.0
+MIN_DOCS, MIN_Z = 10, 4.5
 #: Softens the posteriors: log odds are divided by this.
 TEMPERATURE = 2.0
 TARGETS = {"good": 0.80, "poor": 0.15, "toxic": 0.05}
@@ -109,9 +109,8 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     added = {}
     for r in rows:
         inside = np.array([r.n0, r.n1, r.n2], float)
-        share = (inside + 0.5) / (np.array(sizes) + 1.0)
-        rest = (inside.sum() - inside + 0.5) / (total - np.array(sizes) + 1.0)
-        added[bytes(r.feature)] = np.log(share / rest)
+        share = np.log((inside + 0.5) / (np.array(sizes) + 1.0))
+        added[bytes(r.feature)] = share - share.mean()
     return Classifier(np.log((np.array(sizes) + 0.5) / (total + 1.5)), added)
 
 

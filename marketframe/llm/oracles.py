@@ -89,4 +89,41 @@ SELECT conv_id::BIGINT AS conv_id, count(*)::BIGINT AS n_turns,
 FROM x GROUP BY conv_id
 """
 
-ORACLES = {"op1_host_rules": OP1, "op2_norm_buckets": OP2, "op5_chat_windows": OP5}
+OP3 = """
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, lower(hex(encode(coalesce(text, '')))) AS x FROM documents),
+p AS (SELECT k, x, unnest(generate_series(1, len(x) // 2 - 199)) AS i FROM d),
+w AS (SELECT k, i, md5(substr(x, 2 * i - 1, 400)) AS h FROM p),
+r AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY h) AS n FROM w) WHERE n > 1),
+e AS (
+    SELECT k, i, i + 199 AS j,
+           max(i + 199) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+    FROM r),
+g AS (SELECT k, i, j, sum((before IS NULL OR before < i - 1)::INT) OVER (PARTITION BY k ORDER BY i) AS span FROM e),
+s AS (SELECT k, span, min(i) AS a, max(j) AS b FROM g GROUP BY k, span),
+f AS (
+    SELECT k, span, a, b, coalesce(lag(b) OVER (PARTITION BY k ORDER BY a), 0) AS last_b FROM s),
+c AS (
+    SELECT d.k, string_agg(substr(x, 2 * last_b + 1, 2 * (a - 1 - last_b)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS kept,
+           sum(b - a + 1) AS n_removed, count(*) AS n_spans
+    FROM f JOIN d USING (k) GROUP BY d.k)
+SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM d LEFT JOIN c USING (k)
+"""
+
+OP10 = r"""
+WITH d AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+p AS (SELECT doc_id, words, unnest(generate_series(1, len(words) - 19)) AS i FROM d),
+w AS (SELECT doc_id, i, md5(list_aggregate(words[i:i + 19], 'string_agg', ' ')) AS h FROM p),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS n FROM w) WHERE n > 1),
+g AS (SELECT DISTINCT doc_id, i + s AS i FROM r, (SELECT unnest(range(20)) AS s)),
+t AS (SELECT doc_id, unnest(words) AS word, unnest(generate_series(1, len(words))) AS i FROM d),
+k AS (
+    SELECT t.doc_id, string_agg(word, ' ' ORDER BY t.i) FILTER (g.i IS NULL) AS kept, count(*) FILTER (g.i IS NOT NULL) AS n_removed
+    FROM t LEFT JOIN g USING (doc_id, i) GROUP BY t.doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+ORACLES = {"op1_host_rules": OP1, "op2_norm_buckets": OP2, "op3_suffix_repeats": OP3, "op5_chat_windows": OP5, "op10_recompression": OP10}

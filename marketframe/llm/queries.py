@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketframe.llm import bpe, chat, hostrules, mixing, repair, simhash, topk, zlang
+from marketframe.llm import bpe, chat, hostrules, mixing, recompress, repair, simhash, suffixes, topk, zlang
 from marketframe.llm.common import shared_folder, table
 
 LEARN_REMAINDER = 2
@@ -24,6 +24,11 @@ def op2_norm_buckets(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where(F.col("id") % 20 == 0))
 
 
+def op3_suffix_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    cut = suffixes.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "cut.n_bytes", "cut.n_removed", "cut.n_spans", "cut.kept_sha256")
+
+
 def op4_target_weights(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     mixed = mixing.mixing_rates(docs, table(spark, folder, "labels"))
@@ -64,13 +69,20 @@ def op9_compression_language(spark: SparkSession, folder: str) -> DataFrame:
     return predicted.select("doc_id", "held_out", "p.lang_pred", "p.score", "p.rejected")
 
 
+def op10_recompression(spark: SparkSession, folder: str) -> DataFrame:
+    cut = recompress.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "cut.n_words", "cut.n_removed", "cut.kept_sha256")
+
+
 QUERIES = {
     "op1_host_rules": op1_host_rules,
     "op2_norm_buckets": op2_norm_buckets,
+    "op3_suffix_repeats": op3_suffix_repeats,
     "op4_target_weights": op4_target_weights,
     "op5_chat_windows": op5_chat_windows,
     "op6_bk_trees": op6_bk_trees,
     "op7_bpe_round_trip": op7_bpe_round_trip,
     "op8_repair_blocks": op8_repair_blocks,
     "op9_compression_language": op9_compression_language,
+    "op10_recompression": op10_recompression,
 }

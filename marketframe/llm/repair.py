@@ -27,6 +27,7 @@ The file format is a Parquet table that Spark writes and reads, a row per block:
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -35,7 +36,6 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,15 +46,14 @@ VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 BLOCK_IDS = 1 << 20
 PAIRS_A_ROUND, MIN_COUNT, ROUNDS = 4096, 8, 8
-#: Pieces that a worker remembers.
-REMEMBERED = 1 << 19
+#: Words that a worker remembers, and texts that it encodes at once.
+REMEMBERED, TOGETHER = 1 << 20, 256
 
 SCHEMA = ("shard int, block int, doc_ids binary, doc_nulls binary, lengths binary, left binary, right binary, "
           "spans binary, symbols binary, base long, n_ids long")
 
-_PIECES = regex.compile(public_tokenizers.PATTERN)
-#: Texts of these characters alone are split by the pattern here; all others are left whole to the library.
-_PLAIN = regex.compile(r"[\x00-\x1B\x20-\x7F¡-ɏ‐-‧€]*")
+#: Characters among which space and line end are the only blanks.
+_PLAIN = re.compile(r"[\n\x20-\x7E¡-ɏ‐-‧€]*")
 
 
 @lru_cache(maxsize=2)
@@ -63,10 +62,12 @@ def tokenizer(vocabulary: str = VOCABULARY) -> Tokenizer:
 
 
 class Encoder:
-    """Ids of whole texts; the ids of a piece of the splitting pattern are worked out once.
+    """Ids of whole texts; the ids of a word are worked out by the library once.
 
-    The library merges inside each match of its pattern alone, so a text's ids are its
-    pieces' ids. Texts with rare characters or an added token go to the library whole.
+    The library merges inside each match of its pattern alone, and a match always starts at
+    a single space between two other characters. So where all blanks of a text are such
+    spaces or line ends inside words, its ids are those of its words, each with the space
+    before it. All other texts, and texts with an added token, go to the library whole.
     """
 
     def __init__(self, vocabulary: str = VOCABULARY) -> None:
@@ -77,20 +78,27 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if any(t in text for t in self.added) or not _PLAIN.fullmatch(text):
-            return self.whole([text])[0]
-        pieces = _PIECES.findall(text)
+    def splits(self, text: str) -> bool:
+        """Whether the text's words can be taken one by one."""
+        if not _PLAIN.fullmatch(text) or text[0] in " \n" or text[-1] in " \n":
+            return False
+        return not ("  " in text or " \n" in text or "\n " in text or any(t in text for t in self.added))
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        split = [t.split(" ") if t and self.splits(t) else None for t in texts]
+        wanted: set[str] = set()
+        for words in split:
+            if words:
+                wanted.update(words[1:])
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        new = list(wanted - self.known.keys())
+        self.known.update(zip(new, self.whole([" " + w for w in new])))
+        # what has no space before it, or goes whole
+        rest = [i for i, t in enumerate(texts) if t]
+        heads = dict(zip(rest, self.whole([split[i][0] if split[i] else texts[i] for i in rest])))
         known = self.known
-        new = [p for p in set(pieces) if p not in known]
-        if new:
-            if len(known) > REMEMBERED:
-                known.clear()
-                new = list(set(pieces))
-            known.update(zip(new, self.whole(new)))
-        return b"".join([known[p] for p in pieces])
+        return [heads[i] + b"".join([known[w] for w in words[1:]]) if words else heads.get(i, b"") for i, words in enumerate(split)]
 
 
 def compress(ids: np.ndarray, base: int, pairs: int = PAIRS_A_ROUND, min_count: int = MIN_COUNT, rounds: int = ROUNDS) -> tuple[np.ndarray, ...]:
@@ -226,14 +234,16 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id: int
         end = np.array([end_id], "<u4").tobytes()
         block, doc_ids, pieces, held = 0, [], [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1)):
-                piece = encode(text.as_py()) + end
-                if held and held + len(piece) // 4 > block_ids:
-                    yield pa.RecordBatch.from_pylist([block_row(shard, block, doc_ids, pieces, base)], schema=schema)
-                    block, doc_ids, pieces, held = block + 1, [], [], 0
-                doc_ids.append(doc_id.as_py())
-                pieces.append(piece)
-                held += len(piece) // 4
+            for first in range(0, batch.num_rows, TOGETHER):
+                some = batch.slice(first, TOGETHER)
+                for doc_id, ids in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist())):
+                    piece = ids + end
+                    if held and held + len(piece) // 4 > block_ids:
+                        yield pa.RecordBatch.from_pylist([block_row(shard, block, doc_ids, pieces, base)], schema=schema)
+                        block, doc_ids, pieces, held = block + 1, [], [], 0
+                    doc_ids.append(doc_id)
+                    pieces.append(piece)
+                    held += len(piece) // 4
         if doc_ids:
             yield pa.RecordBatch.from_pylist([block_row(shard, block, doc_ids, pieces, base)], schema=schema)
 

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from marketframe.llm.common import raw, settle
 from marketframe.llm.graph import components
+from marketframe.llm.passages import NULL_LAST
 
 RADIUS = 4
 #: Blocks that a table fixes; with six blocks of bits, fifteen tables of about 21 bits.
@@ -177,11 +178,26 @@ def links(values: DataFrame, radius: int = RADIUS, agree: int = AGREE, shard_row
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE) -> DataFrame:
-    """``doc_id``, ``fp`` and ``component_id`` of every row of ``docs``."""
-    prints = settle(docs.select("doc_id", fingerprints(F.col("text"), size).alias("fp")), "fingerprints")
+    """``doc_id``, ``th`` (a hash of the text), ``fp``, ``root`` and ``component_id`` of every row of ``docs``.
+
+    ``root`` names the group by its smallest fingerprint, ``component_id`` by its smallest id.
+    """
+    prints = settle(docs.select("doc_id", F.xxhash64(raw("text")).alias("th"), fingerprints(F.col("text"), size).alias("fp")), "fingerprints")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    roots = settle(components(links(distinct, radius)), "roots")
-    labelled = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    roots = settle(components(links(distinct, radius)), "roots").select(F.col("node").alias("fp"), "root")
+    labelled = distinct.join(roots, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     smallest = labelled.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = settle(labelled.join(smallest, "root").select("fp", "component_id"), "components")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = settle(labelled.join(smallest, "root").select("fp", "root", "component_id"), "components")
+    return prints.join(named, "fp").select("doc_id", "th", "fp", "root", "component_id")
+
+
+def keep_one(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs`` that stay when each group keeps its document with the smallest id.
+
+    Ties between texts of one id go to the smaller hash; of repeated rows one stays.
+    """
+    key = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_LAST)).alias("__id"), F.col("th").alias("__th"))
+    first = near_duplicates(docs, radius, size).groupBy("root").agg(F.min(key).alias("k")).select("k.*")
+    keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_LAST))).withColumn("__th", F.xxhash64(raw("text")))
+    met = keyed.join(settle(first, "kept"), ["__id", "__th"], "left_semi")
+    return met.dropDuplicates(["__id", "__th"]).select(*docs.columns)

@@ -36,7 +36,7 @@ from marketframe.llm.common import settle
 #: Longest by shortest vector of a bucket.
 RATIO = 1.1
 #: Components in a block of vectors, and in one of queries.
-BLOCK_CELLS, QUERY_CELLS = 1 << 20, 1 << 16
+BLOCK_CELLS, QUERY_CELLS = 1 << 18, 1 << 16
 #: From this local cosine threshold on, coordinates prune better than lengths.
 COORDINATE_FROM = 0.5
 FOCUS = 3
