@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,7 +54,7 @@ def joined_batches(batches: Iterator[pa.RecordBatch], limit: int = BATCH_BYTES)
     for batch in batches:
         for row in zip(*batch.columns):
             held.append(tuple(value.as_py() for value in row))
-            size += len(held[-1][-1])
+            size += len(held[-1][-1] or "")
             if size >= limit:
                 yield held
                 held, size = [], 0
@@ -62,6 +62,27 @@ def joined_batches(batches: Iterator[pa.RecordBatch], limit: int = BATCH_BYTES)
         yield held
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with the keys of ``identified`` as ``__id`` and ``__th``."""
+    return docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_LAST))).withColumn("__th", F.xxhash64(raw("text")))
+
+
+def sent_back(docs: DataFrame, wanted: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """Give each document's text to ``run`` with its row of ``wanted`` (``doc_id``, ``th``, ``asked``).
+
+    ``run`` takes lists of (doc_id, th, asked, text as bytes). The texts are dealt by key with
+    all columns of ``docs``, as ``with_marks`` deals them: in one plan Spark shuffles them once.
+    """
+    met = keyed(docs.drop("asked")).join(wanted.withColumnsRenamed({"doc_id": "__id", "th": "__th"}), ["__id", "__th"])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = (b.select(["__id", "__th", "asked", "text"]) for b in batches)
+        for group in joined_batches(own):
+            yield from run([(i, th, asked, (text or "").encode()) for i, th, asked, text in group])
+
+    return met.mapInArrow(rows, schema)
+
+
 def with_marks(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``docs`` and a column ``marks`` (in place of one of that name): start, n, start, n, … of each row's marked windows.
 
@@ -70,8 +91,7 @@ def with_marks(docs: DataFrame, found: DataFrame) -> DataFrame:
     """
     pairs = F.flatten(F.transform(F.collect_set(F.struct("start", "n")), lambda m: F.array(m.start, m.n)))
     marks = found.groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).agg(pairs.alias("marks"))
-    keyed = docs.drop("marks").withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_LAST))).withColumn("__th", F.xxhash64(raw("text")))
-    return keyed.join(marks, ["__id", "__th"], "left").drop("__id", "__th")
+    return keyed(docs.drop("marks")).join(marks, ["__id", "__th"], "left").drop("__id", "__th")
 
 
 def covered(marks: np.ndarray | None, n: int, window: int) -> np.ndarray | None:

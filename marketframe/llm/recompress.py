@@ -8,11 +8,13 @@ those of the neighbours that were looked at. A symbol that depends on nothing ou
 window stands at the same place in every equal window.
 
 So each window of ``window`` words is owned by one such symbol, of the highest level that
-has one, and equal windows have equal owners. Documents send their owners with the hashes
-of the windows they own, in one row per owner. Spark counts the owners; those that are met
-once cannot hold a repeat. Of the shared ones, rows with equal windows are one class, whose
-first row is kept and whose others are repeats in whole; the windows of classes that share
-an owner but differ are compared one by one. An owner and a window hash make 128 bits.
+has one, and equal windows have equal owners: the one with the smallest hash of all words it
+depends on. A window without one, inside a long run, owns itself. Documents send a row per
+owner: its hash, its place, and a hash of the words of all the windows it owns. Spark counts
+the owners; those met once hold no repeat. Of the shared ones, rows with the same windows
+are one class, whose first row is kept and whose others are repeats in whole. Where classes
+share an owner but differ, one row of each is looked up in its text and its windows are
+compared one by one. An owner and a window hash make 128 bits.
 
 * Order is by ``doc_id`` (null last), then a hash of the text, then the place. Repeated rows
   (same id and text) are one document and get the same result.
@@ -33,13 +35,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from marketframe.llm.common import raw, settle
-from marketframe.llm.passages import RangeHash, covered, identified, joined_batches, mix, with_marks
+from marketframe.llm.passages import RangeHash, covered, identified, joined_batches, mix, sent_back, with_marks
 
 WINDOW = 20
 #: Rounds of naming, and the levels that own windows, the highest first.
-ROUNDS, OWNING = 5, (5, 2, 0)
+ROUNDS, OWNING = 5, (5, 4)
 
 _U = np.uint64
 _FAR = np.int64(1) << np.int64(40)
@@ -102,12 +105,16 @@ def name_pairs(level: Level, turn: int) -> Level:
 
 
 def levels(words: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS) -> list[Level]:
-    """The words as level 0, then one level per round; runs are named before the pairs of odd rounds."""
+    """The words as level 0, then one level per round; runs of words are named before the first pairs.
+
+    A run's name depends on both neighbours, so naming runs again in each round would soon
+    depend on more than a window; runs of pairs are left to the pairs.
+    """
     place = np.arange(len(words), dtype=np.int64)
     out = [Level(words, place, place + 1, doc)]
     for turn in range(rounds):
         now = out[-1]
-        out.append(name_pairs(name_runs(now) if turn % 2 == 0 else now, turn))
+        out.append(name_pairs(name_runs(now) if turn == 0 else now, turn))
     return out
 
 
@@ -121,19 +128,18 @@ def owners(words: np.ndarray, doc: np.ndarray, window: int = WINDOW, rounds: int
     pending = np.zeros(n, bool)
     pending[: n - window + 1] = doc[: n - window + 1] == doc[window - 1 :]
     every = levels(words, doc, rounds)
+    ranges = RangeHash(mix(words, 7))
     base = 0
     for rank in owning:
-        if not pending.any():
-            break
         level = every[rank]
-        keys = mix(level.names, 200 + rank)
         waiting = np.concatenate([[0], np.cumsum(pending)])
         fits = np.flatnonzero((level.low >= 0) & (level.high <= n) & (level.high - level.low <= window))
         start, stop = np.maximum(level.high[fits] - window, 0), level.low[fits] + 1
         wanted = waiting[stop] > waiting[start]
         fits, start, stop = fits[wanted], start[wanted], stop[wanted]
+        keys = ranges.of(level.low[fits], level.high[fits], 200 + rank)
         sizes = stop - start
-        symbol = np.repeat(fits, sizes)
+        symbol = np.repeat(np.arange(len(fits)), sizes)
         at = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(start, sizes)
         ok = pending[at]
         symbol, at = symbol[ok], at[ok]
@@ -147,7 +153,10 @@ def owners(words: np.ndarray, doc: np.ndarray, window: int = WINDOW, rounds: int
         key_of[got] = best[got]
         number[got] = leftmost[got] + base
         pending[got] = False
-        base += len(level.names)
+        base += len(fits)
+    own = np.flatnonzero(pending)
+    key_of[own] = ranges.of(own, own + window, 199)
+    number[own] = base + own
     return key_of, number
 
 
@@ -166,9 +175,17 @@ def word_symbols(texts: list[bytes], known: dict[bytes, int]) -> tuple[np.ndarra
     return np.array([known[w] for w in found], _U), np.repeat(np.arange(len(texts), dtype=np.int64), counts)
 
 
-def owner_rows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``x`` (owner), ``doc_id``, ``th``, ``start`` and the hashes ``w`` of the windows from there on."""
+def owner_keys(docs: DataFrame, window: int) -> DataFrame:
+    """The key ``x`` of every owner row."""
+    return _owner_rows(docs, window, places=False)
+
+
+def owner_rows(docs: DataFrame, window: int) -> DataFrame:
+    """``x`` (owner), ``a`` (hash of its windows), ``doc_id``, ``th``, ``start`` and number ``n`` of the windows."""
+    return _owner_rows(docs, window, places=True)
 
+
+def _owner_rows(docs: DataFrame, window: int, places: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         for rows in joined_batches(batches):
@@ -177,38 +194,70 @@ def owner_rows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             at = np.flatnonzero(number >= 0)
             if not len(at):
                 continue
-            hashes = RangeHash(mix(words, 7)).of(at, at + window, 8)
-            cut = np.concatenate([[True], (number[at][1:] != number[at][:-1]) | (at[1:] != at[:-1] + 1)])
-            first = np.flatnonzero(cut)
-            begins = np.searchsorted(doc, np.arange(len(rows)))
-            place = at[first]
+            first = np.flatnonzero(np.concatenate([[True], (number[at][1:] != number[at][:-1]) | (at[1:] != at[:-1] + 1)]))
+            place, size = at[first], np.diff(np.append(first, len(at)))
+            x = pa.array(key_of[place].view(np.int64))
+            if not places:
+                yield pa.RecordBatch.from_arrays([x], ["x"])
+                continue
+            a = RangeHash(mix(words, 9)).of(place, place + size + window - 1, 10)
             of = doc[place]
-            offsets = np.append(first, len(at)).astype(np.int32)
+            start = place - np.searchsorted(doc, np.arange(len(rows)))[of]
             ids, ths = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(key_of[place].view(np.int64)), pa.array(ids[of]), pa.array(ths[of]), pa.array((place - begins[of]).astype(np.int32)),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes.view(np.int64)))], ["x", "doc_id", "th", "start", "w"])
-
-    return identified(docs).mapInArrow(run, "x long, doc_id long, th long, start int, w array<long>")
+            yield pa.RecordBatch.from_arrays(
+                [x, pa.array(a.view(np.int64)), pa.array(ids[of]), pa.array(ths[of]), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))],
+                ["x", "a", "doc_id", "th", "start", "n"])
+
+    schema = "x long, a long, doc_id long, th long, start int, n int" if places else "x long"
+    return identified(docs).mapInArrow(run, schema)
+
+
+def _spread(window: int):
+    """Turns (doc_id, th, asked, text) into a row per window, combined within the list of texts.
+
+    Of equal windows in the list the first goes on; the others are repeats for ``sure`` and
+    get a key of their own, so that they do not gather anywhere.
+    """
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
+
+    def run(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        firsts: dict[tuple[int, int], tuple] = {}
+        sure = []
+        for doc_id, th, asked, text in rows:
+            words, _ = word_symbols([text], {})
+            ranges = RangeHash(mix(words, 7))
+            for one in asked:
+                at = np.arange(one["start"], one["start"] + one["n"])
+                for h, start in zip(ranges.of(at, at + window, 8).view(np.int64).tolist(), at.tolist()):
+                    key, place = (one["x"], h), (doc_id, th, start)
+                    other = firsts.setdefault(key, place)
+                    if other != place:
+                        firsts[key] = min(place, other)
+                        late = max(place, other)
+                        sure.append((hash(late), len(sure), *late, True))
+        out = [(*k, *p, False) for k, p in firsts.items()] + sure
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["x", "h", "doc_id", "th", "start", "sure"])
+
+    return run
 
 
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``doc_id``, ``th``, ``start``, ``n``: runs of n window starts whose windows stand earlier too."""
-    sent = owner_rows(docs, window)
-    often = settle(sent.select("x").groupBy("x").agg(F.count(F.lit(1)).alias("met")).where("met > 1").select("x"), "owners")
-    shared = settle(sent.join(often, "x"), "shared")
+    often = settle(owner_keys(docs, window).groupBy("x").agg(F.count(F.lit(1)).alias("met")).where("met > 1").select("x"), "owners")
+    shared = settle(owner_rows(docs, window).join(often, "x"), "shared")
     place = F.struct("doc_id", "th", "start")
-    classes = settle(shared.groupBy("x", "w").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("rows")), "classes")
+    classes = settle(shared.groupBy("x", "a").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.count(F.lit(1)).alias("rows")), "classes")
     # rows of a class after its first are repeats in whole
-    again = shared.join(classes.where("rows > 1").withColumnRenamed("first", "f"), ["x", "w"]).where(
-        place > F.col("f")).select("doc_id", "th", "start", F.size("w").alias("n"))
+    again = shared.join(classes.where("rows > 1").select("x", "a", F.col("first").alias("f")), ["x", "a"]).where(
+        place > F.col("f")).select("doc_id", "th", "start", "n")
     # classes of one owner: the same window may stand in several of them
     several = classes.groupBy("x").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1").select("x")
-    spread = classes.join(several, "x").select("x", "first", F.posexplode("w").alias("j", "h")).select(
-        "x", "h", F.struct(F.col("first.doc_id"), F.col("first.th"), (F.col("first.start") + F.col("j")).alias("start")).alias("place"))
-    spread = settle(spread, "spread")
-    earliest = settle(spread.groupBy("x", "h").agg(F.min("place").alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "earliest")
-    late = spread.join(earliest, ["x", "h"]).where(F.col("place") > F.col("f")).select("place.*", F.lit(1).alias("n"))
+    asked = classes.join(several, "x").select("first.*", "x", "n")
+    per_doc = settle(asked.groupBy("doc_id", "th").agg(F.collect_list(F.struct("x", "start", "n")).alias("asked")), "asked")
+    spread = sent_back(docs, per_doc, _spread(window), "x long, h long, doc_id long, th long, start int, sure boolean")
+    earliest = F.min(place).over(Window.partitionBy("x", "h"))
+    late = spread.withColumn("f", earliest).where(F.col("sure") | (place > F.col("f"))).select("doc_id", "th", "start", F.lit(1).alias("n"))
     return again.unionByName(late)
 
 

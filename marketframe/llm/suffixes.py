@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketframe.llm.common import raw, settle
-from marketframe.llm.passages import RangeHash, covered, identified, joined_batches, mix, with_marks
+from marketframe.llm.passages import RangeHash, covered, identified, joined_batches, mix, sent_back, with_marks
 
 WINDOW = 200
 GRAM = 64
@@ -299,17 +299,16 @@ def repeats(docs: DataFrame, window: int = WINDOW, part: int = PART) -> DataFram
         "x", parts.alias("parts"), F.pmod(F.xxhash64("a"), parts).cast("int").alias("own"), (F.col("rows") == 1).alias("single"), "first.*")
     per_doc = settle(asked.groupBy("doc_id", "th").agg(F.collect_list(F.struct("x", "parts", "own", "single", "pos", "l", "r")).alias("asked")), "asked")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["x", "parts", "own", "single", "doc_id", "th", "at", "text", "pos"]
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32()]
-        for rows in joined_batches(batches):
-            out = [(c["x"], c["parts"], c["own"], c["single"], doc_id, th, c["l"], text[c["pos"] - c["l"] : c["pos"] + c["r"]], c["pos"])
-                   for doc_id, th, wanted, text in rows for c in wanted]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
-
-    sent = identified(docs).join(per_doc, ["doc_id", "th"]).select("doc_id", "th", "asked", "text").mapInArrow(
-        cut, "x long, parts int, own int, single boolean, doc_id long, th long, at int, text binary, pos int")
+    names = ["x", "parts", "own", "single", "doc_id", "th", "at", "text", "pos"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32()]
+
+    def cut(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        out = [(c["x"], c["parts"], c["own"], c["single"], doc_id, th, c["l"], text[c["pos"] - c["l"] : c["pos"] + c["r"]], c["pos"])
+               for doc_id, th, wanted, text in rows for c in wanted]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+
+    sent = sent_back(docs, per_doc, cut, "x long, parts int, own int, single boolean, doc_id long, th long, at int, text binary, pos int")
     met = sent.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
         "x", F.hash(F.least("own", "other"), F.greatest("own", "other")).alias("pair"), "single", "doc_id", "th", "at", "text", "pos")
     dealt = met.repartition("x", "pair").sortWithinPartitions("x", "pair")
