@@ -32,7 +32,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -46,6 +45,8 @@ ROUNDS, OWNING = 5, (5, 4)
 
 _U = np.uint64
 _FAR = np.int64(1) << np.int64(40)
+_BLANK = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
+_BYTES = mix(np.arange(256, dtype=_U), 31)
 
 
 class Level:
@@ -160,19 +161,14 @@ def owners(words: np.ndarray, doc: np.ndarray, window: int = WINDOW, rounds: int
     return key_of, number
 
 
-def word_symbols(texts: list[bytes], known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+def word_symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts, one after the other, and the number of their text."""
-    found, counts = [], []
-    for text in texts:
-        words = text.split()
-        counts.append(len(words))
-        found += words
-    if len(known) > 1 << 19:
-        known.clear()
-    for word in set(found):
-        if word not in known:
-            known[word] = xxhash.xxh64_intdigest(word)
-    return np.array([known[w] for w in found], _U), np.repeat(np.arange(len(texts), dtype=np.int64), counts)
+    data = np.frombuffer(b"\n" + b"\n".join(texts) + b"\n", np.uint8)
+    blank = _BLANK[data]
+    edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    start, stop = edge[::2], edge[1::2]
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return RangeHash(_BYTES[data]).of(start, stop, 33), np.searchsorted(ends, start, "left").astype(np.int64)
 
 
 def owner_keys(docs: DataFrame, window: int) -> DataFrame:
@@ -187,9 +183,8 @@ def owner_rows(docs: DataFrame, window: int) -> DataFrame:
 
 def _owner_rows(docs: DataFrame, window: int, places: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
         for rows in joined_batches(batches):
-            words, doc = word_symbols([r[-1] for r in rows], known)
+            words, doc = word_symbols([r[-1] for r in rows])
             key_of, number = owners(words, doc, window)
             at = np.flatnonzero(number >= 0)
             if not len(at):
@@ -224,7 +219,7 @@ def _spread(window: int):
         firsts: dict[tuple[int, int], tuple] = {}
         sure = []
         for doc_id, th, asked, text in rows:
-            words, _ = word_symbols([text], {})
+            words, _ = word_symbols([text])
             ranges = RangeHash(mix(words, 7))
             for one in asked:
                 at = np.arange(one["start"], one["start"] + one["n"])

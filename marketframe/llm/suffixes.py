@@ -47,6 +47,8 @@ PART = 4096
 
 _U = np.uint64
 _TOP = _U(0xFFFFFFFFFFFFFFFF)
+#: Symbols of the bytes, for the anchors and for the contexts.
+_ANCHOR, _CONTEXT = (mix(np.arange(256, dtype=_U), salt) for salt in (21, 23))
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -70,7 +72,7 @@ def anchors(data: np.ndarray, doc: np.ndarray, window: int = WINDOW, gram: int =
     n, width = len(data), window - gram + 1
     if n < window:
         return np.zeros(0, np.int64), np.zeros(0, _U)
-    hashes = RangeHash(mix(data.astype(_U), 21))
+    hashes = RangeHash(_ANCHOR[data])
     at = np.arange(n - gram + 1)
     keys = np.maximum(hashes.of(at, at + gram, 22), _U(1))
     keys[doc[: n - gram + 1] != doc[gram - 1 :]] = _TOP
@@ -110,7 +112,7 @@ def contexts(docs: DataFrame, window: int) -> DataFrame:
             of = doc[place]
             left = np.minimum(place - begins[of], window - GRAM)
             right = np.minimum(begins[of + 1] - place, window)
-            context = RangeHash(mix(data.astype(_U), 23)).of(place - left, place + right, 24) if len(place) else key
+            context = RangeHash(_CONTEXT[data]).of(place - left, place + right, 24) if len(place) else key
             context = mix(context + left.astype(_U) * _U(1009) + right.astype(_U), 25)
             ids, ths = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
             yield pa.RecordBatch.from_arrays(
