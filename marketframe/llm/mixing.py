@@ -180,13 +180,15 @@ def fit(members: DataFrame, targets: dict[str, float], budget: float | None = No
     return steps
 
 
-def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, protect: str | None = None, margin: float = 1.0) -> DataFrame:
-    """``docs`` with a struct column ``mix`` (in place of one of that name): tokens, posterior and rate of each row."""
+def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, protect: str | None = None, margin: float = 1.0,
+                 into: str = "mix") -> DataFrame:
+    """``docs`` with a struct column ``into`` (in place of one of that name): tokens, posterior and rate of each row."""
     model = learn(docs, labels)
-    with_members = docs.withColumn("mix", memberships(F.col("text"), model))
-    members = settle(with_members.select("mix.tokens", "mix.p"), "members")
+    with_members = docs.withColumn(into, memberships(F.col("text"), model))
+    members = settle(with_members.select(F.col(into)["tokens"].alias("tokens"), F.col(into)["p"].alias("p")), "members")
     steps = fit(members, targets or TARGETS, protect=protect, margin=margin)
-    return with_members.withColumn("mix", F.struct("mix.tokens", "mix.p", rate(F.col("mix.p"), steps).alias("rate")))
+    tokens, p = F.col(into)["tokens"], F.col(into)["p"]
+    return with_members.withColumn(into, F.struct(tokens.alias("tokens"), p.alias("p"), rate(p, steps).alias("rate")))
 
 
 def copies(rate_of: Column, *key: Column) -> Column:

@@ -73,10 +73,10 @@ def sent_back(docs: DataFrame, wanted: DataFrame, run: Callable, schema: str) ->
     ``run`` takes lists of (doc_id, th, asked, text as bytes). The texts are dealt by key with
     all columns of ``docs``, as ``with_marks`` deals them: in one plan Spark shuffles them once.
     """
-    met = keyed(docs.drop("asked")).join(wanted.withColumnsRenamed({"doc_id": "__id", "th": "__th"}), ["__id", "__th"])
+    met = keyed(docs).join(wanted.withColumnsRenamed({"doc_id": "__id", "th": "__th", "asked": "__asked"}), ["__id", "__th"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = (b.select(["__id", "__th", "asked", "text"]) for b in batches)
+        own = (b.select(["__id", "__th", "__asked", "text"]) for b in batches)
         for group in joined_batches(own):
             yield from run([(i, th, asked, (text or "").encode()) for i, th, asked, text in group])
 
@@ -84,14 +84,14 @@ def sent_back(docs: DataFrame, wanted: DataFrame, run: Callable, schema: str) ->
 
 
 def with_marks(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``docs`` and a column ``marks`` (in place of one of that name): start, n, start, n, … of each row's marked windows.
+    """``docs`` and a column ``__marks``: start, n, start, n, … of each row's marked windows.
 
     ``found`` has ``doc_id``, ``th``, ``start`` and ``n``. A row's marks are no more than its
     text has places.
     """
     pairs = F.flatten(F.transform(F.collect_set(F.struct("start", "n")), lambda m: F.array(m.start, m.n)))
-    marks = found.groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).agg(pairs.alias("marks"))
-    return keyed(docs.drop("marks")).join(marks, ["__id", "__th"], "left").drop("__id", "__th")
+    marks = found.groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).agg(pairs.alias("__marks"))
+    return keyed(docs).join(marks, ["__id", "__th"], "left").drop("__id", "__th")
 
 
 def covered(marks: np.ndarray | None, n: int, window: int) -> np.ndarray | None:

@@ -274,7 +274,7 @@ def removal(text: Column, marks: Column, window: int = WINDOW) -> Column:
     return run(raw(text), marks)
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` with a struct column ``cut`` (in place of one of that name), see ``removal``."""
+def remove_repeats(docs: DataFrame, window: int = WINDOW, into: str = "cut") -> DataFrame:
+    """``docs`` with a struct column ``into`` (in place of one of that name), see ``removal``."""
     marked = with_marks(docs, repeats(docs, window))
-    return marked.withColumn("cut", removal(F.col("text"), F.col("marks"), window)).drop("marks")
+    return marked.withColumn(into, removal(F.col("text"), F.col("__marks"), window)).drop("__marks")

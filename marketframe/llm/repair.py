@@ -132,13 +132,15 @@ def compress(ids: np.ndarray, base: int, pairs: int = PAIRS_A_ROUND, min_count:
         found = np.searchsorted(chosen, keys[places])
         hit = (found < len(chosen)) & (chosen[np.minimum(found, len(chosen) - 1)] == keys[places])
         places, found = places[hit], found[hit]
-        # of overlapping places the more frequent pair wins, of equal ones the first
+        # of overlapping places the more frequent pair wins; in a run of one symbol every second place
         order = rank[found]
         before = np.full(len(places), len(chosen))
         after = before.copy()
         touch = np.diff(places) == 1
         before[1:][touch], after[:-1][touch] = order[:-1][touch], order[1:][touch]
-        won = (order < before) & (order <= after)
+        first = np.flatnonzero(np.concatenate([[True], ~touch | (order[1:] != order[:-1])])) if len(places) else places
+        even = (np.arange(len(places)) - np.repeat(first, np.diff(np.append(first, len(places))))) % 2 == 0
+        won = even & (order <= before) & (order <= after)
         places, found = places[won], found[won]
         used, names = np.unique(found, return_inverse=True)
         symbols[places] = following + names.astype(np.uint64)

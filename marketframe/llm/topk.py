@@ -17,6 +17,7 @@ What is left is verified by integer products, and the k best of each block are m
   id take no part. Vectors of different lengths of list never meet.
 * Ties go to the smaller id. Rows with the query's own id are no candidates; other repeated
   rows count once each; a repeated query row has one set of answers.
+* Scores beyond 64 bits stop at the ends of their range.
 * A query with fewer than k candidates gets all of them. An empty table gives no rows.
 """
 
@@ -90,7 +91,8 @@ def products(queries: np.ndarray, vectors: np.ndarray, bound: float) -> np.ndarr
     """Exact integer inner products; ``bound`` is on the product of two lengths."""
     if bound < EXACT:
         return (queries.astype(float) @ vectors.astype(float).T).astype(np.int64)
-    return (queries.astype(object) @ vectors.astype(object).T).astype(np.int64)
+    whole = queries.astype(object) @ vectors.astype(object).T
+    return np.clip(whole, -(1 << 63), (1 << 63) - 1).astype(np.int64)
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
