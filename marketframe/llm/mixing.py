@@ -8,10 +8,11 @@ its present total, by accelerated projected gradient from r = 1. With these weig
 largest curvature is 1, so steps of 1 converge. A step needs one sum over the documents; a
 document's rate is its own fold over the steps so far, so nothing but the sums moves.
 
-Classifier: naive Bayes over presence of words and of a few word shapes. It counts features
-in at most ``MAX_LABELLED`` labelled documents (the smallest hashes of doc_id), keeps those
-in ``MIN_DOCS`` documents or more whose share differs between a domain and the rest beyond
-chance (``MIN_Z``), at most ``MAX_FEATURES`` of them, and is then a table of bounded size.
+Classifier: naive Bayes over presence and absence of words and of a few word shapes. It
+counts features in at most ``MAX_LABELLED`` labelled documents (the smallest hashes of
+doc_id) and keeps markers: features in ``MIN_DOCS`` documents or more whose share differs
+between a domain and the rest beyond chance (``MIN_Z``) and is ``MIN_RATIO`` times that of
+either other domain. At most ``MAX_FEATURES`` are kept, so the table has a bounded size.
 Tokens are words: runs without blanks.
 
 * Null texts have no tokens; their posterior is the prior and their rate is that of any
@@ -25,12 +26,11 @@ Tokens are words: runs without blanks.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,45 +39,65 @@ from marketframe.llm.common import raw, settle
 DOMAINS = ("good", "poor", "toxic")
 #: Labelled documents that the classifier may read; labelled features it may keep.
 MAX_LABELLED, MAX_FEATURES = 20_000, 4096
-MIN_DOCS, MIN_Z = 10, 4.5
+MIN_DOCS, MIN_Z, MIN_RATIO = 10, 4.5, 2.5
 #: Softens the posteriors: log odds are divided by this.
 TEMPERATURE = 2.0
 TARGETS = {"good": 0.80, "poor": 0.15, "toxic": 0.05}
 MAX_STEPS, TOLERANCE = 60, 1e-4
+#: Steps without progress after which the fit ends: the targets are out of reach.
+STALLED = 10
 
-_LETTERS = re.compile(rb"[A-Za-z\x80-\xff]")
+_UPPER, _LOWER = bytes(range(65, 91)), bytes([*range(97, 123), *range(128, 256)])
+_OUTER = b".,;:!?()"
+#: Words that a worker remembers.
+_REMEMBERED = 1 << 19
 
 
-def features(words: list[bytes]) -> set[bytes]:
-    """Words in ASCII lower case without outer punctuation, and shapes that mark junk."""
+def plain(word: bytes) -> bytes:
+    """The word in ASCII lower case without outer punctuation."""
+    return word.lower().strip(_OUTER)
+
+
+def shapes(text: bytes, words: int, distinct: int) -> set[bytes]:
+    """Marks of junk: tenths of capitals, of what is no letter and of different words, and the size."""
+    if not words:
+        return set()
+    upper, lower = len(text) - len(text.translate(None, _UPPER)), len(text) - len(text.translate(None, _LOWER))
+    letters = upper + lower
+    return {b"\x00upper%d" % min(9, 10 * upper // max(1, letters)), b"\x00other%d" % min(9, 10 * (len(text) - letters) // len(text)),
+            b"\x00vary%d" % min(9, 10 * distinct // words), b"\x00size%d" % words.bit_length()}
+
+
+def features(text: bytes) -> set[bytes]:
+    words = text.split()
     distinct = set(words)
-    out = {w.lower().strip(b".,;:!?()") for w in distinct}
-    out |= {w[-2:] for w in distinct if w[-2:-1] in b"!?." and len(w) > 1}
-    if words:
-        loud = sum(w.isupper() and len(w) > 1 for w in words)
-        bare = sum(_LETTERS.search(w) is None for w in words)
-        out |= {b"\x00loud%d" % min(9, 10 * loud // len(words)), b"\x00bare%d" % min(9, 10 * bare // len(words)),
-                b"\x00vary%d" % min(9, 10 * len(distinct) // len(words)), b"\x00size%d" % len(words).bit_length()}
-    out.discard(b"")
-    return out
-
-
-@dataclass(frozen=True)
+    return ({plain(w) for w in distinct} | shapes(text, len(words), len(distinct))) - {b""}
+
+
 class Classifier:
     """Log prior, and for each feature what its presence adds, by domain."""
 
-    prior: np.ndarray
-    added: dict[bytes, np.ndarray]
-    temperature: float = TEMPERATURE
-
-    def posterior(self, words: list[bytes]) -> np.ndarray:
-        logit = self.prior.copy()
-        for feature in features(words):
-            more = self.added.get(feature)
-            if more is not None:
-                logit = logit + more / self.temperature
+    def __init__(self, prior: np.ndarray, added: dict[bytes, np.ndarray], temperature: float = TEMPERATURE) -> None:
+        self.prior, self.temperature = prior, temperature
+        self.number = {f: i for i, f in enumerate(added)}
+        self.table = np.array(list(added.values())).reshape(-1, len(DOMAINS)) / temperature
+        self.known: dict[bytes, int] = {}
+
+    def posterior(self, text: bytes) -> tuple[int, np.ndarray]:
+        """Number of words, and the posterior of the text."""
+        words = text.split()
+        distinct = set(words)
+        known, number = self.known, self.number
+        if len(known) > _REMEMBERED:
+            known.clear()
+        for word in distinct - known.keys():
+            known[word] = number.get(plain(word), -1)
+        present = {known[w] for w in distinct}
+        present.update(number.get(f, -1) for f in shapes(text, len(words), len(distinct)))
+        present.discard(-1)
+        logit = self.prior + self.table[list(present)].sum(axis=0)
         weight = np.exp(logit - logit.max())
-        return weight / weight.sum()
+        return len(words), weight / weight.sum()
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Classifier:
@@ -88,7 +108,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [(d, f) for d, t in zip(batch["domain"], batch["text"]) for f in (*features(t.split()), b"\x00all")]
+            found = [(d, f) for d, t in zip(batch["domain"], batch["text"]) for f in (*features(t), b"\x00all")]
             yield pd.DataFrame(found, columns=["domain", "feature"])
 
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("domain", raw("text").alias("text"))  # at most max_labelled ids
@@ -106,12 +126,11 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
         z.append(F.abs(F.col(f"n{k}") - expected) / F.sqrt(expected * (1 - sizes[k] / total) + 1e-9))
     best = counted.where(F.col("feature") != F.lit(b"\x00all")).withColumn("z", F.greatest(*z)).where(F.col("z") >= MIN_Z)
     rows = best.orderBy(F.col("z").desc(), "feature").limit(MAX_FEATURES).collect()
-    added = {}
-    for r in rows:
-        inside = np.array([r.n0, r.n1, r.n2], float)
-        share = np.log((inside + 0.5) / (np.array(sizes) + 1.0))
-        added[bytes(r.feature)] = share - share.mean()
-    return Classifier(np.log((np.array(sizes) + 0.5) / (total + 1.5)), added)
+    shares = {bytes(r.feature): (np.array([r.n0, r.n1, r.n2]) + 0.5) / (np.array(sizes) + 1.0) for r in rows}
+    # markers of one domain: what is merely common, and rare in junk, would be counted many times over
+    shares = {f: s for f, s in shares.items() if np.sort(s)[-1] >= MIN_RATIO * np.sort(s)[-2]}
+    absent = sum((np.log1p(-s) for s in shares.values()), np.zeros(3)) / TEMPERATURE
+    return Classifier(np.log((np.array(sizes) + 0.5) / (total + 1.5)) + absent, {f: np.log(s) - np.log1p(-s) for f, s in shares.items()})
 
 
 def memberships(text: Column, model: Classifier) -> Column:
@@ -120,33 +139,30 @@ def memberships(text: Column, model: Classifier) -> Column:
     @F.pandas_udf("struct<tokens:long,p:array<double>>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            split = [t.split() for t in texts]
-            yield pd.DataFrame({"tokens": [len(w) for w in split], "p": [model.posterior(w).tolist() for w in split]})
+            found = [model.posterior(t) for t in texts]
+            yield pd.DataFrame({"tokens": [n for n, _ in found], "p": [p.tolist() for _, p in found]})
 
     return run(raw(text))
 
 
-def _momentum(step: int) -> float:
-    return step / (step + 3.0)
-
+def walk(p: np.ndarray, steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
+    """Rates ``x`` of rows of posteriors after the steps, and ``y``, where the next gradient is taken."""
+    x = y = np.ones(len(p))
+    for i, e in enumerate(steps):
+        after = np.maximum(0.0, y - p @ np.array(e))
+        x, y = after, after + i / (i + 3.0) * (after - x)
+    return x, y
 
-def walk(p: Column, steps: list[list[float]]) -> Column:
-    """Struct of ``x``, a document's rate after the steps, and ``y``, where the next gradient is taken."""
-    start = F.struct(F.lit(1.0).alias("x"), F.lit(1.0).alias("y"))
-    if not steps:
-        return start
-    told = F.array(*[F.array(*[F.lit(float(v)) for v in (*e, _momentum(i))]) for i, e in enumerate(steps)])
 
-    def move(state: Column, e: Column) -> Column:
-        pull = p[0] * e[0] + p[1] * e[1] + p[2] * e[2]
-        x = F.greatest(F.lit(0.0), state.y - pull)
-        return F.struct(x.alias("x"), (x + e[3] * (x - state.x)).alias("y"))
-
-    return F.aggregate(told, start, move)
+def rate(p: Column, steps: list[list[float]]) -> Column:
+    """The rate of a document after the steps: a fold of its own posterior over them."""
 
+    @F.pandas_udf("double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for rows in batches:
+            yield pd.Series(walk(np.array(rows.tolist()).reshape(-1, len(DOMAINS)), steps)[0])
 
-def rate(p: Column, steps: list[list[float]]) -> Column:
-    return walk(p, steps).x
+    return run(p)
 
 
 def fit(members: DataFrame, targets: dict[str, float], budget: float | None = None, protect: str | None = None, margin: float = 1.0,
@@ -161,9 +177,17 @@ def fit(members: DataFrame, targets: dict[str, float], budget: float | None = No
 
     def totals(steps: list[list[float]]) -> np.ndarray:
         """Two rows: the domains' expected tokens at x and at y."""
-        at = members.select(walk(F.col("p"), steps).alias("w"), "tokens", "p")
-        row = at.agg(*[F.sum(F.col("w")[f] * F.col("tokens") * F.col("p")[k]) for f in "xy" for k in range(len(DOMAINS))]).first()
-        return np.array([v or 0.0 for v in row]).reshape(2, -1)
+
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                tokens = batch.column("tokens").to_numpy(zero_copy_only=False)
+                p = batch.column("p").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(DOMAINS))
+                both = [(r * tokens) @ p for r in walk(p, steps)]
+                yield pa.RecordBatch.from_arrays([pa.array([v]) for v in np.concatenate(both)], names)
+
+        names = [f"{f}{k}" for f in "xy" for k in range(len(DOMAINS))]
+        parts = members.select("tokens", "p").mapInArrow(sums, ", ".join(f"{n} double" for n in names))
+        return np.array([v or 0.0 for v in parts.agg(*[F.sum(n) for n in names]).first()]).reshape(2, -1)
 
     now = totals([])
     start = now[0].copy()
@@ -172,8 +196,10 @@ def fit(members: DataFrame, targets: dict[str, float], budget: float | None = No
     target = weight * (start.sum() if budget is None else budget)
     inverse = np.where(start > 0, 1 / np.where(start > 0, start, 1), 0.0)
     steps: list[list[float]] = []
+    errors: list[float] = []
     for _ in range(max_steps):
-        if np.abs((now[0] - target) * inverse).max() < tolerance:
+        errors.append(float(np.abs((now[0] - target) * inverse).max()))
+        if errors[-1] < tolerance or len(errors) > STALLED and min(errors[-STALLED:]) > 0.99 * min(errors[:-STALLED]):
             break
         steps.append(((now[1] - target) * inverse).tolist())
         now = totals(steps)
@@ -181,14 +207,18 @@ def fit(members: DataFrame, targets: dict[str, float], budget: float | None = No
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, protect: str | None = None, margin: float = 1.0,
-                 into: str = "mix") -> DataFrame:
-    """``docs`` with a struct column ``into`` (in place of one of that name): tokens, posterior and rate of each row."""
+                 into: str = "mix", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all unless given) with a struct column ``into``: tokens, posterior and rate of each row.
+
+    ``into`` takes the place of a column of that name. The texts are classified once; steps
+    and result read the settled table.
+    """
     model = learn(docs, labels)
-    with_members = docs.withColumn(into, memberships(F.col("text"), model))
-    members = settle(with_members.select(F.col(into)["tokens"].alias("tokens"), F.col(into)["p"].alias("p")), "members")
-    steps = fit(members, targets or TARGETS, protect=protect, margin=margin)
+    with_members = docs.withColumn(into, memberships(F.col("text"), model)).select(*[c for c in keep or docs.columns if c != into], into)
+    members = settle(with_members, "members")
     tokens, p = F.col(into)["tokens"], F.col(into)["p"]
-    return with_members.withColumn(into, F.struct(tokens.alias("tokens"), p.alias("p"), rate(p, steps).alias("rate")))
+    steps = fit(members.select(tokens.alias("tokens"), p.alias("p")), targets or TARGETS, protect=protect, margin=margin)
+    return members.withColumn(into, F.struct(tokens.alias("tokens"), p.alias("p"), rate(p, steps).alias("rate")))
 
 
 def copies(rate_of: Column, *key: Column) -> Column:

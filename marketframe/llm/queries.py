@@ -31,7 +31,7 @@ def op3_suffix_repeats(spark: SparkSession, folder: str) -> DataFrame:
 
 def op4_target_weights(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    mixed = mixing.mixing_rates(docs, table(spark, folder, "labels"))
+    mixed = mixing.mixing_rates(docs, table(spark, folder, "labels"), keep=["doc_id"])
     share = [F.col("mix.p")[k].alias(f"p_{name}") for k, name in enumerate(mixing.DOMAINS)]
     return mixed.select("doc_id", F.col("mix.tokens").alias("n_tokens"), *share, F.col("mix.rate").alias("rate"))
 
