@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from marketframe.functions.scalar import fee
 from marketframe.functions.timeseries import forward_fill, ordered, running
@@ -76,11 +75,11 @@ def reinvested_units(fills: DataFrame, panel: DataFrame, sessions: DataFrame) ->
 
 def fill_faults(fills: DataFrame, bars: DataFrame, sessions: DataFrame, *, bps: float, minimum: float, slippage_bps: float,
                 lot: int, participation: float, multiplier: float = 1.0) -> DataFrame:
-    """Fills with the audit rules they break."""
+    """Fills with the audit rules they break. The calendar has at most 366 rows a year, hence its broadcasts."""
     s = sessions.select(F.col("date").alias("signal_date"), F.col("session_no").alias("_a"))
     e = sessions.select("date", F.col("session_no").alias("_b"))
     b = bars.select("symbol", "date", F.col("open").alias("_open"), F.col("high").alias("_high"), F.col("low").alias("_low"), F.col("volume").alias("_volume"))
-    j = fills.join(s, "signal_date", "left").join(e, "date", "left").join(b, ["symbol", "date"], "left")
+    j = fills.join(F.broadcast(s), "signal_date", "left").join(F.broadcast(e), "date", "left").join(b, ["symbol", "date"], "left")
     sign = F.when(F.col("side") == "BUY", 1).otherwise(-1)
     expected = F.col("_open") * (1 + sign * slippage_bps / 10000 * multiplier)
     ratio = F.col("quantity") / lot

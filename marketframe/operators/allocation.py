@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marketframe.functions.timeseries import YEAR_SESSIONS, flag, forward_fill, holds, rolling_count, ts_mean
+from marketframe.functions.timeseries import YEAR_SESSIONS, flag, rolling_count, ts_mean
 from marketframe.session import cut_lineage
 
 # Largest share of each asset class, of one asset, and of all equity.
@@ -19,7 +19,6 @@ GROUP_CAPS = {
     "cn_equity": 0.35, "us_equity": 0.30, "hk_equity": 0.15, "gold": 0.30, "bond": 0.30, "commodity": 0.20,
 }
 ASSET_CAP, EQUITY_CAP = 0.30, 0.60
-MAX_UNIVERSE = 30
 
 DAY = ["strategy_id", "date"]
 
@@ -241,26 +240,23 @@ def adaptive_weights(
     return w.join(risk, DAY, "left").withColumn("scale", scale).withColumn("weight", F.col("weight") * F.coalesce("scale", F.lit(1.0)))
 
 
-# --- pairs in a small universe ------------------------------------------------------------
+# --- named pairs ------------------------------------------------------------
 
 
-def rolling_pairs(returns: DataFrame, symbols: list[str], window: int, needed: int, shrinkage: float = 0.0) -> DataFrame:
-    """Rolling correlation and annual covariance of every pair of a configured universe.
+def rolling_pairs(returns: DataFrame, pairs: list[tuple[str, str]], window: int, needed: int, shrinkage: float = 0.0) -> DataFrame:
+    """Rolling correlation and annual covariance of the pairs the caller names.
 
-    The universe is a short list, laid out as columns, and each pair becomes one series
-    of its own, so pairs run in parallel without a self join. Never meant for a whole
-    stock market.
+    Each return goes to the named pairs that hold its symbol, and the two sides of a pair
+    and date meet in one aggregate: as many rows as named pairs have dates, whatever the
+    size of the universe. ``returns`` has a row per symbol and session, so a date on which
+    one side is missing keeps its slot in the window.
     """
-    if len(symbols) > MAX_UNIVERSE:
-        raise ValueError(f"pairs are for allocation universes of at most {MAX_UNIVERSE} assets")
-    wide = returns.groupBy("date").pivot("symbol", symbols).agg(F.first("ret"))
-    listed = F.array(*[
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}`").alias("x"), F.col(f"`{b}`").alias("y"))
-        for a, b in pair_names(symbols)])
-    # a date on which one side is missing keeps its slot in the window
-    slots = wide.select("date", F.explode(F.transform(listed, lambda p: F.struct(
-        p["a"].alias("a"), p["b"].alias("b"),
-        F.when(p["y"].isNotNull(), p["x"]).alias("x"), F.when(p["x"].isNotNull(), p["y"]).alias("y")))).alias("p")).select("date", "p.*")
+    sides = [(s, side, a, b) for a, b in pairs for s, side in ((a, 0), (b, 1))]
+    legs = returns.sparkSession.createDataFrame(sides, "symbol string, side int, a string, b string")
+    leg = returns.select("symbol", "date", "ret").join(legs, "symbol")
+    met = leg.groupBy("a", "b", "date").agg(
+        F.max(F.when(F.col("side") == 0, F.col("ret"))).alias("x"), F.max(F.when(F.col("side") == 1, F.col("ret"))).alias("y"))
+    slots = met.select("date", "a", "b", F.when(F.col("y").isNotNull(), F.col("x")).alias("x"), F.when(F.col("x").isNotNull(), F.col("y")).alias("y"))
     w = Window.partitionBy("a", "b").orderBy("date").rowsBetween(1 - window, 0)
     x, y = F.col("x"), F.col("y")
     shrink = F.when(F.col("a") == F.col("b"), 1.0).otherwise(1 - shrinkage)
@@ -274,10 +270,13 @@ def rolling_pairs(returns: DataFrame, symbols: list[str], window: int, needed: i
 
 def rotation_weights(
     scores: DataFrame, assets: DataFrame, returns: DataFrame, sessions: DataFrame, *, top_n: int, max_asset: float,
-    max_group: float, cash_buffer: float, window: int, target: float,
+    max_group: float, cash_buffer: float, window: int, targets: list[float],
 ) -> DataFrame:
     """Picks per sleeve with class limits, averaged, bonds filled in, then the shrunk ceiling.
 
+    Each family is a variant for each of the target volatilities: the picks and the risk are
+    worked out once, and only the last step differs.
+
     ``scores`` has one row per family, sleeve, symbol and date. Ranking, sizing, class
     limits and the bond fill are windows inside one (family, date) partition, so the
     scores are shuffled once.
@@ -308,11 +307,11 @@ def rotation_weights(
     added = F.when(F.col("_fill"), F.least(F.lit(max_asset), F.greatest(F.lit(0.0), room - earlier))).otherwise(0.0)
     w = mean.withColumn("weight", F.col("weight") + added).where("weight > 0").select(
         F.col("family").alias("strategy_id"), "date", "symbol", "weight").join(sessions, "date")
-    return shrunk_ceiling(cut_lineage(w), returns, window, target, 0.25)
+    return shrunk_ceiling(cut_lineage(w), returns, window, targets, 0.25)
 
 
-def shrunk_ceiling(weights: DataFrame, returns: DataFrame, window: int, target: float, shrinkage: float) -> DataFrame:
-    """Volatility ceiling with the covariance shrunk to its diagonal.
+def shrunk_ceiling(weights: DataFrame, returns: DataFrame, window: int, targets: list[float], shrinkage: float) -> DataFrame:
+    """Volatility ceiling with the covariance shrunk to its diagonal, for each target volatility.
 
     w'((1-s)C + s·diag C)w = (1-s)·var(portfolio) + s·Σ w²·var(asset), so the pairs
     are not needed. Without a full history of every held asset the weights are zero.
@@ -323,8 +322,10 @@ def shrunk_ceiling(weights: DataFrame, returns: DataFrame, window: int, target:
     j = weights.join(portfolio_risk(weights, returns, window), DAY).join(alone, DAY)
     risk = F.sqrt(F.greatest(F.lit(0.0), (1 - shrinkage) * F.col("risk") * F.col("risk") + shrinkage * F.col("alone")))
     ready = F.col("complete") & (F.col("session_no") >= window)
+    each = j.withColumn("target_vol", F.explode(F.array(*[F.lit(float(t)) for t in targets])))
+    target = F.col("target_vol")
     scale = F.when(~ready, 0.0).when(risk > target, target / risk).otherwise(1.0)
-    return j.withColumn("weight", F.col("weight") * scale).select("strategy_id", "date", "symbol", "weight")
+    return each.withColumn("weight", F.col("weight") * scale).select("strategy_id", "target_vol", "date", "symbol", "weight")
 
 
 # --- combining weights ------------------------------------------------------------------
@@ -473,13 +474,6 @@ def collapse_bucket(assets: DataFrame, bucket: str, into: str) -> DataFrame:
         ~mine | (F.col("symbol") == into))
 
 
-def variants(df: DataFrame, families: list[str], targets: list[float]) -> DataFrame:
-    """Repeat rows for every combination of family and volatility target."""
-    rows = [F.struct(F.lit(f"{f}_v{round(v * 100)}").alias("strategy_id"), F.lit(f).alias("family"), F.lit(v).alias("target_vol"))
-            for f in families for v in targets]
-    return df.withColumn("_v", F.explode(F.array(*rows))).select("_v.*", *df.columns)
-
-
 def constant_benchmark(assets: DataFrame, sessions: DataFrame, strategy_weights: DataFrame, strategy: str = "benchmark") -> DataFrame:
     """Constant weights, zero until the strategy first invests."""
     start = strategy_weights.where("weight > 0").agg(F.min("date")).scalar()

@@ -58,7 +58,7 @@ def asof_backward(
             *by, F.col(right_on).alias("_t"), F.lit(right_order).alias("_side"),
             F.lit(None).cast(left_type).alias("_left"), right_side.alias("_right"),
         )
-    ).withColumn("_bucket", F.date_trunc(bucket, "_t"))
+    ).withColumn("_bucket", F.date_trunc(bucket, "_t")).repartition(*by, "_bucket")
 
     inside = Window.partitionBy(*by, "_bucket").orderBy("_t", "_side", "_right").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
@@ -66,12 +66,19 @@ def asof_backward(
     found = rows.withColumn("_in", F.last("_right", ignorenulls=True).over(inside)).where("_left IS NOT NULL")
 
     earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    # asks for the same columns as ``found``: Spark then computes and shuffles the rows once for both
+    lasts = rows.groupBy(*by, "_bucket").agg(
+        F.max("_right").alias("_last"), F.count("_left").alias("_lefts"), F.max("_t").alias("_until"), F.max("_side").alias("_top"))
     carried = (
-        rows.groupBy(*by, "_bucket").agg(F.max("_right").alias("_last"))
+        lasts.where("_lefts >= 0 AND (_until IS NULL OR _top >= 0)")
         .select(*by, "_bucket", F.last("_last", ignorenulls=True).over(earlier).alias("_before"))
         .where("_before IS NOT NULL")
     )
-    joined = found.join(carried, [*by, "_bucket"], "left").select(
+    keys = [*by, "_bucket"]
+    before = carried.select(*[F.col(k).alias(f"_at_{k}") for k in keys], "_before")
+    # null-safe, as the windows group; a plain equality would filter one use of the rows only
+    same = [F.col(k).eqNullSafe(F.col(f"_at_{k}")) for k in keys]
+    joined = found.join(before, same, "left").select(
         "_left.*", "_t", F.coalesce("_in", "_before").alias("_match")
     )
     if tolerance is not None:

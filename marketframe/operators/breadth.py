@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marketframe.functions.timeseries import by_symbol, flag, holds, rolling_count, rolling_mean
+from marketframe.functions.timeseries import by_symbol, holds, rolling_count, rolling_mean
 from marketframe.operators.asof import members_on
 
 

@@ -157,15 +157,14 @@ def with_seasonal_surprise(known: DataFrame, field: str = "n_income_attr_p") ->
 def financial_factors(income: DataFrame, cashflow: DataFrame, balance: DataFrame, cutoffs: DataFrame) -> DataFrame:
     """Surprise and quality factors per cutoff and stock, all cutoffs in one job.
 
-    A surprise may need statements thirteen quarters before the latest one, which
-    may itself be 550 days old; older versions are not carried along.
+    The whole known history counts: availability is the latest over all earlier
+    periods, and a stock whose newest report is old keeps its row.
     """
-    reach = 19 + 3 * 14
     keys = ["cutoff", "ts_code"]
     running = by_quarter().rangeBetween(Window.unboundedPreceding, 0)
 
     def known(df: DataFrame, name: str) -> DataFrame:
-        d = known_versions(df, cutoffs.select("cutoff"), ["ts_code", "end_date"], reach)
+        d = known_versions(df, cutoffs.select("cutoff"), ["ts_code", "end_date"])
         return d.withColumn(f"{name}_at", F.max("available_at").over(running))
 
     capital = F.col("accounts_receiv") + F.col("inventories")

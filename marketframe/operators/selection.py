@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -17,10 +17,10 @@ def latest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 def top_n(df: DataFrame, score: str, n: int, keys: list[str], tie: list[str], all_or_nothing: bool = False) -> DataFrame:
     """Best ``n`` rows per key by score, ties by ``tie``; optionally none if fewer exist."""
     order = Window.partitionBy(*keys).orderBy(F.desc(score), *tie)
-    ranked = df.where(F.col(score).isNotNull()).withColumn("rank", F.row_number().over(order))
-    if all_or_nothing:
+    ranked = df.where(F.col(score).isNotNull()).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    if all_or_nothing:  # counted after the limit, which Spark then applies before the shuffle
         ranked = ranked.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).where(F.col("_n") >= n).drop("_n")
-    return ranked.where(F.col("rank") <= n)
+    return ranked
 
 
 def top_n_capped(

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marketframe.functions import scalar
-from marketframe.operators import asof, dedup, panel as P, quality as Q
+from marketframe.operators import panel as P, quality as Q
 from marketframe.plans.features import LISTING, fund_shares, listings
 from marketframe.plans.registry import frame, part, query, roll
+from marketframe.session import work_folder
 from marketframe.sources import bars as B, disclosures as D, series, vendor
 from marketframe.sources.market import Market
 
@@ -206,9 +209,23 @@ def bound_check(m):
 # --- sources -------------------------------------------------------------------------
 
 
-@query("s01_absent_symbols", "SELECT DISTINCT p_brand AS symbol FROM part WHERE p_brand NOT IN (SELECT symbol FROM brand_bars WHERE close > 95000)")
+@query("s02_written_bars", "SELECT symbol, date, open, high, low, close, volume, amount, adj_factor FROM brand_bars", floats="open high low close volume amount adj_factor", dates="date", digits=4)
+def written_bars(m):
+    """Bars written by year after the checks, and read back for the wanted symbols."""
+    path = f"{work_folder(m.spark)}/bars-{uuid.uuid4().hex}"
+    B.write_bars(m.bars("p_brand").select(*[f.name for f in B.BAR_SCHEMA]), path)
+    return B.read_bars(m.spark, path, m.brand_assets).select(*[f.name for f in B.BAR_SCHEMA])
+
+
+def dear_bars(m: Market, share: float) -> DataFrame:
+    """Bars that closed above a share of the highest close of all."""
+    bars = m.bars("p_brand")
+    return bars.where(F.col("close") > share * bars.agg(F.max("close")).scalar())
+
+
+@query("s01_absent_symbols", "SELECT DISTINCT p_brand AS symbol FROM part WHERE p_brand NOT IN (SELECT symbol FROM brand_bars WHERE close > 0.9 * (SELECT max(close) FROM brand_bars))")
 def absent_symbols(m):
-    return B.absent_symbols(m.bars("p_brand").where("close > 95000"), m.brand_assets)
+    return B.absent_symbols(dear_bars(m, 0.9), m.brand_assets)
 
 
 VENDOR_BARS = "SELECT symbol AS ts_code, strftime(date, '%Y%m%d') AS trade_date, open, high, low, CASE WHEN day(date) = 8 THEN 'n/a' ELSE close::VARCHAR END AS close, volume AS vol, amount FROM brand_bars"
@@ -307,11 +324,11 @@ def benchmark_coverage(m):
 
 @query("s14_source_preference",
        """SELECT symbol, count(*) AS rows, (count(*) >= 127)::INT AS usable FROM (
-            SELECT symbol, date FROM brand_bars WHERE close > 20000 UNION ALL SELECT symbol, date FROM type_bars
-            UNION ALL SELECT symbol, date FROM brand_bars WHERE symbol NOT IN (SELECT symbol FROM brand_bars WHERE close > 20000)) WHERE symbol NOT IN (SELECT symbol FROM type_assets) GROUP BY symbol""")
+            SELECT symbol, date FROM brand_bars WHERE close > 0.4 * (SELECT max(close) FROM brand_bars) UNION ALL SELECT symbol, date FROM type_bars
+            UNION ALL SELECT symbol, date FROM brand_bars WHERE symbol NOT IN (SELECT symbol FROM brand_bars WHERE close > 0.4 * (SELECT max(close) FROM brand_bars))) WHERE symbol NOT IN (SELECT symbol FROM type_assets) GROUP BY symbol""")
 def source_preference(m):
     b = m.bars("p_brand").select("symbol", "date")
-    research = m.bars("p_brand").where("close > 20000").select("symbol", "date").unionByName(m.bars("p_type").select("symbol", "date"))
+    research = dear_bars(m, 0.4).select("symbol", "date").unionByName(m.bars("p_type").select("symbol", "date"))
     return B.usable_universe(B.prefer(research, b), m.type_assets)
 
 
@@ -332,9 +349,9 @@ def union_all(m):
     return a.unionByName(m.bars("p_type").select(F.lit("type").alias("source"), "date")).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("u02_union_distinct", "SELECT symbol FROM members UNION SELECT symbol FROM brand_bars WHERE close > 50000")
+@query("u02_union_distinct", "SELECT symbol FROM members UNION SELECT symbol FROM brand_bars WHERE close > 0.7 * (SELECT max(close) FROM brand_bars)")
 def union_distinct(m):
-    return D.members(m).select("symbol").unionByName(m.bars("p_brand").where("close > 50000").select("symbol")).distinct()
+    return D.members(m).select("symbol").unionByName(dear_bars(m, 0.7).select("symbol")).distinct()
 
 
 @query("u03_common_dates", "SELECT date FROM type_bars GROUP BY date HAVING count(DISTINCT symbol) = (SELECT count(DISTINCT symbol) FROM type_bars)", dates="date")

@@ -8,8 +8,8 @@ from pyspark.sql.window import Window
 
 from marketframe.functions.ranks import percent_rank_average
 from marketframe.functions.timeseries import change, divide, rolling_std
-from marketframe.operators import asof, bootstrap, panel as P, selection, xsection as X
-from marketframe.plans.features import DEFAULT_FACTORS, LISTING, OWN, default_factors, listings
+from marketframe.operators import panel as P, selection, xsection as X
+from marketframe.plans.features import DEFAULT_FACTORS, LISTING, default_factors, listings
 from marketframe.plans.registry import lag, part, query, roll
 from marketframe.sources.market import Market
 
@@ -24,10 +24,10 @@ def rank_sql(x: str, keys: str = "date", desc: bool = False) -> str:
 @query("x01_percentile_rank",
        """SELECT a.symbol, a.date, ((SELECT count(*) FILTER (b.v < a.v) + (count(*) FILTER (b.v = a.v) + 1) / 2.0 FROM q b WHERE b.date = a.date)) /
           (SELECT count(b.v) FROM q b WHERE b.date = a.date) AS pct FROM q a WHERE a.v IS NOT NULL""".join(
-           ["WITH q AS (SELECT symbol, date, CASE WHEN volume < 40 THEN floor(volume / 5) END AS v FROM brand_bars) ", ""]),
+           ["WITH q AS (SELECT symbol, date, floor(volume / 5) AS v FROM brand_bars) ", ""]),
        floats="pct", dates="date")
 def percentile_rank(m):
-    v = m.bars("p_brand").select("symbol", "date", F.when(F.col("volume") < 40, F.floor(F.col("volume") / 5)).alias("v"))
+    v = m.bars("p_brand").select("symbol", "date", F.floor(F.col("volume") / 5).alias("v"))
     return v.select("symbol", "date", percent_rank_average(F.col("v"), "date").alias("pct")).where("pct IS NOT NULL")
 
 

@@ -38,7 +38,7 @@ def fills(m: Market) -> DataFrame:
         w = Window.orderBy("date")
         before = m.sessions.select("date", F.lag("date").over(w).alias("_before"))
         n = F.col("l_extendedprice")
-        return m.trades.join(before, "date").select(
+        return m.trades.join(F.broadcast(before), "date").select(  # the calendar: at most 366 rows a year
             F.col("o_orderpriority").alias("account"), F.col("p_type").alias("symbol"), "date",
             F.when(F.col("l_linenumber") == 7, F.col("date")).otherwise(F.col("_before")).alias("signal_date"),
             F.when(F.col("l_returnflag") == "A", "SELL").otherwise("BUY").alias("side"), F.col("l_quantity").alias("quantity"),

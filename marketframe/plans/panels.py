@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marketframe.functions.ranks import percent_rank_average
 from marketframe.functions.timeseries import finite, rolling_std
 from marketframe.operators import asof, breadth as BR, fundamentals as G, panel as P, xsection as X
 from marketframe.plans.crosssection import rank_sql
@@ -14,7 +13,6 @@ from marketframe.plans.pointintime import (
     cutoffs, estimates, flagged_names, industry_at, prepared, revision_dates, surprises,
 )
 from marketframe.plans.registry import frame, lag, part, query, roll
-from marketframe.session import cut_lineage
 from marketframe.sources import disclosures as D
 from marketframe.sources.market import Market
 from marketframe.sources.vendor import universe_audit
@@ -97,6 +95,20 @@ def quality_factors(m):
         "cutoff", "ts_code", "quality_period", "cash_profitability", "negative_accruals", "gross_profitability", "working_capital_discipline")
 
 
+def _availability(kind: str) -> str:
+    return f"""(SELECT q.cutoff, q.ts_code, max(k.available_at) AS at FROM quality q JOIN known_{kind} k
+  ON k.cutoff = q.cutoff AND k.ts_code = q.ts_code AND k.end_date <= q.quality_period GROUP BY q.cutoff, q.ts_code)"""
+
+
+@query("g06_availability", f"""
+SELECT l.cutoff, l.ts_code, CASE WHEN l.cutoff::DATE - l.end_date <= 550 THEN l.sue_available_at END AS sue_available_at, greatest(i.at, c.at, b.at) AS quality_available_at
+FROM latest_income l LEFT JOIN {_availability('income')} i USING (cutoff, ts_code) LEFT JOIN {_availability('cashflow')} c USING (cutoff, ts_code)
+LEFT JOIN {_availability('balance')} b USING (cutoff, ts_code)""", dates="cutoff sue_available_at quality_available_at")
+def availability(m):
+    """When surprise and quality became known: the latest over all earlier periods, however old."""
+    return financials(m).select("cutoff", "ts_code", "sue_available_at", "quality_available_at")
+
+
 part("valued_reports", """
 SELECT c.date, v.symbol, CASE WHEN v.pe_ttm > 0 THEN 1 / v.pe_ttm END AS ep, CASE WHEN v.pb > 0 THEN 1 / v.pb END AS bp,
        r.roe * 12 / month(r.end_date) AS roe, r.roa * 12 / month(r.end_date) AS roa, r.end_date AS report_end_date

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marketframe.functions.timeseries import change, divide, finite, flag, holds, rolling, rolling_mean, rolling_percent_rank
+from marketframe.functions.timeseries import change, rolling_percent_rank
 from marketframe.operators import asof, dedup, panel as P
 from marketframe.operators import fundamentals as G
-from marketframe.plans.registry import frame, lag, part, query, roll
+from marketframe.plans.registry import lag, part, query, roll
 from marketframe.sources import disclosures as D
 from marketframe.sources.market import Market
 

@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marketframe.functions.timeseries import flag, rolling_mean
+from marketframe.functions.timeseries import rolling_mean
 from marketframe.operators import allocation as A, panel as P, selection, xsection as X
 from marketframe.plans.crosssection import brand_scores, rotation_features
-from marketframe.plans.pointintime import PEPB
 from marketframe.plans.registry import frame, lag, part, query, roll
 from marketframe.session import cut_lineage
 from marketframe.sources.market import TYPE_ASSETS, Market
@@ -213,12 +212,12 @@ def pairs_sql(value: str, window: int, needed: int) -> str:
 
 @query("x12_pair_correlation", pairs_sql("r AS correlation", 126, 100), floats="correlation", dates="date")
 def pair_correlation(m):
-    return A.rolling_pairs(type_returns(m), SYMBOLS, 126, 100).select("date", "a", "b", "correlation")
+    return A.rolling_pairs(type_returns(m), A.pair_names(SYMBOLS), 126, 100).select("date", "a", "b", "correlation")
 
 
 @query("x13_pair_covariance", pairs_sql("CASE WHEN same THEN c * 252 ELSE 0.7 * c * 252 END AS covariance", 60, 60), floats="covariance", dates="date", digits=3)
 def pair_covariance(m):
-    return A.rolling_pairs(type_returns(m), SYMBOLS, 60, 60, 0.3).select("date", "a", "b", "covariance")
+    return A.rolling_pairs(type_returns(m), A.pair_names(SYMBOLS), 60, 60, 0.3).select("date", "a", "b", "covariance")
 
 
 @query("j21_asset_pairs", "SELECT a, b, count(*) FILTER (ra IS NOT NULL AND rb IS NOT NULL) AS sessions, covar_samp(ra, rb) AS covariance FROM type_pairs GROUP BY a, b",
@@ -237,7 +236,7 @@ def asset_pairs(m):
 
 # --- rotation ------------------------------------------------------------------------------
 
-ROTATED = f"""
+ROTATION = f"""
   WITH picks AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY family, date, sleeve ORDER BY score DESC, position) AS k FROM (
       SELECT r.family, r.date, r.sleeve, r.symbol, r.score, r.vol, a.bucket, a.position FROM rotation_scores r JOIN type_assets a ON a.symbol = r.symbol WHERE r.allowed AND a.bucket <> 'bond' AND r.score IS NOT NULL)) WHERE k <= 3),
   sized AS (SELECT *, least(raw / sum(raw) OVER (PARTITION BY family, date, sleeve) * 0.99, 0.30) AS w FROM (SELECT *, CASE WHEN family = 'dual' THEN 1 ELSE 1 / greatest(vol, 0.08) END AS raw FROM picks)),
@@ -247,21 +246,25 @@ ROTATED = f"""
      FROM (SELECT DISTINCT family, date FROM rotation_scores WHERE eligible) l JOIN rotation_features b ON b.date = l.date AND b.symbol = 'SMALL' WHERE b.eligible AND b.trend60 > 0),
   w AS (SELECT x.family AS strategy_id, x.date, s.session_no, x.symbol, x.weight FROM (SELECT * FROM mean UNION ALL SELECT * FROM bonds) x JOIN sessions s ON s.date = x.date WHERE x.weight > 0),
   h AS ({risk_sql('SELECT * FROM w', 60)}),
-  alone AS (SELECT w.strategy_id, w.date, sum(w.weight * w.weight * v.v) AS alone FROM w JOIN (SELECT symbol, date, var_samp(ret) OVER {frame(60)} * 252 AS v FROM type_marked) v ON v.symbol = w.symbol AND v.date = w.date GROUP BY ALL)
-  SELECT w.strategy_id, w.date, w.symbol, w.weight * CASE WHEN NOT h.complete THEN 0 WHEN sqrt(0.75 * h.risk * h.risk + 0.25 * alone) > 8.0 THEN 8.0 / sqrt(0.75 * h.risk * h.risk + 0.25 * alone) ELSE 1 END AS weight
-  FROM w JOIN h USING (strategy_id, date) JOIN alone USING (strategy_id, date)"""
+  alone AS (SELECT w.strategy_id, w.date, sum(w.weight * w.weight * v.v) AS alone FROM w JOIN (SELECT symbol, date, var_samp(ret) OVER {frame(60)} * 252 AS v FROM type_marked) v ON v.symbol = w.symbol AND v.date = w.date GROUP BY ALL)"""
 
 
-def rotated_weights(m: Market) -> DataFrame:
+def rotated_sql(columns: str, target: str, variants: str = "") -> str:
+    risk = "sqrt(0.75 * h.risk * h.risk + 0.25 * alone)"
+    return f"""{ROTATION} SELECT {columns}, w.date, w.symbol, w.weight * CASE WHEN NOT h.complete THEN 0 WHEN {risk} > {target} THEN {target} / {risk} ELSE 1 END AS weight
+  FROM w JOIN h USING (strategy_id, date) JOIN alone USING (strategy_id, date){variants}"""
+
+
+def rotated_weights(m: Market, targets: tuple[float, ...] = (8.0,)) -> DataFrame:
     f = rotation_features(m)
     return A.rotation_weights(
         X.rotation_scores(f), m.type_assets, type_returns(m), m.sessions, top_n=3, max_asset=0.30,
-        max_group=0.25, cash_buffer=0.01, window=60, target=8.0)
+        max_group=0.25, cash_buffer=0.01, window=60, targets=list(targets))
 
 
-@query("k08_rotation_allocation", ROTATED, floats="weight", dates="date")
+@query("k08_rotation_allocation", rotated_sql("w.strategy_id", "8.0"), floats="weight", dates="date")
 def rotation_allocation(m):
-    return rotated_weights(m)
+    return rotated_weights(m).drop("target_vol")
 
 
 @query("k09_core_satellite",
@@ -307,11 +310,13 @@ def matched_budget(m):
 
 
 # Two daily sector picks whose number changes, so budgets change too.
-SECTORS = "SELECT date, symbol FROM (SELECT date, symbol, row_number() OVER (PARTITION BY date ORDER BY volume DESC, symbol) AS k FROM brand_bars WHERE volume > 150) WHERE k <= 2"
+SECTORS = "SELECT date, symbol FROM (SELECT date, symbol, row_number() OVER (PARTITION BY date ORDER BY volume DESC, symbol) AS k FROM (SELECT *, avg(volume) OVER (PARTITION BY date) AS usual FROM brand_bars) WHERE volume > 1.5 * usual) WHERE k <= 2"
 
 
 def sector_picks(m: Market) -> DataFrame:
-    return selection.top_n(m.bars("p_brand").where("volume > 150"), "volume", 2, ["date"], ["symbol"]).select("date", "symbol")
+    usual = F.avg("volume").over(Window.partitionBy("date"))
+    busy = m.bars("p_brand").withColumn("usual", usual).where("volume > 1.5 * usual")
+    return selection.top_n(busy, "volume", 2, ["date"], ["symbol"]).select("date", "symbol")
 
 
 def joint_sql(control: bool) -> str:
@@ -343,12 +348,6 @@ def cap_and_redistribute(m):
     return A.cap_and_redistribute(w, "MEDIUM", 0.03, ("cn_equity", "us_equity")).select("date", "symbol", "weight")
 
 
-def breadth(m: Market) -> DataFrame:
-    from marketframe.plans.panels import market_breadth
-
-    return market_breadth(m)
-
-
 PREMIUM_SIGNAL = "SELECT symbol, date, high / close - 1 AS premium FROM type_bars"
 WEAK = "SELECT date, (dayofweek(date) IN (1, 3))::INT AS weak FROM sessions"
 GUARDED = f"""SELECT w.strategy_id, w.date, w.symbol, w.weight, w.weight * CASE WHEN w.bucket = 'cn_equity' THEN 1 - 0.5 * coalesce(k.weak, 0) ELSE 1 END AS breadth_weight,
@@ -415,11 +414,13 @@ def conditional_full_investment(m):
 
 
 @query("k20_variants",
-       """SELECT family || '_v' || (v * 100)::INT AS strategy_id, family, v AS target_vol, date, count(*) AS assets, sum(weight) AS invested FROM core_weights,
-          (VALUES ('dual'), ('quality'), ('ensemble'), ('ridge')) f(family), (VALUES (0.12), (0.16)) t(v) GROUP BY ALL""", floats="target_vol invested", dates="date")
+       rotated_sql("w.strategy_id || '_v' || CAST(t.v AS INTEGER) AS strategy_id, w.strategy_id AS family, t.v AS target_vol", "t.v", ", (VALUES (4.0::DOUBLE), (8.0::DOUBLE)) t(v)"),
+       floats="target_vol weight", dates="date")
 def variants(m):
-    v = A.variants(core_weights(m).drop("strategy_id"), ["dual", "quality", "ensemble", "ridge"], [0.12, 0.16])
-    return v.groupBy("strategy_id", "family", "target_vol", "date").agg(F.count(F.lit(1)).alias("assets"), F.sum("weight").alias("invested"))
+    """Families × target volatilities in one job: each variant has its own weights."""
+    name = F.concat("strategy_id", F.lit("_v"), F.col("target_vol").cast("int").cast("string"))
+    return rotated_weights(m, (4.0, 8.0)).select(
+        name.alias("strategy_id"), F.col("strategy_id").alias("family"), "target_vol", "date", "symbol", "weight")
 
 
 @query("k21_constant_benchmark",
@@ -528,7 +529,7 @@ def ridge_scores(m):
 @query("o05_retention_picks", dates="date")
 def retention_picks(m):
     """Monthly picks of two variants among brands; depends on the picks before (no SQL twin)."""
-    from marketframe.operators.retention import retention_picks as walk
+    from marketframe.operators.retention import pair_correlations, retention_picks as walk
 
     p = P.mark_prices(m.adjusted("p_brand"))
     scored = p.select("symbol", "date", "session_no", "close", rolling_mean(F.col("amount"), 20, 5).alias("amount20"),
@@ -540,8 +541,8 @@ def retention_picks(m):
     cand = d.withColumn("v", both).select("v.variant", "date", "session_no", "symbol", "position",
                                           F.floor((F.col("position") + 1) / 2).cast("string").alias("index_key"),
                                           F.col("bucket").alias("theme"), "v.score", "amount20")
-    returns = p.select(F.explode(F.array(F.lit("raw"), F.lit("reversal"))).alias("variant"), "session_no", "symbol", "ret")
-    return walk(cand, returns)
+    decisions = d.select("date", "session_no", "symbol", F.col("bucket").alias("theme"))
+    return walk(cand, pair_correlations(decisions, p.select("session_no", "symbol", "ret"), 126, 100))
 
 
 # --- accounts and orders -------------------------------------------------------------------------

@@ -35,18 +35,20 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the reliable checkpoint folder and go on from there.
+def work_folder(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables.
 
-    The cluster names the shared folder in ``spark.checkpoint.dir``. Only a local
-    session without that setting (tests) gets a folder of its own.
+    The folder is the one the session has, by ``spark.checkpoint.dir`` or by
+    ``setCheckpointDir``. A session without any (tests) gets one of its own.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir")
-    if folder is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="marketframe-checkpoint-"))
+    if context.getCheckpointDir() is None:
+        named = context.getConf().get("spark.checkpoint.dir")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="marketframe-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the reliable checkpoint folder (see ``work_folder``) and go on from there."""
+    work_folder(df.sparkSession)
     return df.checkpoint(eager=True)

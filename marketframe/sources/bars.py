@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketframe.operators.quality import duplicate_keys, invalid_bars
+from marketframe.session import cut_lineage
 
 BAR_SCHEMA = T.StructType([
     T.StructField("symbol", T.StringType()), T.StructField("date", T.DateType()),
@@ -36,8 +37,10 @@ def require_all(bars: DataFrame, assets: DataFrame) -> DataFrame:
 def write_bars(bars: DataFrame, path: str) -> None:
     """Write bars by year after the checks; the commit protocol makes the swap atomic.
 
-    With dynamic partition overwrite only the years present in ``bars`` are replaced.
+    With dynamic partition overwrite only the years present in ``bars`` are replaced. The
+    bars are computed once; checks and write read the settled table.
     """
+    bars = cut_lineage(bars)
     if invalid_bars(bars).limit(1).count():
         raise ValueError("invalid bars; nothing was written")
     if duplicate_keys(bars, ["symbol", "date"]).limit(1).count():

@@ -9,50 +9,40 @@ from pyspark.sql import functions as F
 
 from marketframe.functions import solvers
 from marketframe.operators import allocation as A, bootstrap as B, metrics, quantiles, ridge as R, xsection as X
-from marketframe.operators.retention import retention_picks
+from marketframe.operators.retention import pair_correlations, retention_picks
 
 DAYS = [d.date() for d in pd.bdate_range("2020-01-01", periods=400)]
 
 
 def test_cap_and_redistribute(spark):
+    """What any right distribution of the excess must satisfy, asset by asset and in sum."""
     rng = np.random.default_rng(11)
-    assets = [("hk", "hk_equity", 0.05), ("c1", "cn_equity", 0.12), ("c2", "cn_equity", 0.08), ("u1", "us_equity", 0.15), ("g", "gold", 0.2)]
-    rows, want = [], {}
-    for d in DAYS[:60]:
-        w = {s: float(rng.choice([0.0, rng.uniform(0, 0.16)])) for s, _, _ in assets}
-        rows += [("x", d, s, b, p, w[s]) for s, b, p in assets]
-        want.update({(d, s): v for s, v in redistribute(w, assets).items()})
+    buckets = {"hk": "hk_equity", "c1": "cn_equity", "c2": "cn_equity", "u1": "us_equity", "g": "gold"}
+    prior = {"hk": 0.05, "c1": 0.12, "c2": 0.08, "u1": 0.15, "g": 0.2}
+    limit = {"cn_equity": 0.35, "us_equity": 0.30}
+    before = pd.DataFrame([{s: float(rng.choice([0.0, rng.uniform(0, 0.16)])) for s in buckets} for _ in DAYS[:240]], index=DAYS[:240])
+    rows = [("x", d, s, buckets[s], prior[s], w) for d, day in before.iterrows() for s, w in day.items()]
     df = spark.createDataFrame(rows, "strategy_id string, date date, symbol string, bucket string, prior double, weight double")
     got = A.cap_and_redistribute(df, "hk", 0.05, ("cn_equity", "us_equity"))
-    assert {(r.date, r.symbol): r.weight for r in got.collect()} == pytest.approx(want, abs=1e-9)
-
-
-def fill(score, cap, budget):
-    lo, hi = 0.0, 1e6
-    budget = min(budget, sum(c for s, c in zip(score, cap) if s > 0))
-    for _ in range(100):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if sum(min(s * mid, c) for s, c in zip(score, cap)) < budget else (lo, mid)
-    return [min(s * hi, c) for s, c in zip(score, cap)]
-
-
-def redistribute(w, assets):
-    out, left = dict(w), max(w["hk"] - 0.05, 0)
-    out["hk"] -= left
-    budgets = {"cn_equity": 0.20, "us_equity": 0.15}
-    for first in (True, False):
-        for bucket, limit in (("cn_equity", 0.35), ("us_equity", 0.30)):
-            names = [s for s, b, _ in assets if b == bucket]
-            room = [max(0.30 - out[s], 0) for s in names]
-            score = [p if w[s] > 0 else 0.0 for s, b, p in assets if b == bucket]
-            free = max(0.0, min(limit - sum(out[s] for s in names), sum(r for r, s in zip(room, score) if s > 0)))
-            budget = min(left * budgets[bucket] / 0.35 if first else left, free)
-            if budget > 1e-12 and sum(score) > 0:
-                added = fill(score, room, budget)
-                for s, a in zip(names, added):
-                    out[s] += a
-                left -= sum(added)
-    return out
+    after = pd.DataFrame([r.asDict() for r in got.collect()]).pivot(index="date", columns="symbol", values="weight").loc[before.index, list(buckets)]
+    gain = after - before
+    assert np.allclose(after.hk, before.hk.clip(upper=0.05)) and np.allclose(gain.g, 0)
+    assert (gain.drop(columns="hk") >= -1e-12).all().all() and (gain.sum(axis=1) <= 1e-9).all()
+    assert (gain.where(before == 0, 0).drop(columns="hk").abs() < 1e-12).all().all()  # what is not held gets nothing
+    assert (after[["c1", "c2", "u1"]] <= 0.30 + 1e-9).all().all()
+    excess = (before.hk - 0.05).clip(lower=0)
+    lost = -gain.sum(axis=1)
+    for bucket, top in limit.items():
+        own = [s for s in buckets if buckets[s] == bucket]
+        assert (after[own].sum(axis=1) <= np.maximum(top, before[own].sum(axis=1)) + 1e-9).all()
+        # excess is lost only if every class with a held asset is full
+        held = (before[own] > 0).any(axis=1)
+        full = (after[own].sum(axis=1) >= top - 1e-9) | ((after[own] >= 0.30 - 1e-9) | (before[own] == 0)).all(axis=1)
+        assert full[(lost > 1e-6) & held].all()
+    assert (lost <= excess + 1e-9).all() and (excess > 0).sum() > 20
+    # two uncapped assets of a class gain in proportion to their priors
+    both = (gain.c1 > 1e-9) & (gain.c2 > 1e-9) & (after.c1 < 0.30 - 1e-6) & (after.c2 < 0.30 - 1e-6)
+    assert both.sum() > 5 and np.allclose(gain.c1[both] / gain.c2[both], prior["c1"] / prior["c2"])
 
 
 def test_bootstrap_equals_spelled_out_resamples(spark):
@@ -136,12 +126,11 @@ def test_ridge_fits_equal_numpy(spark):
         if len(t) < 150:
             assert DAYS[i] not in fits
             continue
-        x = t[R.FEATURES].to_numpy()
-        z = np.clip((x - x.mean(0)) / np.maximum(x.std(0), 0.05), -5, 5)
-        z = np.column_stack([np.ones(len(z)), z])
-        p = np.eye(9) * 10.0
-        p[0, 0] = 0
-        beta = np.linalg.solve(z.T @ z + p, z.T @ np.clip(t.y.to_numpy(), -1, 1))
+        # the penalty is ten more observations of a zero per feature: plain least squares over the extended rows
+        standard = (t[R.FEATURES] - t[R.FEATURES].mean()) / t[R.FEATURES].std(ddof=0).clip(lower=0.05)
+        design = standard.clip(-5, 5).assign(one=1.0)[["one", *R.FEATURES]].to_numpy()
+        extra = np.sqrt(10.0) * np.eye(9)[1:]
+        beta = np.linalg.lstsq(np.vstack([design, extra]), np.concatenate([t.y.clip(-1, 1), np.zeros(8)]), rcond=None)[0]
         assert fits[DAYS[i]].samples == len(t) and fits[DAYS[i]].coefficients == pytest.approx(beta)
         checked += 1
     assert checked == len(fits) > 3
@@ -151,7 +140,7 @@ def test_retention_keeps_incumbents_and_diversifies(spark):
     rng = np.random.default_rng(12)
     base = rng.normal(0, 0.01, 150)
     r = {"a": base, "twin": base + rng.normal(0, 0.0005, 150), "b": rng.normal(0, 0.01, 150), "c": rng.normal(0, 0.01, 150), "d": rng.normal(0, 0.01, 150)}
-    returns = spark.createDataFrame([("v", i + 1, s, float(x)) for s, a in r.items() for i, x in enumerate(a)], "variant string, session_no int, symbol string, ret double")
+    returns = spark.createDataFrame([(i + 1, s, float(x)) for s, a in r.items() for i, x in enumerate(a)], "session_no int, symbol string, ret double")
 
     def day(no, scores):
         return [("v", DAYS[no], no, s, k, "i" + s, "t" + s, sc, 1.0) for k, (s, sc) in enumerate(scores.items())]
@@ -159,6 +148,21 @@ def test_retention_keeps_incumbents_and_diversifies(spark):
     rows = day(130, {"a": 5.0, "twin": 4.0, "b": 3.0, "c": 2.0, "d": 1.0}) + day(140, {"c": 9.0, "d": 8.0, "a": 3.0, "b": 2.0, "twin": 1.0})
     cand = spark.createDataFrame(rows, "variant string, date date, session_no int, symbol string, position int, index_key string, theme string, score double, amount20 double")
     got = {}
-    for x in retention_picks(cand, returns).orderBy("date", "place").collect():
+    pairs = pair_correlations(cand.select("date", "session_no", "symbol", "theme"), returns, 126, 100)
+    for x in retention_picks(cand, pairs).orderBy("date", "place").collect():
         got.setdefault(x.date, []).append(x.symbol)
     assert got == {DAYS[130]: ["a", "b"], DAYS[140]: ["a", "b"]}
+
+
+def test_pair_correlations_equal_pandas(spark):
+    rng = np.random.default_rng(13)
+    wide = pd.DataFrame(rng.normal(size=(60, 4)), columns=list("abcd"), index=range(1, 61)).mask(rng.random((60, 4)) < 0.2)
+    returns = spark.createDataFrame([(int(i), s, float(v)) for (i, s), v in wide.stack().items() if not pd.isna(v)], "session_no int, symbol string, ret double")
+    decisions = spark.createDataFrame([(DAYS[n], n, s, "t" + ("x" if s in "ab" else s)) for n in (30, 55) for s in "abcd"],
+                                      "date date, session_no int, symbol string, theme string")
+    got = {(r.date, r.symbol_a, r.symbol_b): r.correlation for r in pair_correlations(decisions, returns, 20, 12).collect()}
+    want = {}
+    for n in (30, 55):
+        table = wide.loc[n - 19 : n].corr(min_periods=12)
+        want |= {(DAYS[n], a, b): table.loc[a, b] for a in "abcd" for b in "abcd" if a < b and a + b != "ab" and not pd.isna(table.loc[a, b])}
+    assert got == pytest.approx(want) and len(want) > 5
