@@ -24,6 +24,8 @@ import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketframe.llm.common import bounded_batches
+
 RANKS = "byte_bpe_50k.tiktoken"
 #: Texts above this many characters are cut.
 PART_CHARS = 16_384
@@ -85,6 +87,7 @@ def decode(ids: Column, ranks: str = RANKS, pattern: str = public_tokenizers.PAT
 
 def encode_documents(docs: DataFrame, ranks: str = RANKS, text: str = "text") -> DataFrame:
     """``doc_id``, ``token_ids`` and ``decoded``, both binary, for each row of ``docs``."""
+    bounded_batches(docs.sparkSession)
     ids = docs.select("doc_id", encode(F.col(text), ranks).alias("token_ids"))
     return ids.select("doc_id", "token_ids", decode(F.col("token_ids"), ranks).alias("decoded"))
 

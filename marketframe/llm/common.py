@@ -10,9 +10,19 @@ from pyspark.sql import functions as F
 
 #: What separates words: space and the controls 9 to 13. ``bytes.split()`` has the same set.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Most bytes of an Arrow batch.
+BATCH = "8m"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep the batches that go to Python workers small in bytes: texts may be long and rows many."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) == "67108864b":  # Spark's own value; a session's choice stays
+        spark.conf.set(key, BATCH)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -33,6 +43,7 @@ def settle(df: DataFrame, name: str = "step") -> DataFrame:
     The files outlive any executor, and what follows does not compute ``df`` again.
     """
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

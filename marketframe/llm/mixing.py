@@ -3,10 +3,11 @@
 A classifier learned from the ``labels`` table gives every document a posterior over three
 domains: ``toxic`` (toxic = 1), else ``good`` (quality = 1) or ``poor`` (quality = 0). Rates
 r >= 0 are fitted so that the expected tokens of each domain, the sum of r * tokens * p,
-match target weights times a budget: least squares, each domain's error weighted by one over
-its present total, by accelerated projected gradient from r = 1. With these weights the
-largest curvature is 1, so steps of 1 converge. A step needs one sum over the documents; a
-document's rate is its own fold over the steps so far, so nothing but the sums moves.
+match target weights times a budget: least squares by projected gradient from r = 1. The
+errors are weighted by the inverse of the sum of tokens * p * p', so the curvature is 1 in
+every direction: a step of 1 solves the problem at once while no rate meets zero, and a few
+steps do when some are held there. A step needs one sum over the documents; a document's
+rate is its own fold over the steps so far, so nothing but the sums moves.
 
 Classifier: naive Bayes over presence and absence of words and of a few word shapes. It
 counts features in at most ``MAX_LABELLED`` labelled documents (the smallest hashes of
@@ -39,13 +40,13 @@ from marketframe.llm.common import raw, settle
 DOMAINS = ("good", "poor", "toxic")
 #: Labelled documents that the classifier may read; labelled features it may keep.
 MAX_LABELLED, MAX_FEATURES = 20_000, 4096
-MIN_DOCS, MIN_Z, MIN_RATIO = 10, 4.5, 2.5
+MIN_DOCS, MIN_Z, MIN_RATIO = 30, 8.0, 2.5
 #: Softens the posteriors: log odds are divided by this.
 TEMPERATURE = 2.0
 TARGETS = {"good": 0.80, "poor": 0.15, "toxic": 0.05}
-MAX_STEPS, TOLERANCE = 60, 1e-4
+MAX_STEPS, TOLERANCE = 60, 1e-5
 #: Steps without progress after which the fit ends: the targets are out of reach.
-STALLED = 10
+STALLED = 5
 
 _UPPER, _LOWER = bytes(range(65, 91)), bytes([*range(97, 123), *range(128, 256)])
 _OUTER = b".,;:!?()"
@@ -90,8 +91,9 @@ class Classifier:
         known, number = self.known, self.number
         if len(known) > _REMEMBERED:
             known.clear()
-        for word in distinct - known.keys():
-            known[word] = number.get(plain(word), -1)
+        for word in distinct:
+            if word not in known:
+                known[word] = number.get(plain(word), -1)
         present = {known[w] for w in distinct}
         present.update(number.get(f, -1) for f in shapes(text, len(words), len(distinct)))
         present.discard(-1)
@@ -145,13 +147,12 @@ def memberships(text: Column, model: Classifier) -> Column:
     return run(raw(text))
 
 
-def walk(p: np.ndarray, steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
-    """Rates ``x`` of rows of posteriors after the steps, and ``y``, where the next gradient is taken."""
-    x = y = np.ones(len(p))
-    for i, e in enumerate(steps):
-        after = np.maximum(0.0, y - p @ np.array(e))
-        x, y = after, after + i / (i + 3.0) * (after - x)
-    return x, y
+def walk(p: np.ndarray, steps: list[list[float]]) -> np.ndarray:
+    """Rates of rows of posteriors after the steps."""
+    rates = np.ones(len(p))
+    for step in steps:
+        rates = np.maximum(0.0, rates - p @ np.array(step))
+    return rates
 
 
 def rate(p: Column, steps: list[list[float]]) -> Column:
@@ -160,7 +161,7 @@ def rate(p: Column, steps: list[list[float]]) -> Column:
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for rows in batches:
-            yield pd.Series(walk(np.array(rows.tolist()).reshape(-1, len(DOMAINS)), steps)[0])
+            yield pd.Series(walk(np.array(rows.tolist()).reshape(-1, len(DOMAINS)), steps))
 
     return run(p)
 
@@ -176,32 +177,31 @@ def fit(members: DataFrame, targets: dict[str, float], budget: float | None = No
     weight = weight / weight.sum()
 
     def totals(steps: list[list[float]]) -> np.ndarray:
-        """Two rows: the domains' expected tokens at x and at y."""
+        """The domains' expected tokens."""
 
         def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 tokens = batch.column("tokens").to_numpy(zero_copy_only=False)
                 p = batch.column("p").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(DOMAINS))
-                both = [(r * tokens) @ p for r in walk(p, steps)]
-                yield pa.RecordBatch.from_arrays([pa.array([v]) for v in np.concatenate(both)], names)
+                yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (walk(p, steps) * tokens) @ p], list(DOMAINS))
 
-        names = [f"{f}{k}" for f in "xy" for k in range(len(DOMAINS))]
-        parts = members.select("tokens", "p").mapInArrow(sums, ", ".join(f"{n} double" for n in names))
-        return np.array([v or 0.0 for v in parts.agg(*[F.sum(n) for n in names]).first()]).reshape(2, -1)
+        parts = members.select("tokens", "p").mapInArrow(sums, ", ".join(f"{d} double" for d in DOMAINS))
+        return np.array([v or 0.0 for v in parts.agg(*[F.sum(d) for d in DOMAINS]).first()])
 
-    now = totals([])
-    start = now[0].copy()
+    spread = members.agg(*[F.sum(F.col("tokens") * F.col("p")[j] * F.col("p")[k]) for j in range(3) for k in range(3)]).first()
+    inverse = np.linalg.pinv(np.array([v or 0.0 for v in spread]).reshape(3, 3), hermitian=True)
+    now = start = totals([])
     if protect is not None:
         budget = margin * start[DOMAINS.index(protect)] / weight[DOMAINS.index(protect)]
     target = weight * (start.sum() if budget is None else budget)
-    inverse = np.where(start > 0, 1 / np.where(start > 0, start, 1), 0.0)
+    scale = np.where(start > 0, start, np.inf)
     steps: list[list[float]] = []
     errors: list[float] = []
     for _ in range(max_steps):
-        errors.append(float(np.abs((now[0] - target) * inverse).max()))
+        errors.append(float(np.abs((now - target) / scale).max()))
         if errors[-1] < tolerance or len(errors) > STALLED and min(errors[-STALLED:]) > 0.99 * min(errors[:-STALLED]):
             break
-        steps.append(((now[1] - target) * inverse).tolist())
+        steps.append((inverse @ (now - target)).tolist())
         now = totals(steps)
     return steps
 

@@ -92,7 +92,7 @@ class Encoder:
                 wanted.update(words[1:])
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = list(wanted - self.known.keys())
+        new = [w for w in wanted if w not in self.known]
         self.known.update(zip(new, self.whole([" " + w for w in new])))
         # what has no space before it, or goes whole
         rest = [i for i, t in enumerate(texts) if t]

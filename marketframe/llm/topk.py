@@ -165,13 +165,11 @@ def search_block(queries: tuple, thresholds: np.ndarray, block: tuple, k: int) -
 
 def first_thresholds(queries: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
     """Each block of queries with the k-th best score of each against one block (-inf if fewer)."""
-    order = Window.partitionBy("dim").orderBy(F.octet_length("ids").desc(), F.col("bucket").desc(), "block")
-    # one block of bounded bytes per list length
-    seeds = {
-        r.dim: unpack(r.dim, r.ids, r.norms, r.matrix)
-        for r in blocks.select("dim", "bucket", "block", F.octet_length("ids").alias("size")).withColumn(
-            "n", F.row_number().over(order.partitionBy("dim").orderBy(F.col("size").desc(), F.col("bucket").desc(), "block")))
-        .where("n = 1").select("dim", "bucket", "block").join(blocks, ["dim", "bucket", "block"]).toLocalIterator()}
+    # one block of bounded bytes per list length: the largest, of equal ones the longest vectors
+    order = Window.partitionBy("dim").orderBy(F.col("size").desc(), F.col("bucket").desc(), "block")
+    sizes = blocks.select("dim", "bucket", "block", F.octet_length("ids").alias("size"))
+    chosen = sizes.withColumn("n", F.row_number().over(order)).where("n = 1").select("dim", "bucket", "block")
+    seeds = {r.dim: unpack(r.dim, r.ids, r.norms, r.matrix) for r in chosen.join(blocks, ["dim", "bucket", "block"]).toLocalIterator()}
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from marketframe.llm.common import bounded_batches
+
 DOCS_PER_LANGUAGE = 800
 CHARS_PER_DOC = 400
 LEVEL = 6
@@ -37,6 +39,7 @@ def learn(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, chars
 
     The sample is the texts with the smallest hashes of (id, text) in each language.
     """
+    bounded_batches(labelled.sparkSession)
     order = Window.partitionBy("lang").orderBy("h", "text")
     picked = (
         labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))

@@ -109,11 +109,10 @@ def test_rates_meet_the_targets(spark):
     got = (rates * tokens) @ p / tokens.sum()
     assert np.abs(got - [0.5, 0.4, 0.1]).max() < 1e-3
     # the same steps by hand
-    x = y = np.ones(500)
-    for i, e in enumerate(steps):
-        new = np.maximum(0, y - p @ np.array(e))
-        x, y = new, new + i / (i + 3) * (new - x)
-    assert np.allclose(x, rates)
+    x = np.ones(500)
+    for step in steps:
+        x = np.maximum(0, x - p @ np.array(step))
+    assert np.allclose(x, rates) and len(steps) < 20
     assert mixing.fit(members.limit(0), targets) == []
 
 
