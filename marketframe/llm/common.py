@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 #: What separates words: space and the controls 9 to 13. ``bytes.split()`` has the same set.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Most bytes of an Arrow batch.
-BATCH = "8m"
+BATCH = "2m"
 
 
 def bounded_batches(spark: SparkSession) -> None:

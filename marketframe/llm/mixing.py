@@ -51,7 +51,7 @@ STALLED = 5
 _UPPER, _LOWER = bytes(range(65, 91)), bytes([*range(97, 123), *range(128, 256)])
 _OUTER = b".,;:!?()"
 #: Words that a worker remembers.
-_REMEMBERED = 1 << 19
+_REMEMBERED = 1 << 16
 
 
 def plain(word: bytes) -> bytes:

@@ -14,7 +14,7 @@ from marketframe.llm.common import raw
 #: Stands for a null ``doc_id``: after all others.
 NULL_LAST = (1 << 63) - 1
 #: Bytes of text that a task works on at once; a longer text is alone.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 18
 
 _U = np.uint64
 

@@ -47,7 +47,7 @@ END_ID = 2
 BLOCK_IDS = 1 << 20
 PAIRS_A_ROUND, MIN_COUNT, ROUNDS = 4096, 8, 8
 #: Words that a worker remembers, and texts that it encodes at once.
-REMEMBERED, TOGETHER = 1 << 20, 256
+REMEMBERED, TOGETHER = 1 << 18, 256
 
 SCHEMA = ("shard int, block int, doc_ids binary, doc_nulls binary, lengths binary, left binary, right binary, "
           "spans binary, symbols binary, base long, n_ids long")
