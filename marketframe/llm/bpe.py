@@ -85,11 +85,23 @@ def decode(ids: Column, ranks: str = RANKS, pattern: str = public_tokenizers.PAT
     return run(ids)
 
 
+def round_trip(text: Column, ranks: str = RANKS, pattern: str = public_tokenizers.PATTERN, size: int = PART_CHARS) -> Column:
+    """Struct of ``token_ids`` and of ``decoded``, the bytes worked out from these ids, in one worker a task."""
+
+    @F.pandas_udf("struct<token_ids:binary,decoded:binary>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        encoder = encoding(ranks, pattern)
+        for texts in batches:
+            ids = [ids_of(t, encoder, size) for t in texts]
+            yield pd.DataFrame({"token_ids": ids, "decoded": [encoder.decode_bytes(np.frombuffer(r, "<u4").tolist()) for r in ids]})
+
+    return run(text)
+
+
 def encode_documents(docs: DataFrame, ranks: str = RANKS, text: str = "text") -> DataFrame:
     """``doc_id``, ``token_ids`` and ``decoded``, both binary, for each row of ``docs``."""
     bounded_batches(docs.sparkSession)
-    ids = docs.select("doc_id", encode(F.col(text), ranks).alias("token_ids"))
-    return ids.select("doc_id", "token_ids", decode(F.col("token_ids"), ranks).alias("decoded"))
+    return docs.select("doc_id", round_trip(F.col(text), ranks).alias("b")).select("doc_id", "b.token_ids", "b.decoded")
 
 
 def digests(encoded: DataFrame, *more: str) -> DataFrame:
