@@ -9,12 +9,15 @@ every direction: a step of 1 solves the problem at once while no rate meets zero
 steps do when some are held there. A step needs one sum over the documents; a document's
 rate is its own fold over the steps so far, so nothing but the sums moves.
 
-Classifier: naive Bayes over presence and absence of words and of a few word shapes. It
-counts features in at most ``MAX_LABELLED`` labelled documents (the smallest hashes of
-doc_id) and keeps markers: features in ``MIN_DOCS`` documents or more whose share differs
-between a domain and the rest beyond chance (``MIN_Z``) and is ``MIN_RATIO`` times that of
-either other domain. At most ``MAX_FEATURES`` are kept, so the table has a bounded size.
-Tokens are words: runs without blanks.
+Classifier: naive Bayes over the presence of words and of a few word shapes. It counts
+features in at most ``MAX_LABELLED`` labelled documents (the smallest hashes of doc_id) and
+keeps markers: features that one domain has more often than chance gives, by ``MIN_CHANCE``
+times the deviation that the largest of as many features has by chance alone, and
+``MIN_RATIO`` times as often as either other domain. No threshold is a number of documents, so
+rare domains and small label tables have markers as well. A marker tells its domain from the
+two others only, and its absence tells nothing: there are many kinds of junk, and the markers
+of one would speak against all others. The best ``MAX_FEATURES`` are kept, so the table has a
+bounded size. Tokens are words: runs without blanks.
 
 * Null texts have no tokens; their posterior is the prior and their rate is that of any
   other document with it. Very long texts are read whole.
@@ -40,7 +43,9 @@ from marketframe.llm.common import raw, settle
 DOMAINS = ("good", "poor", "toxic")
 #: Labelled documents that the classifier may read; labelled features it may keep.
 MAX_LABELLED, MAX_FEATURES = 20_000, 4096
-MIN_DOCS, MIN_Z, MIN_RATIO = 30, 8.0, 2.5
+MIN_CHANCE, MIN_RATIO = 0.75, 2.5
+#: Documents that every domain is thought to have besides its own, with features as often as in all.
+PSEUDO = 1.0
 #: Softens the posteriors: log odds are divided by this.
 TEMPERATURE = 2.0
 TARGETS = {"good": 0.80, "poor": 0.15, "toxic": 0.05}
@@ -116,23 +121,29 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("domain", raw("text").alias("text"))  # at most max_labelled ids
     seen = sample.mapInPandas(words, "domain int, feature binary")
     counted = seen.groupBy("feature").agg(*[F.sum((F.col("domain") == k).cast("long")).alias(f"n{k}") for k in range(3)])
-    counted = settle(counted.withColumn("n", F.col("n0") + F.col("n1") + F.col("n2")).where(F.col("n") >= MIN_DOCS), "features")
+    counted = settle(counted.withColumn("n", F.col("n0") + F.col("n1") + F.col("n2")), "features")
     whole = counted.where(F.col("feature") == F.lit(b"\x00all")).first()
     if whole is None:
         return Classifier(np.array([0.0, -700.0, -700.0]), {})
-    sizes = [whole.n0, whole.n1, whole.n2]
-    total = whole.n
+    sizes = np.array([whole.n0, whole.n1, whole.n2], float)
+    total = float(whole.n)
+    chance = MIN_CHANCE * np.sqrt(2 * np.log(max(2, counted.count() - 1)))
     z = []
-    for k in range(3):
-        expected = F.col("n") * sizes[k] / total
-        z.append(F.abs(F.col(f"n{k}") - expected) / F.sqrt(expected * (1 - sizes[k] / total) + 1e-9))
-    best = counted.where(F.col("feature") != F.lit(b"\x00all")).withColumn("z", F.greatest(*z)).where(F.col("z") >= MIN_Z)
-    rows = best.orderBy(F.col("z").desc(), "feature").limit(MAX_FEATURES).collect()
-    shares = {bytes(r.feature): (np.array([r.n0, r.n1, r.n2]) + 0.5) / (np.array(sizes) + 1.0) for r in rows}
-    # markers of one domain: what is merely common, and rare in junk, would be counted many times over
-    shares = {f: s for f, s in shares.items() if np.sort(s)[-1] >= MIN_RATIO * np.sort(s)[-2]}
-    absent = sum((np.log1p(-s) for s in shares.values()), np.zeros(3)) / TEMPERATURE
-    return Classifier(np.log((np.array(sizes) + 0.5) / (total + 1.5)) + absent, {f: np.log(s) - np.log1p(-s) for f, s in shares.items()})
+    for k in range(3):  # half a document off, for counts are whole; half a document more variance, for rare features
+        expected = F.col("n") * float(sizes[k] / total)
+        z.append((F.col(f"n{k}") - expected - 0.5) / F.sqrt(expected * float(1 - sizes[k] / total) + 0.5))
+    share = [(F.col(f"n{k}") + F.col("n") * (PSEUDO / total)) / float(sizes[k] + PSEUDO) for k in range(3)]
+    ordered = F.sort_array(F.array(*share), asc=False)
+    best = counted.where(F.col("feature") != F.lit(b"\x00all")).withColumn("z", F.greatest(*z))
+    best = best.where((F.col("z") >= float(chance)) & (ordered[0] >= MIN_RATIO * ordered[1])).withColumn("domain", F.array_position(F.array(*z), F.col("z")))
+    added = {}
+    for r in best.orderBy(F.col("z").desc(), "feature").limit(MAX_FEATURES).collect():
+        k = r.domain - 1
+        own, like = (r.n0, r.n1, r.n2)[k], PSEUDO * r.n / total
+        row = np.zeros(len(DOMAINS))
+        row[k] = np.log((own + like) / (sizes[k] + PSEUDO)) - np.log((r.n - own + like) / (total - sizes[k] + PSEUDO))
+        added[bytes(r.feature)] = row
+    return Classifier(np.log((sizes + 0.5) / (total + 1.5)), added)
 
 
 def memberships(text: Column, model: Classifier) -> Column:
