@@ -126,4 +126,89 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS
 FROM d LEFT JOIN k USING (doc_id)
 """
 
-ORACLES = {"op1_host_rules": OP1, "op2_norm_buckets": OP2, "op3_suffix_repeats": OP3, "op5_chat_windows": OP5, "op10_recompression": OP10}
+OP11 = r"""
+WITH u AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+e AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY label, x) = 1),
+s AS (
+    SELECT a.vec_id AS anchor_id, v.vec_id, v.label = a.label AS same,
+           list_sum(list_transform(list_zip(a.x, v.x), lambda p: p[1] * p[2]))::BIGINT AS score
+    FROM e AS a JOIN e AS v ON v.vec_id <> a.vec_id AND len(a.x) = len(v.x)
+    WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (
+    SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+           row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS rank
+    FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score)
+SELECT anchor_id::BIGINT AS anchor_id, positive_id::BIGINT AS positive_id, rank::INTEGER AS rank, negative_id::BIGINT AS negative_id,
+       positive_score, negative_score
+FROM n WHERE rank <= 5
+"""
+
+# a walk over the rows of each conversation: the cheapest (cost, audit) of each state, with the repaired text it stands for
+OP13 = r"""
+WITH RECURSIVE crc_table AS (
+    SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k:
+        CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+hit AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           xor(list_reduce(list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+                                          lambda c: ascii(c)::BIGINT),
+                           lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295), 4294967295) % 20 AS hit
+    FROM conversations, crc_table),
+damaged AS (
+    SELECT conv_id, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role,
+           CASE hit WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+    FROM hit, range(CASE WHEN hit = 3 THEN 2 ELSE 1 END) WHERE hit <> 0),
+placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM damaged),
+judged AS (
+    SELECT *, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS before,
+           CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b'
+                WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'd'
+                WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't' ELSE '' END AS fault
+    FROM placed),
+counted AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, sum((fault = 'b')::INT) AS blank,
+           sum((fault = 'd')::INT) AS duplicate, sum((fault = 't')::INT) AS truncated,
+           sum((before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au'))::INT) AS illegal, max(pos) AS n
+    FROM judged GROUP BY conv_id),
+-- insertions between two rows, and the edits of a row
+idle AS (SELECT * FROM (VALUES (0, 0, 0, '', ''), (1, 1, 0, '', ''), (2, 2, 0, '', ''), (3, 3, 0, '', ''),
+                               (0, 2, 2, 'I', E'user:\n'), (0, 3, 4, 'II', E'user:\nassistant:\n'), (1, 2, 2, 'I', E'user:\n'),
+                               (1, 3, 4, 'II', E'user:\nassistant:\n'), (2, 3, 2, 'I', E'assistant:\n'), (3, 2, 2, 'I', E'user:\n'))
+                     v(p, q, cost, audit, lines)),
+step AS (SELECT * FROM (VALUES (0, 1, 's'), (0, 2, 'u'), (1, 2, 'u'), (2, 3, 'a'), (3, 2, 'u')) v(p, q, initial)),
+moves AS (
+    SELECT j.conv_id, j.pos, s.p, s.q, (CASE WHEN s.initial = j.initial THEN 0 ELSE 2 END) + (fault = 't')::INT AS cost,
+           CASE WHEN s.initial = j.initial THEN 'K' ELSE 'R' END AS audit,
+           CASE WHEN s.initial = j.initial THEN j.role WHEN s.initial = 'u' THEN 'user' ELSE 'assistant' END || ':' || j.text || chr(10) AS lines
+    FROM judged j JOIN step s ON j.fault NOT IN ('b', 'd') AND (s.initial = j.initial OR s.initial <> 's')
+    UNION ALL
+    SELECT conv_id, pos, s.s, s.s, 3, 'D', '' FROM judged, range(4) AS s(s)),
+walk AS (
+    SELECT DISTINCT conv_id, 0::BIGINT AS pos, i.q, {'cost': i.cost, 'audit': i.audit, 'lines': i.lines} AS best
+    FROM conversations, idle i WHERE i.p = 0
+    UNION ALL
+    SELECT conv_id, pos, q, min(best) FROM (
+        SELECT w.conv_id, m.pos, i.q,
+               {'cost': (w.best).cost + m.cost + i.cost, 'audit': (w.best).audit || m.audit || i.audit,
+                'lines': (w.best).lines || m.lines || i.lines} AS best
+        FROM walk w JOIN moves m ON m.conv_id IS NOT DISTINCT FROM w.conv_id AND m.pos = w.pos + 1 AND m.p = w.q JOIN idle i ON i.p = m.q)
+    GROUP BY conv_id, pos, q),
+ended AS (
+    SELECT w.conv_id, min(best) AS best
+    FROM walk w LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM w.conv_id
+    WHERE q IN (0, 3) AND w.pos = coalesce(c.n, 0) GROUP BY w.conv_id)
+SELECT e.conv_id::BIGINT AS conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank,
+       coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+       (best).cost::BIGINT AS cost, (best).audit AS audit, sha256((best).lines[:-2]) AS repaired_sha256
+FROM ended e LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+ORACLES = {"op1_host_rules": OP1, "op2_norm_buckets": OP2, "op3_suffix_repeats": OP3, "op5_chat_windows": OP5, "op10_recompression": OP10,
+           "op11_residue_negatives": OP11, "op13_grammar_repair": OP13}

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketframe.llm import bpe, chat, hostrules, mixing, recompress, repair, simhash, suffixes, topk, zlang
+from marketframe.llm import bpe, chat, hostrules, licences, mending, mixing, negatives, recompress, repair, simhash, suffixes, topk, zlang
 from marketframe.llm.common import shared_folder, table
 
 LEARN_REMAINDER = 2
@@ -74,6 +74,24 @@ def op10_recompression(spark: SparkSession, folder: str) -> DataFrame:
     return cut.select("doc_id", "cut.n_words", "cut.n_removed", "cut.kept_sha256")
 
 
+def op11_residue_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, folder, "embeddings").select(
+        F.col("vec_id").cast("long").alias("id"), shifted.alias("label"), topk.quantize(F.col("embedding"), 256).alias("x"))
+    return negatives.hard_negatives(rows, rows.where(F.col("id") % 100 == 0))
+
+
+def op12_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = table(spark, folder, "documents").select("doc_id", licences.scan(F.col("text")).alias("found"))
+    return found.select("doc_id", "found.n_words", "found.n_base", "found.first_word", "found.last_word",
+                        F.array_join("found.base_labels", ",").alias("base_labels"), F.array_join("found.labels", ",").alias("labels"),
+                        "found.score", "found.restriction", F.array_join("found.expressions", "; ").alias("expressions"))
+
+
+def op13_grammar_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return mending.digests(*mending.repair(mending.damaged(table(spark, folder, "conversations"))))
+
+
 QUERIES = {
     "op1_host_rules": op1_host_rules,
     "op2_norm_buckets": op2_norm_buckets,
@@ -85,4 +103,7 @@ QUERIES = {
     "op8_repair_blocks": op8_repair_blocks,
     "op9_compression_language": op9_compression_language,
     "op10_recompression": op10_recompression,
+    "op11_residue_negatives": op11_residue_negatives,
+    "op12_license_scan": op12_license_scan,
+    "op13_grammar_repair": op13_grammar_repair,
 }
