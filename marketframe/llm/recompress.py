@@ -14,7 +14,8 @@ owner: its hash, its place, and a hash of the words of all the windows it owns.
 the owners; those met once hold no repeat. Of the shared ones, rows with the same windows
 are one class, whose first row is kept and whose others are repeats in whole. Where classes
 share an owner but differ, one row of each is looked up in its text and its windows are
-compared one by one. An owner and a window hash make 128 bits.
+compared one by one. Names only bring rows together, since sums of powers can be driven to
+collide; classes and windows are told apart by XXH3 digests of their words.
 
 * Order is by ``doc_id`` (null last), then a hash of the text, then the place. Repeated rows
   (same id and text) are one document and get the same result.
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marketframe.llm.common import raw, settle
-from marketframe.llm.passages import RangeHash, covered, identified, joined_batches, mix, sent_back, with_marks
+from marketframe.llm.passages import RangeHash, covered, digests, identified, joined_batches, mix, sent_back, with_marks
 
 WINDOW = 20
 #: Rounds of naming, and the levels that own windows, the highest first.
@@ -161,14 +162,31 @@ def owners(words: np.ndarray, doc: np.ndarray, window: int = WINDOW, rounds: int
     return key_of, number
 
 
-def word_symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts, one after the other, and the number of their text."""
+class Words:
+    """All words of the texts, one after the other: symbols, the number of their text, and their bytes."""
+
+    def __init__(self, texts: list[bytes]) -> None:
+        data, start, stop = _word_places(texts)
+        self.symbols = RangeHash(_BYTES[data]).of(start, stop, 33)
+        self.doc = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), start, "left").astype(np.int64)
+        blank = _BLANK[data]
+        keep = ~blank
+        keep[stop] = True  # one separator after each word
+        at = np.cumsum(keep) - 1
+        self.start, self.stop = at[start], at[stop]
+        self.data = np.where(blank, np.uint8(32), data)[keep].tobytes()
+
+    def digests(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Digests of the words from ``first`` to ``last``, joined by one space."""
+        return digests(self.data, self.start[first], self.stop[last])
+
+
+def _word_places(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts between blanks as bytes, and where their words start and stop."""
     data = np.frombuffer(b"\n" + b"\n".join(texts) + b"\n", np.uint8)
     blank = _BLANK[data]
     edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
-    start, stop = edge[::2], edge[1::2]
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    return RangeHash(_BYTES[data]).of(start, stop, 33), np.searchsorted(ends, start, "left").astype(np.int64)
+    return data, edge[::2], edge[1::2]
 
 
 def owner_keys(docs: DataFrame, window: int) -> DataFrame:
@@ -184,8 +202,9 @@ def owner_rows(docs: DataFrame, window: int) -> DataFrame:
 def _owner_rows(docs: DataFrame, window: int, places: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in joined_batches(batches):
-            words, doc = word_symbols([r[-1] for r in rows])
-            key_of, number = owners(words, doc, window)
+            words = Words([r[-1] for r in rows])
+            doc = words.doc
+            key_of, number = owners(words.symbols, doc, window)
             at = np.flatnonzero(number >= 0)
             if not len(at):
                 continue
@@ -195,12 +214,12 @@ def _owner_rows(docs: DataFrame, window: int, places: bool) -> DataFrame:
             if not places:
                 yield pa.RecordBatch.from_arrays([x], ["x"])
                 continue
-            a = RangeHash(mix(words, 9)).of(place, place + size + window - 1, 10)
+            a = words.digests(place, place + size + window - 2)
             of = doc[place]
             start = place - np.searchsorted(doc, np.arange(len(rows)))[of]
             ids, ths = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
             yield pa.RecordBatch.from_arrays(
-                [x, pa.array(a.view(np.int64)), pa.array(ids[of]), pa.array(ths[of]), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))],
+                [x, pa.array(a), pa.array(ids[of]), pa.array(ths[of]), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))],
                 ["x", "a", "doc_id", "th", "start", "n"])
 
     schema = "x long, a long, doc_id long, th long, start int, n int" if places else "x long"
@@ -219,11 +238,10 @@ def _spread(window: int):
         firsts: dict[tuple[int, int], tuple] = {}
         sure = []
         for doc_id, th, asked, text in rows:
-            words, _ = word_symbols([text])
-            ranges = RangeHash(mix(words, 7))
+            words = Words([text])
             for one in asked:
                 at = np.arange(one["start"], one["start"] + one["n"])
-                for h, start in zip(ranges.of(at, at + window, 8).view(np.int64).tolist(), at.tolist()):
+                for h, start in zip(words.digests(at, at + window - 1).tolist(), at.tolist()):
                     key, place = (one["x"], h), (doc_id, th, start)
                     other = firsts.setdefault(key, place)
                     if other != place:

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketframe.llm.common import raw, settle
-from marketframe.llm.passages import RangeHash, covered, identified, joined_batches, mix, sent_back, with_marks
+from marketframe.llm.passages import RangeHash, covered, digests, identified, joined_batches, mix, sent_back, with_marks
 
 WINDOW = 200
 GRAM = 64
@@ -47,8 +47,8 @@ PART = 4096
 
 _U = np.uint64
 _TOP = _U(0xFFFFFFFFFFFFFFFF)
-#: Symbols of the bytes, for the anchors and for the contexts.
-_ANCHOR, _CONTEXT = (mix(np.arange(256, dtype=_U), salt) for salt in (21, 23))
+#: Symbols of the bytes, for the anchors.
+_ANCHOR = mix(np.arange(256, dtype=_U), 21)
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -112,7 +112,7 @@ def contexts(docs: DataFrame, window: int) -> DataFrame:
             of = doc[place]
             left = np.minimum(place - begins[of], window - GRAM)
             right = np.minimum(begins[of + 1] - place, window)
-            context = RangeHash(_CONTEXT[data]).of(place - left, place + right, 24) if len(place) else key
+            context = digests(data.tobytes(), place - left, place + right).view(_U)
             context = mix(context + left.astype(_U) * _U(1009) + right.astype(_U), 25)
             ids, ths = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
             yield pa.RecordBatch.from_arrays(

@@ -203,3 +203,22 @@ def test_components_of_chains_and_hubs(spark):
     want = {i: 0 for i in range(41)} | {i: 100 for i in (100, *range(200, 230))} | {300: 300, 301: 300}
     assert got == want
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def thue_morse(n, letters):
+    """A word on which sums of powers modulo 2^64 collide with its complement, whatever the base."""
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_texts_that_break_sums_of_powers(spark):
+    same = [f"w{i}" for i in range(19)]
+    words = [thue_morse(1024, "ab"), thue_morse(1024, "ba")]
+    rows = [(i, " ".join([*same, w, *same[::-1]])) for i, w in enumerate(words)]
+    rows += [(10 + i, thue_morse(2048, [f"{a} ", f"{b} "])) for i, (a, b) in enumerate(["cd", "dc"])]
+    rows += [(20 + i, thue_morse(336, letters)) for i, letters in enumerate(["xy", "yx"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in recompress.remove_repeats(docs).select("doc_id", "cut.*").collect()}
+    assert {i: (r.n_words, r.n_removed, r.kept_sha256) for i, r in got.items()} == {i: tuple(r) for i, *r in plain_words(rows)}
+    assert got[1].n_removed == 0
+    bytes_got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.remove_repeats(docs).select("doc_id", "cut.*").collect()}
+    assert bytes_got == {i: tuple(r) for i, *r in plain_bytes(rows)}
