@@ -4,10 +4,11 @@ A classifier learned from the ``labels`` table gives every document a posterior
 domains: ``toxic`` (toxic = 1), else ``good`` (quality = 1) or ``poor`` (quality = 0). Rates
 r >= 0 are fitted so that the expected tokens of each domain, the sum of r * tokens * p,
 match target weights times a budget: least squares by projected gradient from r = 1. The
-errors are weighted by the inverse of the sum of tokens * p * p', so the curvature is 1 in
-every direction: a step of 1 solves the problem at once while no rate meets zero, and a few
-steps do when some are held there. A step needs one sum over the documents; a document's
-rate is its own fold over the steps so far, so nothing but the sums moves.
+errors are weighted by the inverse of the sum of tokens * p * p' over the documents whose
+rate is above zero, so a step of 1 solves the problem at once while no further rate meets
+zero, and a few steps do when some are held there. A step needs one aggregate over the
+documents, which gives the totals and the next curvature; a document's rate is its own fold
+over the steps so far, so nothing but the sums moves. The tolerance ends the fit, no count.
 
 Classifier: naive Bayes over the presence of words and of a few word shapes. It counts
 features in at most ``MAX_LABELLED`` labelled documents (the smallest hashes of doc_id) and
@@ -30,6 +31,7 @@ bounded size. Tokens are words: runs without blanks.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,9 +51,8 @@ PSEUDO = 1.0
 #: Softens the posteriors: log odds are divided by this.
 TEMPERATURE = 2.0
 TARGETS = {"good": 0.80, "poor": 0.15, "toxic": 0.05}
-MAX_STEPS, TOLERANCE = 60, 1e-5
-#: Steps without progress after which the fit ends: the targets are out of reach.
-STALLED = 5
+#: Largest error of a domain, in its present tokens, at which the fit ends.
+TOLERANCE = 1e-5
 
 _UPPER, _LOWER = bytes(range(65, 91)), bytes([*range(97, 123), *range(128, 256)])
 _OUTER = b".,;:!?()"
@@ -178,42 +179,57 @@ def rate(p: Column, steps: list[list[float]]) -> Column:
 
 
 def fit(members: DataFrame, targets: dict[str, float], budget: float | None = None, protect: str | None = None, margin: float = 1.0,
-        max_steps: int = MAX_STEPS, tolerance: float = TOLERANCE) -> list[list[float]]:
+        tolerance: float = TOLERANCE) -> list[list[float]]:
     """Steps of the projected gradient over ``members`` (``tokens``, ``p``).
 
     The budget in tokens is the documents' total unless given; ``protect`` sets it so that
-    this domain's target is ``margin`` times its present tokens.
+    this domain's target is ``margin`` times its present tokens. A step is the gradient in the
+    curvature of the documents whose rate is above zero, found by the same sums, and is halved
+    while it does not lower the squared errors. The fit ends at the tolerance, or with a
+    warning where no step lowers the errors any more: then no rates meet the targets.
     """
     weight = np.array([targets.get(d, 0.0) for d in DOMAINS])
     weight = weight / weight.sum()
 
-    def totals(steps: list[list[float]]) -> np.ndarray:
-        """The domains' expected tokens."""
+    n = len(DOMAINS)
+    fields = [f"s{j}" for j in range(n + n * n)]
+
+    def totals(steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
+        """The domains' expected tokens, and their change with a step on the rates above zero."""
 
         def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 tokens = batch.column("tokens").to_numpy(zero_copy_only=False)
-                p = batch.column("p").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(DOMAINS))
-                yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (walk(p, steps) * tokens) @ p], list(DOMAINS))
+                p = batch.column("p").flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+                rates = walk(p, steps)
+                curved = (p * (tokens * (rates > 0))[:, None]).T @ p
+                yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (*((rates * tokens) @ p), *curved.ravel())], fields)
 
-        parts = members.select("tokens", "p").mapInArrow(sums, ", ".join(f"{d} double" for d in DOMAINS))
-        return np.array([v or 0.0 for v in parts.agg(*[F.sum(d) for d in DOMAINS]).first()])
+        parts = members.select("tokens", "p").mapInArrow(sums, ", ".join(f"{f} double" for f in fields))
+        found = np.array([v or 0.0 for v in parts.agg(*[F.sum(f) for f in fields]).first()])
+        return found[:n], found[n:].reshape(n, n)
 
-    spread = members.agg(*[F.sum(F.col("tokens") * F.col("p")[j] * F.col("p")[k]) for j in range(3) for k in range(3)]).first()
-    inverse = np.linalg.pinv(np.array([v or 0.0 for v in spread]).reshape(3, 3), hermitian=True)
-    now = start = totals([])
+    now, curve = totals([])
+    start = now
     if protect is not None:
         budget = margin * start[DOMAINS.index(protect)] / weight[DOMAINS.index(protect)]
     target = weight * (start.sum() if budget is None else budget)
-    scale = np.where(start > 0, start, np.inf)
+    scale = np.where(start > tolerance**2 * start.sum(), start, np.inf)  # a domain without mass does not count
+
+    def error(of: np.ndarray) -> np.ndarray:
+        return (of - target) / scale
+
     steps: list[list[float]] = []
-    errors: list[float] = []
-    for _ in range(max_steps):
-        errors.append(float(np.abs((now - target) / scale).max()))
-        if errors[-1] < tolerance or len(errors) > STALLED and min(errors[-STALLED:]) > 0.99 * min(errors[:-STALLED]):
+    while np.abs(error(now)).max() >= tolerance:
+        step, share, before = np.linalg.pinv(curve, hermitian=True) @ (now - target), 1.0, float((error(now) ** 2).sum())
+        now, curve = totals([*steps, step.tolist()])
+        while (error(now) ** 2).sum() > (1 - share / 4) * before and share > tolerance:
+            share /= 2
+            now, curve = totals([*steps, (share * step).tolist()])
+        if (error(now) ** 2).sum() >= (1 - tolerance) * before:
+            warnings.warn(f"no rates meet the targets: expected tokens {dict(zip(DOMAINS, now.tolist()))}, targets {dict(zip(DOMAINS, target.tolist()))}")
             break
-        steps.append((inverse @ (now - target)).tolist())
-        now = totals(steps)
+        steps.append((share * step).tolist())
     return steps
 
 

@@ -139,3 +139,26 @@ def test_mixing_on_odd_rows(spark):
     assert all(r.mix.p[0] == 1.0 for r in none)
     times = docs.select(mixing.copies(F.lit(2.5), F.col("doc_id"), F.col("text")).alias("n")).collect()
     assert {r.n for r in times} <= {2, 3}
+
+
+@pytest.mark.parametrize("protect, margin", [(None, 1.0), ("good", 1.15)])
+def test_fit_reaches_the_targets_on_real_posteriors(spark, protect, margin):
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    mixed = mixing.mixing_rates(docs, spark.read.parquet(f"{folder}/labels.parquet"), protect=protect, margin=margin).collect()
+    tokens, p, rates = (np.array([r.mix[c] for r in mixed]) for c in ("tokens", "p", "rate"))
+    weight = np.array([mixing.TARGETS[d] for d in mixing.DOMAINS])
+    start, got = tokens @ p, (rates * tokens) @ p
+    target = weight * (start.sum() if protect is None else margin * start[0] / weight[0])
+    assert (rates >= 0).all() and np.abs(got / target - 1).max() < 1e-3
+    # the same problem by many small projected steps: as near to the targets, from the same start
+    plain, step = np.ones(len(tokens)), 1 / (tokens[:, None] * p * p).sum()
+    for _ in range(20_000):
+        plain = np.maximum(0, plain - step * p @ ((plain * tokens) @ p - target))
+    assert np.abs(got - target).max() <= np.abs((plain * tokens) @ p - target).max() + 1e-3 * target.min()
+
+
+def test_fit_warns_where_no_rates_meet_the_targets(spark):
+    members = spark.createDataFrame([(10, [1.0, 0.0, 0.0]), (5, [0.5, 0.5, 0.0])], "tokens long, p array<double>")
+    with pytest.warns(UserWarning, match="no rates meet"):
+        mixing.fit(members, {"good": 0.1, "poor": 0.9, "toxic": 0.0})
