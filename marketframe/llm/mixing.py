@@ -51,8 +51,10 @@ PSEUDO = 1.0
 #: Softens the posteriors: log odds are divided by this.
 TEMPERATURE = 2.0
 TARGETS = {"good": 0.80, "poor": 0.15, "toxic": 0.05}
-#: Largest error of a domain, in its present tokens, at which the fit ends.
+#: Length of the weighted errors, by that of the weighted targets, at which the fit ends.
 TOLERANCE = 1e-5
+#: Shares of a step that are tried, and the least progress of a plain step.
+SHARES, PROGRESS = (1.0, 0.25, 0.0625), 1e-4
 
 _UPPER, _LOWER = bytes(range(65, 91)), bytes([*range(97, 123), *range(128, 256)])
 _OUTER = b".,;:!?()"
@@ -184,9 +186,11 @@ def fit(members: DataFrame, targets: dict[str, float], budget: float | None = No
 
     The budget in tokens is the documents' total unless given; ``protect`` sets it so that
     this domain's target is ``margin`` times its present tokens. A step is the gradient in the
-    curvature of the documents whose rate is above zero, found by the same sums, and is halved
-    while it does not lower the squared errors. The fit ends at the tolerance, or with a
-    warning where no step lowers the errors any more: then no rates meet the targets.
+    curvature of the documents whose rate is above zero, found by the same sums; where that
+    does not lower the errors enough, in shares of it, and then in the curvature of all
+    documents, which always lowers them. The fit ends at the tolerance, or with a warning
+    where even that step lowers them by less than ``PROGRESS``: then no rates meet the
+    targets, and these are the nearest.
     """
     weight = np.array([targets.get(d, 0.0) for d in DOMAINS])
     weight = weight / weight.sum()
@@ -214,22 +218,25 @@ def fit(members: DataFrame, targets: dict[str, float], budget: float | None = No
     if protect is not None:
         budget = margin * start[DOMAINS.index(protect)] / weight[DOMAINS.index(protect)]
     target = weight * (start.sum() if budget is None else budget)
-    scale = np.where(start > tolerance**2 * start.sum(), start, np.inf)  # a domain without mass does not count
+    # makes every curvature 1 at most; a domain without mass does not count
+    weights = np.linalg.pinv(curve, rcond=tolerance**2, hermitian=True)
 
-    def error(of: np.ndarray) -> np.ndarray:
-        return (of - target) / scale
+    def error(of: np.ndarray) -> float:
+        return float((of - target) @ weights @ (of - target))
 
     steps: list[list[float]] = []
-    while np.abs(error(now)).max() >= tolerance:
-        step, share, before = np.linalg.pinv(curve, hermitian=True) @ (now - target), 1.0, float((error(now) ** 2).sum())
-        now, curve = totals([*steps, step.tolist()])
-        while (error(now) ** 2).sum() > (1 - share / 4) * before and share > tolerance:
-            share /= 2
-            now, curve = totals([*steps, (share * step).tolist()])
-        if (error(now) ** 2).sum() >= (1 - tolerance) * before:
+    while (before := error(now)) > tolerance**2 * float(target @ weights @ target):
+        newton = np.linalg.pinv(curve, rcond=tolerance**2, hermitian=True) @ (now - target)
+        tried = [(newton * share, 1 - share / 4) for share in SHARES] + [(weights @ (now - target), 1 - PROGRESS)]
+        for step, enough in tried:
+            now, curve = totals([*steps, step.tolist()])
+            if error(now) < enough * before:
+                steps.append(step.tolist())
+                break
+        else:  # the plain gradient cannot fail while it is not zero: these are the least squares
+            steps.append(step.tolist())
             warnings.warn(f"no rates meet the targets: expected tokens {dict(zip(DOMAINS, now.tolist()))}, targets {dict(zip(DOMAINS, target.tolist()))}")
             break
-        steps.append((share * step).tolist())
     return steps
 
 
