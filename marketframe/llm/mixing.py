@@ -116,13 +116,14 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     domain = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).otherwise(0)
     chosen = per_doc.select("doc_id", domain.alias("domain")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
 
-    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(d, f) for d, t in zip(batch["domain"], batch["text"]) for f in (*features(t), b"\x00all")]
-            yield pd.DataFrame(found, columns=["domain", "feature"])
+            for domain, text in zip(batch.column("domain").to_pylist(), batch.column("text")):
+                found = [*features(text.as_py()), b"\x00all"]
+                yield pa.RecordBatch.from_arrays([pa.array([domain] * len(found), pa.int32()), pa.array(found, pa.binary())], ["domain", "feature"])
 
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("domain", raw("text").alias("text"))  # at most max_labelled ids
-    seen = sample.mapInPandas(words, "domain int, feature binary")
+    seen = sample.mapInArrow(words, "domain int, feature binary")
     counted = seen.groupBy("feature").agg(*[F.sum((F.col("domain") == k).cast("long")).alias(f"n{k}") for k in range(3)])
     counted = settle(counted.withColumn("n", F.col("n0") + F.col("n1") + F.col("n2")), "features")
     whole = counted.where(F.col("feature") == F.lit(b"\x00all")).first()
