@@ -210,7 +210,7 @@ def hard_negatives(rows: DataFrame, anchors: DataFrame, n_positives: int = 5, n_
     ``anchors`` has the ``id`` of some of them. A negative's score is from ``low`` to ``high``
     hundredths of the positive's.
     """
-    known = distinct_rows(rows)
+    known = settle(distinct_rows(rows), "negatives-rows")  # packed twice, counted twice
     vectors = settle(pack(known), "negatives-vectors")
     asked = settle(pack(known.join(anchors.select("id").distinct(), "id", "left_semi")), "negatives-anchors")
     best = settle(positives(tiles(asked, vectors), n_positives), "negatives-positives")
