@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from marketframe.functions.scalar import fee
 from marketframe.functions.timeseries import forward_fill, ordered, running
@@ -102,19 +103,19 @@ def negative_cash(nav: DataFrame) -> DataFrame:
 # --- corporate actions -----------------------------------------------------------------
 
 
-def units_on(fills: DataFrame, dates: DataFrame, at: str) -> DataFrame:
-    """Units held at the close of each date; ``dates`` carries account, symbol and the date."""
+def units_on(flows: DataFrame, dates: DataFrame, at: str) -> DataFrame:
+    """Units held at the close of each date; ``dates`` carries account, symbol and the date, ``flows`` are daily."""
     w = ordered(*BOOK)
-    changes = daily_flows(fills).select(*BOOK, F.col("date").alias("_on"), running(F.sum, F.col("quantity"), w).alias("units"))
+    changes = flows.select(*BOOK, F.col("date").alias("_on"), running(F.sum, F.col("quantity"), w).alias("units"))
     found = asof_backward(dates, changes, BOOK, at, "_on", ["units"], bucket="year")
     return found.drop("matched_at").withColumn("units", F.coalesce("units", F.lit(0.0)))
 
 
-def dividend_entitlements(fills: DataFrame, dividends: DataFrame) -> DataFrame:
-    """Units on the record date × rates; a fifth is reserved for tax; whole bonus shares only."""
-    books = fills.select(*BOOK).distinct()
+def dividend_entitlements(flows: DataFrame, dividends: DataFrame) -> DataFrame:
+    """Units on the record date × rates; a fifth is reserved for tax; whole bonus shares only. ``flows`` are daily."""
+    books = flows.select(*BOOK).distinct()
     due = books.join(dividends, "symbol").where("record_date IS NOT NULL")
-    held = units_on(fills, due, "record_date").where("units > 0")
+    held = units_on(flows, due, "record_date").where("units > 0")
     rate, bonus = F.coalesce("cash_div_tax", F.lit(0.0)), F.coalesce("stk_div", F.lit(0.0))
     gross = F.col("units") * rate
     return held.select(
@@ -145,7 +146,7 @@ def terminal_dates(bars: DataFrame, metadata: DataFrame) -> DataFrame:
 def write_offs(fills: DataFrame, bars: DataFrame, terminals: DataFrame) -> DataFrame:
     """Remaining units × last mark of every account at a symbol's terminal date."""
     books = fills.select(*BOOK).distinct().join(terminals, "symbol")
-    held = units_on(fills, books, "terminal_date").where("units > 0")
+    held = units_on(daily_flows(fills), books, "terminal_date").where("units > 0")
     close = bars.select("symbol", "date", "close")
     marked = asof_backward(held, close, ["symbol"], "terminal_date", "date", ["close"], bucket="year")
     return marked.select(*BOOK, "terminal_date", "basis", "units", (F.col("units") * F.col("close")).alias("loss"))
@@ -173,19 +174,99 @@ def ex_reference_marks(panel: DataFrame, dividends: DataFrame) -> DataFrame:
     return j.select("symbol", "date", F.greatest(F.lit(0.0), (F.col("_last") - cash) / (1 + bonus)).alias("reference_price"))
 
 
-def replay_nav(fills: DataFrame, panel: DataFrame, sessions: DataFrame, entitlements: DataFrame, initial_cash: float) -> DataFrame:
-    """NAV from fills and dividend events: cash, open claims and marked units.
+# --- replay ------------------------------------------------------------------------------
 
-    Net dividends join the cash on the first session from their payment date; until then they are claims.
+#: What an event of a book can change, with the value that changes nothing.
+CHANGES = {"quantity": 0.0, "bonus": 0.0, "cash": 0.0, "claim": 0.0, "ratio": 1.0}
+
+
+def event(on: Column, **changes: Column) -> Column:
+    """One row of the event flow: a date and what changes on it."""
+    return F.struct(on.alias("on"), *[F.coalesce(changes.get(c, F.lit(none)).cast("double"), F.lit(none)).alias(c) for c, none in CHANGES.items()])
+
+
+def event_flow(flows: DataFrame, entitlements: DataFrame, ratios: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Fills and corporate events of all books, summed by book and session.
+
+    ``flows`` are daily fills (``quantity``, ``cash``); ``ratios`` have symbol, date and the
+    ``ratio`` by which reinvestment multiplies the units held before the day's fills. An
+    entitlement opens a claim and bonus shares on its ex date; the payment turns the claim
+    into cash, the listing turns the bonus shares into units. An event without a date has
+    not happened yet, nor has one after the last session; other days count as the next session.
+    """
+    shares, net = F.col("bonus_shares"), F.col("net_cash")
+    corporate = F.array(event(F.col("ex_date"), bonus=shares, claim=net), event(F.col("pay_date"), cash=net, claim=-net),
+                        event(F.col("div_listdate"), quantity=shares, bonus=-shares))
+    rows = flows.select(*BOOK, event(F.col("date"), quantity=F.col("quantity"), cash=F.col("cash")).alias("e"))
+    rows = rows.unionByName(entitlements.select(*BOOK, F.explode(corporate).alias("e")))
+    books = flows.select(*BOOK).distinct()
+    rows = rows.unionByName(books.join(ratios, "symbol").select(*BOOK, event(F.col("date"), ratio=F.col("ratio")).alias("e")))
+    flow = on_session(rows.select(*BOOK, "e.*"), sessions, "on")
+    return flow.groupBy(*BOOK, "date").agg(
+        *[(F.product(c) if c == "ratio" else F.sum(c)).alias(c) for c in CHANGES])
+
+
+def on_session(rows: DataFrame, sessions: DataFrame, on: str) -> DataFrame:
+    """``rows`` with the session ``date`` of a day: itself, or the next one. Days after the last session are dropped."""
+    before = F.coalesce(F.lag("date").over(Window.orderBy("date")), F.date_sub("date", 1))
+    days = sessions.withColumn("_before", before).select("date", F.explode(F.sequence(F.date_add("_before", 1), F.col("date"))).alias(on))
+    return rows.join(F.broadcast(days), on).drop(on)  # the calendar: at most 366 rows a year
+
+
+def event_marks(panel: DataFrame, dividends: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Last quote of each symbol on each session; on an ex date without a quote, the last one less the distribution.
+
+    That reference holds until the next quote, so the distribution is not counted twice.
+    """
+    due = on_session(dividends.select("symbol", F.col("ex_date").alias("on"), "cash_div_tax", "stk_div", F.lit(True).alias("due")), sessions, "on")
+    last = forward_fill(F.col("close"))
+    cash, bonus = F.coalesce("cash_div_tax", F.lit(0.0)), F.coalesce("stk_div", F.lit(0.0))
+    reference = F.when(F.col("due") & (F.col("_last") > 0), F.greatest(F.lit(0.0), (F.col("_last") - cash) / (1 + bonus)))
+    d = panel.join(due, ["symbol", "date"], "left").withColumn("_last", last).withColumn("_quote", F.coalesce("close", reference))
+    return d.select("symbol", "date", forward_fill(F.col("_quote")).alias("mark"))
+
+
+def replay_nav(flow: DataFrame, marked: DataFrame, terminals: DataFrame, sessions: DataFrame, initial_cash: float, cash_rate: float = 0.0,
+               extra: tuple[str, ...] = ()) -> DataFrame:
+    """Cash, open claims, bonus shares and marked units of every account on every session, by folding its event flow.
+
+    Units are the running product of the ratios times the running sum of quantities over it;
+    cash earns interest in closed form; at a symbol's ``terminal_date`` the units left after
+    the day's events are written off; ``terminals`` have that date and some of the book's
+    columns. ``extra`` columns of ``flow`` belong to the book. One shuffle by book and one by account; a partition of a book has one
+    row a session, however many fills stand behind it.
     """
-    base = account_nav(fills, panel, sessions, initial_cash)
-    paid = entitlements.where("pay_date IS NOT NULL").groupBy("account", F.col("pay_date").alias("on")).agg(F.sum("net_cash").alias("paid"))
-    total = paid.select("account", "on", running(F.sum, F.col("paid"), ordered("account", by="on")).alias("paid"))
-    with_cash = asof_backward(base, total, ["account"], "date", "on", ["paid"], bucket="year").drop("matched_at")
-    claims = receivables(entitlements, sessions)
-    j = with_cash.join(claims, ["account", "date"], "left")
-    extra = F.coalesce("paid", F.lit(0.0)) + F.coalesce("claim", F.lit(0.0))
-    return j.select("account", "date", (F.col("equity") + extra).alias("equity"))
+    book = [*extra, *BOOK]
+    own = [*extra, "account"]
+    shared = [c for c in book if c in terminals.columns]
+    end = on_session(terminals.select(*shared, F.col("terminal_date").alias("_on")), sessions, "_on").withColumnRenamed("date", "_end")
+    d = complete_panel(flow, sessions, tuple(book)).join(end, shared, "left")
+    w = ordered(*book)
+    d = d.withColumn("_scale", F.exp(running(F.sum, F.ln(F.coalesce("ratio", F.lit(1.0))), w)))
+    d = d.withColumn("_units", F.col("_scale") * running(F.sum, F.coalesce("quantity", F.lit(0.0)) / F.col("_scale"), w))
+    written = F.when(F.col("date") == F.col("_end"), F.greatest("_units", F.lit(0.0)) / F.col("_scale"))
+    units = F.col("_units") - F.coalesce(running(F.sum, written, w), F.lit(0.0)) * F.col("_scale")
+    held = d.withColumns({"units": units, "bonus": running(F.sum, F.coalesce("bonus", F.lit(0.0)), w)})
+
+    def worth(of: str) -> Column:
+        return F.when(F.abs(F.col(of)) > 1e-8, F.col(of)).otherwise(0.0) * F.coalesce("mark", F.lit(0.0))
+
+    by_day = held.join(marked, ["symbol", "date"], "left").groupBy(*own, "date").agg(
+        F.sum(worth("units") + worth("bonus")).alias("holdings"), F.sum("cash").alias("cash"), F.sum("claim").alias("claim"))
+    growth = F.pow(F.lit(1 + cash_rate), F.datediff("date", sessions.agg(F.min("date")).scalar()) / 365.25)
+    aw = ordered(*own)
+    grown = by_day.withColumn("_g", growth)
+    cash = F.col("_g") * (initial_cash + running(F.sum, F.coalesce("cash", F.lit(0.0)) / F.col("_g"), aw))
+    total = grown.withColumns({"cash": cash, "claim": running(F.sum, F.coalesce("claim", F.lit(0.0)), aw)})
+    return total.select(*own, "date", "cash", "claim", "holdings", (F.col("cash") + F.col("claim") + F.col("holdings")).alias("equity"))
+
+
+def replay_difference(replayed: DataFrame, recorded: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """Sessions, largest difference and whether it is below the tolerance, of each account; a session of one side only is infinite."""
+    j = replayed.select("account", "date", F.col("equity").alias("_a")).join(
+        recorded.select("account", "date", F.col("equity").alias("_b")), ["account", "date"], "full")
+    gap = F.max(F.coalesce(F.abs(F.col("_a") - F.col("_b")), F.lit(float("inf"))))
+    return j.groupBy("account").agg(F.count(F.lit(1)).alias("sessions"), gap.alias("max_abs_difference"), (gap < tolerance).cast("int").alias("verified"))
 
 
 # --- statistics --------------------------------------------------------------------------

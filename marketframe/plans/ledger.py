@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marketframe.operators import accounting as L, dedup, metrics, selection
+from marketframe.operators.panel import complete_panel
 from marketframe.plans.performance import WINDOWS
 from marketframe.plans.registry import frame, part, query
-from marketframe.sources.market import Market
+from marketframe.sources.market import Market, merged, priced, traded
 
 CASH0 = 1e9
 # Five accounts hold all fills (one per order priority): every account is a hot key.
@@ -33,16 +34,21 @@ FROM (SELECT account, date, sum(units * coalesce(mark, 0)) AS holdings, sum(cash
   SELECT *, sum(quantity) OVER (PARTITION BY account, symbol ORDER BY date) AS units FROM book) GROUP BY account, date)""")
 
 
+def booked() -> dict[str, Column]:
+    """What a trade means to its account."""
+    n = F.col("l_extendedprice")
+    return {"account": F.col("o_orderpriority"), "symbol": F.col("p_type"), "side": F.when(F.col("l_returnflag") == "A", "SELL").otherwise("BUY"),
+            "quantity": F.col("l_quantity"), "notional": n, "commission": L.fee(n, 1.5, 5.0)}
+
+
 def fills(m: Market) -> DataFrame:
     def build():
         w = Window.orderBy("date")
         before = m.sessions.select("date", F.lag("date").over(w).alias("_before"))
         n = F.col("l_extendedprice")
-        return m.trades.join(F.broadcast(before), "date").select(  # the calendar: at most 366 rows a year
-            F.col("o_orderpriority").alias("account"), F.col("p_type").alias("symbol"), "date",
-            F.when(F.col("l_linenumber") == 7, F.col("date")).otherwise(F.col("_before")).alias("signal_date"),
-            F.when(F.col("l_returnflag") == "A", "SELL").otherwise("BUY").alias("side"), F.col("l_quantity").alias("quantity"),
-            (n / F.col("l_quantity")).alias("price"), n.alias("notional"), L.fee(n, 1.5, 5.0).alias("commission"), (n * 0.0005).alias("slippage_cost"))
+        return m.trades.join(F.broadcast(before), "date").withColumns(booked()).select(  # the calendar: at most 366 rows a year
+            "account", "symbol", "date", F.when(F.col("l_linenumber") == 7, F.col("date")).otherwise(F.col("_before")).alias("signal_date"),
+            "side", "quantity", (n / F.col("l_quantity")).alias("price"), "notional", "commission", (n * 0.0005).alias("slippage_cost"))
 
     return m._once("fills", build)
 
@@ -116,10 +122,19 @@ FROM (SELECT b.account, d.*, (SELECT coalesce(sum(f.quantity), 0) FROM flows f W
       FROM (SELECT DISTINCT account, symbol FROM flows) b JOIN dividends d ON d.symbol = b.symbol) WHERE units > 0""")
 
 
+def rated() -> list[Column]:
+    """What dividends take from trades; mergeable."""
+    return [F.count(F.lit(1)).alias("n"), F.sum(F.col("l_discount").cast("decimal(4,2)")).alias("d"), F.sum(F.col("l_tax").cast("decimal(4,2)")).alias("t")]
+
+
 def dividends_raw(m: Market) -> DataFrame:
-    y = m.trades.groupBy(F.col("p_type").alias("symbol"), F.year("date").alias("y"), F.col("l_returnflag").alias("flag")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("l_discount").cast("decimal(4,2)")).cast("double").alias("d"),
-        F.sum(F.col("l_tax").cast("decimal(4,2)")).cast("double").alias("t")).withColumn("ex_date", F.make_date("y", F.lit(6), F.lit(30)))
+    y = m.trades.groupBy(F.col("p_type").alias("symbol"), F.year("date").alias("y"), F.col("l_returnflag").alias("flag")).agg(*rated())
+    return declared(y)
+
+
+def declared(y: DataFrame) -> DataFrame:
+    """Dividend announcements from ``rated`` rows of symbol, year and flag."""
+    y = y.withColumns({"d": F.col("d").cast("double"), "t": F.col("t").cast("double"), "ex_date": F.make_date("y", F.lit(6), F.lit(30))})
     first = F.col("flag") == "R"
     silent = (F.col("flag") == "A") & F.col("y").isin(1996, 1998, 2000)
     return y.select(
@@ -133,7 +148,7 @@ def dividends(m: Market) -> DataFrame:
 
 
 def entitlements(m: Market) -> DataFrame:
-    return m._once("entitlements", lambda: L.dividend_entitlements(fills(m), dividends(m)))
+    return m._once("entitlements", lambda: L.dividend_entitlements(L.daily_flows(fills(m)), dividends(m)))
 
 
 @query("a07_reconciled_dividends", "SELECT symbol, ex_date, source_rows, pay_date, cash_div_tax, stk_div, reconciliation_error::INT AS reconciliation_error FROM dividends",
@@ -199,16 +214,87 @@ def ex_reference_mark(m):
     return L.ex_reference_marks(m.panel("p_brand"), actions)
 
 
+# Fixed values of the replay: funds whose distributions are reinvested, the interest rate, and the account whose statement never booked a write-off.
+FUNDS, RATE, UNBOOKED = ("ECONOMY", "STANDARD"), 0.02, "3-MEDIUM"
+_funds = ", ".join(f"'{f}'" for f in FUNDS)
+part("fund_ratios", f"""
+SELECT symbol, date, adj_factor / f0 AS ratio FROM (SELECT symbol, date, adj_factor, lag(adj_factor) OVER (PARTITION BY symbol ORDER BY date) AS f0 FROM type_bars)
+WHERE symbol IN ({_funds}) AND adj_factor <> f0""")
+part("book_events", f"""
+SELECT account, symbol, date AS day, quantity, 0 AS bonus, cash, 0 AS claim, 1 AS ratio FROM flows
+UNION ALL SELECT account, symbol, ex_date, 0, bonus_shares, 0, net_cash, 1 FROM entitled WHERE symbol NOT IN ({_funds})
+UNION ALL SELECT account, symbol, pay_date, 0, 0, net_cash, -net_cash, 1 FROM entitled WHERE symbol NOT IN ({_funds})
+UNION ALL SELECT e.account, e.symbol, d.div_listdate, bonus_shares, -bonus_shares, 0, 0, 1 FROM entitled e JOIN dividends d USING (symbol, ex_date) WHERE symbol NOT IN ({_funds})
+UNION ALL SELECT account, symbol, date, 0, 0, 0, 0, ratio FROM fund_ratios JOIN (SELECT DISTINCT account, symbol FROM flows) USING (symbol)""")
+part("book_flow", """
+SELECT account, symbol, date, sum(quantity) AS quantity, sum(bonus) AS bonus, sum(cash) AS cash, sum(claim) AS claim, product(ratio) AS ratio
+FROM book_events ASOF JOIN sessions ON book_events.day <= sessions.date GROUP BY ALL""")
+part("book_terminals", """
+SELECT symbol, min(date) AS terminal FROM (
+  SELECT 'PROMO' AS symbol, DATE '2000-06-15' AS day UNION ALL SELECT 'MEDIUM', (SELECT max(date) + 1 FROM type_bars WHERE symbol = 'MEDIUM')::DATE) t
+JOIN sessions s ON s.date >= t.day GROUP BY symbol""")
+# a day's units are its own units times the ratios of the days after it: a sum over pairs instead of the running quotient
+part("book_units", """
+SELECT g.account, g.symbol, g.date, coalesce(sum(f.quantity * r.scale / f.scale), 0) AS units, coalesce(sum(f.bonus), 0) AS bonus
+FROM (SELECT account, symbol, date FROM (SELECT DISTINCT account, symbol FROM flows), sessions) g
+JOIN (SELECT symbol, date, exp(sum(ln(coalesce(ratio, 1))) OVER (PARTITION BY symbol ORDER BY date)) AS scale
+      FROM (SELECT symbol, date FROM (SELECT DISTINCT symbol FROM flows), sessions) LEFT JOIN fund_ratios USING (symbol, date)) r ON r.symbol = g.symbol AND r.date = g.date
+LEFT JOIN (SELECT *, exp(sum(ln(ratio)) OVER (PARTITION BY account, symbol ORDER BY date)) AS scale FROM book_flow) f
+  ON f.account = g.account AND f.symbol = g.symbol AND f.date <= g.date GROUP BY ALL""")
+part("event_marks", f"""
+SELECT symbol, date, last_value(quote IGNORE NULLS) OVER {frame()} AS mark FROM (
+  SELECT p.symbol, p.date, coalesce(p.close, CASE WHEN d.symbol IS NOT NULL AND p.before > 0 THEN greatest(0, (p.before - coalesce(cash_div_tax, 0)) / (1 + coalesce(stk_div, 0))) END) AS quote
+  FROM (SELECT symbol, date, close, last_value(close IGNORE NULLS) OVER {frame()} AS before FROM type_panel) p
+  LEFT JOIN (SELECT symbol, cash_div_tax, stk_div, sessions.date FROM dividends ASOF JOIN sessions ON dividends.ex_date <= sessions.date WHERE symbol NOT IN ({_funds})) d
+    ON d.symbol = p.symbol AND d.date = p.date)""")
+part("replayed", f"""
+SELECT account, date, booked, g * ({CASH0} + sum(cash / g) OVER w) AS cash, sum(claim) OVER w AS claim, holdings
+FROM (SELECT account, date, booked, holdings, coalesce(cash, 0) AS cash, coalesce(claim, 0) AS claim, pow({1 + RATE}, (date - (SELECT min(date) FROM sessions)) / 365.25) AS g
+      FROM (SELECT u.account, u.date, b.booked, sum((u.units + u.bonus - CASE WHEN b.booked AND u.date >= t.terminal THEN greatest(e.units, 0) ELSE 0 END) * coalesce(m.mark, 0)) AS holdings
+            FROM book_units u CROSS JOIN (VALUES (true), (false)) b(booked) LEFT JOIN event_marks m ON m.symbol = u.symbol AND m.date = u.date
+            LEFT JOIN book_terminals t ON t.symbol = u.symbol LEFT JOIN book_units e ON e.account = u.account AND e.symbol = u.symbol AND e.date = t.terminal GROUP BY ALL)
+      LEFT JOIN (SELECT account, date, sum(cash) AS cash, sum(claim) AS claim FROM book_flow GROUP BY ALL) USING (account, date))
+WINDOW w AS (PARTITION BY account, booked ORDER BY date)""")
+
+
+def replays(m: Market) -> DataFrame:
+    """The NAV replayed from the events (``log`` events), and as the statements have it, one of which misses a write-off.
+
+    Fills, bars and dividend rates come from one pass over the trades.
+    """
+    def daily() -> DataFrame:
+        return m.trades.withColumns(booked()).groupBy(*L.BOOK, "date", F.col("l_returnflag").alias("flag")).agg(
+            F.sum(L.signed()).alias("quantity"), F.sum(-L.signed("notional") - F.col("commission")).alias("cash"), *traded(), *rated())
+
+    base = m.settle("ledger-days", daily)
+    flows = base.groupBy(*L.BOOK, "date").agg(F.sum("quantity").alias("quantity"), F.sum("cash").alias("cash"))
+    bars = priced(base.groupBy("symbol", "date").agg(*merged()))
+    raw = declared(base.groupBy("symbol", F.year("date").alias("y"), "flag").agg(F.sum("n").alias("n"), F.sum("d").alias("d"), F.sum("t").alias("t")))
+    actions = dedup.reconcile_fields(raw, ["symbol", "ex_date"], "ann_date", list(_fields)).where(~F.col("symbol").isin(*FUNDS))
+    before = F.lag("adj_factor").over(Window.partitionBy("symbol").orderBy("date"))
+    ratios = bars.where(F.col("symbol").isin(*FUNDS)).select("symbol", "date", (F.col("adj_factor") / before).alias("ratio")).where("ratio <> 1")
+    flow = L.event_flow(flows, L.dividend_entitlements(flows, actions), ratios, m.sessions)
+    logs = F.array(F.lit("events"), F.lit("statement"))
+    ends = L.terminal_dates(bars, retired(m)).select("symbol", "terminal_date").join(flows.select(*L.BOOK).distinct(), "symbol")
+    ends = ends.withColumn("log", F.explode(logs)).where((F.col("log") == "events") | (F.col("account") != UNBOOKED))
+    marked = L.event_marks(complete_panel(bars, m.sessions), actions, m.sessions)
+    return L.replay_nav(flow.withColumn("log", F.explode(logs)), marked, ends, m.sessions, CASH0, RATE, extra=("log",))
+
+
+@query("l10_replayed_nav", "SELECT account, date, cash, claim, holdings, cash + claim + holdings AS equity FROM replayed WHERE booked",
+       floats="cash claim holdings equity", dates="date", digits=1)
+def replayed_nav(m):
+    return replays(m).where("log = 'events'").drop("log")
+
+
 @query("l10_replay_difference",
-       """SELECT n.account, count(*) AS sessions, max(x.extra) AS max_abs_difference, (max(x.extra) < 0.01)::INT AS verified FROM account_nav n
-          JOIN LATERAL (SELECT coalesce(sum(net_cash), 0) AS extra FROM entitled e WHERE e.account = n.account AND e.ex_date <= n.date) x ON true GROUP BY n.account""",
+       f"""SELECT a.account, count(*) AS sessions, max(abs(a.holdings - b.holdings)) AS max_abs_difference, (max(abs(a.holdings - b.holdings)) < 0.01)::INT AS verified
+           FROM replayed a JOIN replayed b ON a.account = b.account AND a.date = b.date WHERE a.booked AND b.booked = (b.account <> '{UNBOOKED}') GROUP BY a.account""",
        floats="max_abs_difference", digits=1)
 def replay_difference(m):
-    """Replay with dividend events against the fills-only NAV: they part by the net dividends."""
-    replay = L.replay_nav(fills(m), m.panel("p_type"), m.sessions, entitlements(m), CASH0)
-    j = replay.join(nav(m).select("account", "date", F.col("equity").alias("recorded")), ["account", "date"])
-    gap = F.max(F.abs(F.col("equity") - F.col("recorded")))
-    return j.groupBy("account").agg(F.count(F.lit(1)).alias("sessions"), gap.alias("max_abs_difference"), (gap < 0.01).cast("int").alias("verified"))
+    """Replay of fills and corporate events against the statements: the account whose write-off was never booked is not verified."""
+    both = m.settle("replays", lambda: replays(m))
+    return L.replay_difference(both.where("log = 'events'"), both.where("log = 'statement'"))
 
 
 # --- statistics ------------------------------------------------------------------------------

@@ -35,6 +35,26 @@ def exact(x: Column) -> Column:
     return x.cast("decimal(18,2)")
 
 
+def traded() -> list[Column]:
+    """What a bar keeps of its trades; mergeable, so finer groups can be brought together by ``merged``."""
+    price = F.col("l_extendedprice") / F.col("l_quantity")
+    return [F.min(price).alias("low"), F.max(price).alias("high"), F.sum(exact(F.col("l_extendedprice"))).alias("amount"),
+            F.sum(exact(F.col("l_quantity"))).alias("volume")]
+
+
+def merged() -> list[Column]:
+    return [F.min("low").alias("low"), F.max("high").alias("high"), F.sum("amount").alias("amount"), F.sum("volume").alias("volume")]
+
+
+def priced(daily: DataFrame) -> DataFrame:
+    """Bars from ``traded`` rows of symbol and date."""
+    age = F.datediff("date", F.lit("1995-01-01").cast("date")) + 30 * F.length("symbol")
+    amount, volume = F.col("amount").cast("double"), F.col("volume").cast("double")
+    return daily.select(
+        "symbol", "date", ((F.col("low") + F.col("high")) / 2).alias("open"), "high", "low", (amount / volume).alias("close"),
+        volume.alias("volume"), amount.alias("amount"), (1 + 0.05 * F.floor(age / 365)).alias("adj_factor"))
+
+
 class Market:
     """Lazy tables over one data folder; every table is declared at most once per query."""
 
@@ -96,28 +116,7 @@ class Market:
         """Daily bars of ``by`` (``p_brand``: 25 symbols with gaps, ``p_type``: 6 symbols)."""
 
         def build():
-            price = F.col("l_extendedprice") / F.col("l_quantity")
-            daily = (
-                self.trades.groupBy(F.col(by).alias("symbol"), "date")
-                .agg(
-                    F.min(price).alias("low"),
-                    F.max(price).alias("high"),
-                    F.sum(exact(F.col("l_extendedprice"))).cast("double").alias("amount"),
-                    F.sum(exact(F.col("l_quantity"))).cast("double").alias("volume"),
-                )
-            )
-            age = F.datediff("date", F.lit("1995-01-01").cast("date")) + 30 * F.length("symbol")
-            return daily.select(
-                "symbol",
-                "date",
-                ((F.col("low") + F.col("high")) / 2).alias("open"),
-                "high",
-                "low",
-                (F.col("amount") / F.col("volume")).alias("close"),
-                "volume",
-                "amount",
-                (1 + 0.05 * F.floor(age / 365)).alias("adj_factor"),
-            )
+            return priced(self.trades.groupBy(F.col(by).alias("symbol"), "date").agg(*traded()))
 
         return self._once(("bars", by), build)
 

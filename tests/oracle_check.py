@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import os
 import sys
 import time
 from decimal import Decimal
@@ -89,7 +90,7 @@ def main(argv):
 
     sf = argv[0] if argv else "0.01"
     wanted = argv[1:]
-    spark = local_session()
+    spark = local_session(cores=int(os.environ.get("CHECK_CORES", "8")))
     folder = f"/root/testdata/sf{sf}"
     con = duck(folder)
     q, o = queries(), oracle_sql()
