@@ -24,7 +24,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketframe.llm.common import bounded_batches
+from marketframe.llm.common import bounded_batches, gives_back
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Texts above this many characters are cut.
@@ -33,15 +33,17 @@ PART_CHARS = 16_384
 _SAFE = regex.compile(r"(?<=[\p{L}\p{N}]) (?=[\p{L}\p{N}])")
 
 
-@lru_cache(maxsize=4)
-def encoding(ranks: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> tiktoken.Encoding:
-    """The encoder of a rank file (a name of the public set, or a path), once per worker."""
+def load(ranks: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> tiktoken.Encoding:
+    """The encoder of a rank file (a name of the public set, or a path); a task has its own and drops it at its end."""
     path = ranks if "/" in ranks else public_tokenizers.path(ranks)
     with open(path, "rb") as lines:
         table = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
     return tiktoken.Encoding(ranks, pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
 
+encoding = lru_cache(maxsize=4)(load)
+
+
 def parts(text: str, size: int = PART_CHARS) -> Iterator[str]:
     """The text in parts of at least ``size`` characters that end at safe places."""
     start = 0
@@ -65,8 +67,9 @@ def encode(text: Column, ranks: str = RANKS, pattern: str = public_tokenizers.PA
     """The ids of a text as binary: four little-endian bytes an id."""
 
     @F.pandas_udf("binary")
+    @gives_back
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = encoding(ranks, pattern)
+        encoder = load(ranks, pattern)
         for texts in batches:
             yield pd.Series([ids_of(t, encoder, size) for t in texts], dtype=object)
 
@@ -77,8 +80,9 @@ def decode(ids: Column, ranks: str = RANKS, pattern: str = public_tokenizers.PAT
     """The bytes behind ids that ``encode`` made; they need not be valid UTF-8 on their own."""
 
     @F.pandas_udf("binary")
+    @gives_back
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = encoding(ranks, pattern)
+        encoder = load(ranks, pattern)
         for rows in batches:
             yield pd.Series([encoder.decode_bytes(np.frombuffer(r, "<u4").tolist()) if r else b"" for r in rows], dtype=object)
 
@@ -89,8 +93,9 @@ def round_trip(text: Column, ranks: str = RANKS, pattern: str = public_tokenizer
     """Struct of ``token_ids`` and of ``decoded``, the bytes worked out from these ids, in one worker a task."""
 
     @F.pandas_udf("struct<token_ids:binary,decoded:binary>")
+    @gives_back
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        encoder = encoding(ranks, pattern)
+        encoder = load(ranks, pattern)
         for texts in batches:
             ids = [ids_of(t, encoder, size) for t in texts]
             yield pd.DataFrame({"token_ids": ids, "decoded": [encoder.decode_bytes(np.frombuffer(r, "<u4").tolist()) for r in ids]})

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +54,26 @@ def settle(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers outlive their tasks, and Spark runs several beside its own heap."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library is glibc
+    if trim:
+        trim(0)
+
+
+def gives_back(work: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """A task's generator that gives its memory back once it has ended and its own data is gone."""
+
+    @wraps(work)
+    def run(*batches: Iterator) -> Iterator:
+        yield from work(*batches)
+        give_back()
+
+    return run
+
+
 def raw(text: Column | str) -> Column:
     """The UTF-8 bytes of a text; null counts as empty."""
     column = F.col(text) if isinstance(text, str) else text

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketframe.llm.common import raw, settle
+from marketframe.llm.common import gives_back, raw, settle
 
 DOMAINS = ("good", "poor", "toxic")
 #: Labelled documents that the classifier may read; labelled features it may keep.
@@ -116,6 +116,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     domain = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).otherwise(0)
     chosen = per_doc.select("doc_id", domain.alias("domain")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
 
+    @gives_back
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for domain, text in zip(batch.column("domain").to_pylist(), batch.column("text")):
@@ -154,6 +155,7 @@ def memberships(text: Column, model: Classifier) -> Column:
     """A struct of ``tokens`` and ``p``, the posterior in the order of ``DOMAINS``."""
 
     @F.pandas_udf("struct<tokens:long,p:array<double>>")
+    @gives_back
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             found = [model.posterior(t) for t in texts]

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketframe.llm.common import raw
+from marketframe.llm.common import gives_back, raw
 
 #: Stands for a null ``doc_id``: after all others.
 NULL_LAST = (1 << 63) - 1
@@ -82,6 +82,7 @@ def sent_back(docs: DataFrame, wanted: DataFrame, run: Callable, schema: str) ->
     """
     met = keyed(docs).join(wanted.withColumnsRenamed({"doc_id": "__id", "th": "__th", "asked": "__asked"}), ["__id", "__th"])
 
+    @gives_back
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = (b.select(["__id", "__th", "__asked", "text"]) for b in batches)
         for group in joined_batches(own):

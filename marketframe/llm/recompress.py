@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marketframe.llm.common import raw, settle
+from marketframe.llm.common import gives_back, raw, settle
 from marketframe.llm.passages import RangeHash, covered, digests, identified, joined_batches, mix, sent_back, with_marks
 
 WINDOW = 20
@@ -200,6 +200,7 @@ def owner_rows(docs: DataFrame, window: int) -> DataFrame:
 
 
 def _owner_rows(docs: DataFrame, window: int, places: bool) -> DataFrame:
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in joined_batches(batches):
             words = Words([r[-1] for r in rows])
@@ -278,6 +279,7 @@ def removal(text: Column, marks: Column, window: int = WINDOW) -> Column:
     """Struct of word counts, the digest of the words left and the words left, joined by one space."""
 
     @F.pandas_udf("struct<n_words:long,n_removed:long,kept_sha256:string,kept:string>")
+    @gives_back
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, found in batches:
             out = []

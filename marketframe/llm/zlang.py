@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marketframe.llm.common import bounded_batches
+from marketframe.llm.common import bounded_batches, gives_back
 
 DOCS_PER_LANGUAGE = 800
 CHARS_PER_DOC = 400
@@ -73,6 +73,7 @@ def predict(text: Column, dictionaries: dict[str, bytes], min_margin: float = MI
     """A struct of ``lang_pred``, ``score`` and ``rejected``."""
 
     @F.pandas_udf("struct<lang_pred:string,score:double,rejected:boolean>")
+    @gives_back
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = compressors(dictionaries)
         for texts in batches:
