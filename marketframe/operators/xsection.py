@@ -178,11 +178,17 @@ def price_control(momentum: str, volatility: str, keys: list[str]) -> Column:
     return 0.6 * percent_rank_average(F.col(momentum), *keys) + 0.4 * percent_rank_average(-F.col(volatility), *keys)
 
 
-def rotation_scores(features: DataFrame) -> DataFrame:
+#: Share of the prediction's rank in the scores of the ridge family.
+RIDGE_SHARE = 0.25
+
+
+def rotation_scores(features: DataFrame, predictions: DataFrame | None = None) -> DataFrame:
     """Scores, gates and trend tests of the rotation families, one row per sleeve.
 
     Ranks are taken among eligible symbols of a date. ``dual`` has one sleeve,
-    ``quality`` one, ``ensemble`` three with their own gate and trend window.
+    ``quality`` one, ``ensemble`` three with their own gate and trend window. With
+    ``predictions`` (symbol, date, prediction) there is a family ``ridge``: the sleeves of
+    ``ensemble``, a quarter of whose score is the prediction's rank on that date, if there is one.
     """
     ok = F.col("eligible")
     masked = {f"e{k}": F.when(ok, F.col(f"mom{k}")) for k in (21, 63, 126, 252)}
@@ -190,7 +196,11 @@ def rotation_scores(features: DataFrame) -> DataFrame:
     quality = (F.col("mom63") + F.col("mom126") + F.col("mom252")) / (3 * vol)
     masked.update({
         "eq": F.when(ok, quality), "ee": F.when(ok, F.col("efficiency")), "ed": F.when(ok, F.col("drawdown"))})
-    r = with_ranks(features.withColumns(masked), list(masked), ["date"])
+    scored = features.withColumns(masked)
+    if predictions is not None:
+        scored = scored.join(predictions.select("symbol", "date", F.col("prediction").alias("ep")), ["symbol", "date"], "left")
+        masked["ep"] = F.col("ep")
+    r = with_ranks(scored, list(masked), ["date"])
     slow = (F.col("mom126") + F.col("mom252")) / 2 > 0
     base = (F.col("e63_rank") + F.col("e126_rank") + F.col("e252_rank")) / 3
     mixed = 0.7 * F.col("eq_rank") + 0.15 * F.col("ee_rank") + 0.15 * F.col("ed_rank")
@@ -201,6 +211,8 @@ def rotation_scores(features: DataFrame) -> DataFrame:
         ("ensemble", 2, (F.col("e63_rank") + F.col("e126_rank")) / 2, F.col("mom126") > 0, "trend120"),
         ("ensemble", 3, base, slow, "trend200"),
     ]
+    if predictions is not None:
+        sleeves += [("ridge", i, (1 - RIDGE_SHARE) * s + RIDGE_SHARE * F.coalesce("ep_rank", s), g, t) for f, i, s, g, t in sleeves if f == "ensemble"]
     rows = F.explode(F.array(*[
         F.struct(F.lit(f).alias("family"), F.lit(i).alias("sleeve"), s.alias("score"),
                  F.coalesce(ok & g & (F.col(t) > 0), F.lit(False)).alias("allowed"))

@@ -8,10 +8,10 @@ from pyspark.sql.window import Window
 
 from marketframe.functions.ranks import percent_rank_average
 from marketframe.functions.timeseries import change, divide, rolling_std
-from marketframe.operators import panel as P, selection, xsection as X
+from marketframe.operators import panel as P, ridge as R, selection, xsection as X
 from marketframe.plans.features import DEFAULT_FACTORS, LISTING, default_factors, listings
 from marketframe.plans.registry import lag, part, query, roll
-from marketframe.sources.market import Market
+from marketframe.sources.market import Market, priced, traded
 
 
 def rank_sql(x: str, keys: str = "date", desc: bool = False) -> str:
@@ -222,27 +222,88 @@ def price_control(m):
     return brand_scores(m).select("date", "symbol", X.price_control("momentum_raw", "volatility", ["date"]).alias("matched_price_control"))
 
 
+def features_sql(marked: str, seen: int) -> str:
+    """Rotation features on filled marks."""
+    return f"""
+SELECT symbol, date, session_no, ret, marked, vol, downside, mom21, mom63, mom126, mom252, trend60, trend120, trend200, efficiency, drawdown,
+  (close IS NOT NULL AND seen >= {seen} AND coalesce(a20 >= 10000, false) AND coalesce(volume > 0, false) AND vol IS NOT NULL) AS eligible, open
+FROM (SELECT *, ({roll('stddev_samp', 'ret', 60)}) * sqrt(252) AS vol, sqrt({roll('avg', 'loss2', 60)}) * sqrt(252) AS downside,
+    marked / {lag('marked', 21)} - 1 AS mom21, marked / {lag('marked', 63)} - 1 AS mom63, marked / {lag('marked', 126)} - 1 AS mom126, marked / {lag('marked', 252)} - 1 AS mom252,
+    marked / ({roll('avg', 'marked', 60)}) - 1 AS trend60, marked / ({roll('avg', 'marked', 120)}) - 1 AS trend120, marked / ({roll('avg', 'marked', 200)}) - 1 AS trend200,
+    abs(marked - {lag('marked', 63)}) / ({roll('sum', 'move', 63)}) AS efficiency, marked / ({roll('max', 'marked', 126)}) - 1 AS drawdown,
+    count(close) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING) AS seen, {roll('avg', 'amount', 20)} AS a20
+  FROM (SELECT *, CASE WHEN ret IS NOT NULL THEN pow(least(ret, 0), 2) END AS loss2 FROM {marked}))"""
+
+
+RIDGE_X = ["mom21 / v", "mom63 / v", "mom126 / v", "mom252 / v", "trend120 / v", "efficiency", "drawdown / v", "downside / v"]
+
+
+def ridge_parts(name: str, features: str) -> None:
+    """Parts ``{name}_samples``, ``_rows``, ``_moments``, ``_system``, ``_beta`` and ``_predictions``: a ridge fit a month, solved by elimination."""
+    n = len(RIDGE_X)
+    known = " AND ".join(f"({x}) IS NOT NULL" for x in RIDGE_X)
+    part(f"{name}_samples", f"""
+SELECT symbol, date, session_no - 1 AS i, eligible AND {known} AS valid, (after / entry - 1) / v AS y, [{", ".join(RIDGE_X)}] AS x
+FROM (SELECT *, greatest(vol, 0.05) AS v, lead(open, 22) OVER w AS after, lead(open, 1) OVER w AS entry FROM {features} WINDOW w AS (PARTITION BY symbol ORDER BY date))""")
+    part(f"{name}_rows", f"""
+SELECT c.date AS fit_date, s.x, greatest(-1, least(1, s.y)) AS y FROM cutoffs c JOIN {name}_samples s
+ON s.valid AND s.y IS NOT NULL AND s.i % 21 = 0 AND s.i >= greatest(0, c.session_no - 1 - 756) AND s.i < greatest(0, c.session_no - 1 - 21)""")
+    part(f"{name}_moments", f"""
+SELECT fit_date, [{", ".join(f"avg(x[{k}])" for k in range(1, n + 1))}] AS m, [{", ".join(f"greatest(stddev_pop(x[{k}]), 0.05)" for k in range(1, n + 1))}] AS s
+FROM {name}_rows GROUP BY fit_date HAVING count(*) >= 150""")
+    scored = ", ".join(f"greatest(-5, least(5, (x[{k}] - m[{k}]) / s[{k}]))" for k in range(1, n + 1))
+    gram = ", ".join("[" + ", ".join(
+        f"sum(z[{a}] * z[{b}])" + (" + 10" if a == b > 1 else "") for b in range(1, n + 2)) + f", sum(z[{a}] * y)]" for a in range(1, n + 2))
+    part(f"{name}_system", f"""
+SELECT fit_date, [{gram}] AS g FROM (SELECT fit_date, y, [1.0::DOUBLE, {scored}] AS z FROM {name}_rows JOIN {name}_moments USING (fit_date)) GROUP BY fit_date""")
+    part(f"{name}_beta", f"""
+SELECT fit_date, list_transform(g, lambda row: row[{n + 2}]) AS beta FROM (
+  WITH RECURSIVE solved AS (SELECT fit_date, 1 AS k, g FROM {name}_system UNION ALL
+    SELECT fit_date, k + 1, list_transform(g, lambda row, i: list_transform(row, lambda v, j: CASE WHEN i = k THEN v / g[k][k] ELSE v - row[k] * g[k][j] / g[k][k] END)) FROM solved WHERE k <= {n + 1})
+  SELECT fit_date, g FROM solved WHERE k = {n + 2})""")
+    total = " + ".join(["beta[1]", *[f"beta[{k + 1}] * greatest(-5, least(5, (x[{k}] - m[{k}]) / s[{k}]))" for k in range(1, n + 1)]])
+    part(f"{name}_predictions", f"""
+SELECT d.date, d.symbol, {total} AS prediction FROM {name}_samples d JOIN {name}_moments f ON date_trunc('month', d.date) = date_trunc('month', f.fit_date)
+JOIN {name}_beta b ON b.fit_date = f.fit_date WHERE d.valid""")
+
+
+RIDGE_GROUPS = ("p_type", "o_orderpriority", "l_returnflag", "o_orderstatus")
+for _k in RIDGE_GROUPS[1:]:
+    part(f"{_k}_bars", f"""
+SELECT symbol, date, (low + high) / 2 AS open, amount / volume AS close, volume, amount,
+       1 + 0.05 * floor((date_diff('day', DATE '1995-01-01', date) + 30 * length(symbol)) / 365.0) AS adj_factor
+FROM (SELECT {_k} AS symbol, date, min(l_extendedprice / l_quantity) AS low, max(l_extendedprice / l_quantity) AS high,
+             CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS amount, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS volume
+      FROM trades GROUP BY ALL)""")
+part("wide_bars", "SELECT symbol, date, open, close, volume, amount, adj_factor FROM type_bars UNION ALL " + " UNION ALL ".join(
+    f"SELECT * FROM {_k}_bars" for _k in RIDGE_GROUPS[1:]))
+part("wide_marked", """
+SELECT *, marked / lag(marked) OVER w - 1 AS ret, abs(marked - lag(marked) OVER w) AS move FROM (
+  SELECT *, last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING) AS marked FROM (
+    SELECT g.symbol, g.date, g.session_no, b.open * b.adj_factor / f.f0 AS open, b.close * b.adj_factor / f.f0 AS close, b.volume, b.amount
+    FROM (SELECT symbol, date, session_no FROM (SELECT DISTINCT symbol FROM wide_bars), sessions) g
+    JOIN (SELECT symbol, arg_min(adj_factor, date) AS f0 FROM wide_bars GROUP BY symbol) f USING (symbol)
+    LEFT JOIN wide_bars b ON b.symbol = g.symbol AND b.date = g.date)) WINDOW w AS (PARTITION BY symbol ORDER BY date)""")
+
+
+part("wide_features", features_sql("wide_marked", 60))
+ridge_parts("wide", "wide_features")
+
 ROTATION = f"""
-  SELECT symbol, date, eligible, vol, trend60, ret, family, sleeve, score, coalesce(eligible AND gate AND trend > 0, false) AS allowed FROM (
-    SELECT symbol, date, eligible, vol, trend60, ret, s.family, s.sleeve,
+  SELECT symbol, date, eligible, vol, trend60, ret, family, sleeve, CASE WHEN family = 'ridge' THEN 0.75 * score + 0.25 * coalesce(rp, score) ELSE score END AS score,
+    coalesce(eligible AND gate AND trend > 0, false) AS allowed FROM (
+    SELECT symbol, date, eligible, vol, trend60, ret, s.family, s.sleeve, rp,
       CASE s.kind WHEN 'base' THEN (r63 + r126 + r252) / 3 WHEN 'quality' THEN 0.7 * rq + 0.15 * re + 0.15 * rd WHEN 'fast' THEN (r21 + r63) / 2 ELSE (r63 + r126) / 2 END AS score,
       CASE s.gate WHEN 'slow' THEN (mom126 + mom252) / 2 > 0 WHEN 'm126' THEN mom126 > 0 ELSE mom63 > 0 END AS gate,
       CASE s.trend WHEN 60 THEN trend60 WHEN 120 THEN trend120 ELSE trend200 END AS trend
-    FROM (SELECT *, {rank_sql('e21')} AS r21, {rank_sql('e63')} AS r63, {rank_sql('e126')} AS r126, {rank_sql('e252')} AS r252, {rank_sql('eq')} AS rq, {rank_sql('ee')} AS re, {rank_sql('ed')} AS rd
+    FROM (SELECT *, {rank_sql('e21')} AS r21, {rank_sql('e63')} AS r63, {rank_sql('e126')} AS r126, {rank_sql('e252')} AS r252, {rank_sql('eq')} AS rq, {rank_sql('ee')} AS re, {rank_sql('ed')} AS rd, {rank_sql('prediction')} AS rp
       FROM (SELECT *, CASE WHEN eligible THEN mom21 END AS e21, CASE WHEN eligible THEN mom63 END AS e63, CASE WHEN eligible THEN mom126 END AS e126, CASE WHEN eligible THEN mom252 END AS e252,
           CASE WHEN eligible THEN (mom63 + mom126 + mom252) / (3 * greatest(vol, 0.05)) END AS eq, CASE WHEN eligible THEN efficiency END AS ee, CASE WHEN eligible THEN drawdown END AS ed
-        FROM rotation_features)),
-      (VALUES ('dual', 1, 'base', 'slow', 200), ('quality', 1, 'quality', 'm126', 120), ('ensemble', 1, 'fast', 'm63', 60), ('ensemble', 2, 'mid', 'm126', 120), ('ensemble', 3, 'base', 'slow', 200)) s(family, sleeve, kind, gate, trend))"""
+        FROM rotation_features LEFT JOIN wide_predictions USING (symbol, date))),
+      (VALUES ('dual', 1, 'base', 'slow', 200), ('quality', 1, 'quality', 'm126', 120), ('ensemble', 1, 'fast', 'm63', 60), ('ensemble', 2, 'mid', 'm126', 120), ('ensemble', 3, 'base', 'slow', 200),
+              ('ridge', 1, 'fast', 'm63', 60), ('ridge', 2, 'mid', 'm126', 120), ('ridge', 3, 'base', 'slow', 200)) s(family, sleeve, kind, gate, trend))"""
 
-part("rotation_features", f"""
-SELECT symbol, date, session_no, ret, marked, vol, downside, mom21, mom63, mom126, mom252, trend60, trend120, trend200, efficiency, drawdown,
-  (close IS NOT NULL AND seen >= 253 AND coalesce(a20 >= 10000, false) AND coalesce(volume > 0, false) AND vol IS NOT NULL) AS eligible, open
-FROM (SELECT *, ({roll('stddev_samp', 'ret', 60)}) * sqrt(252) AS vol, sqrt({roll('avg', 'loss2', 60)}) * sqrt(252) AS downside,
-    marked / {lag('marked', 21)} - 1 AS mom21, marked / {lag('marked', 63)} - 1 AS mom63, marked / {lag('marked', 126)} - 1 AS mom126, marked / {lag('marked', 252)} - 1 AS mom252,
-    marked / ({roll('avg', 'marked', 60)}) - 1 AS trend60, marked / ({roll('avg', 'marked', 120)}) - 1 AS trend120, marked / ({roll('avg', 'marked', 200)}) - 1 AS trend200,
-    abs(marked - {lag('marked', 63)}) / ({roll('sum', 'move', 63)}) AS efficiency, marked / ({roll('max', 'marked', 126)}) - 1 AS drawdown,
-    count(close) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING) AS seen, {roll('avg', 'amount', 20)} AS a20
-  FROM (SELECT *, CASE WHEN ret IS NOT NULL THEN pow(least(ret, 0), 2) END AS loss2 FROM type_marked))""")
+part("rotation_features", features_sql("type_marked", 253))
 part("rotation_scores", ROTATION)
 
 
@@ -250,10 +311,36 @@ def rotation_features(m: Market) -> DataFrame:
     return m._once("rotation", lambda: P.rotation_features(m.adjusted("p_type"), 253, 10000))
 
 
+def wide_adjusted(m: Market) -> DataFrame:
+    """Seventeen dense symbols: part types, order priorities, return flags and order states, from one pass over the trades."""
+    def build():
+        every = m.trades.withColumn("symbol", F.explode(F.array(*RIDGE_GROUPS)))
+        return P.complete_panel(P.rebase_to_first_factor(priced(every.groupBy("symbol", "date").agg(*traded()))), m.sessions)
+
+    return m._once("wide_adjusted", build)
+
+
+def ridge_fits(m: Market) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Samples of every asset, the training rows of every monthly fit, and their moments."""
+    samples = R.ridge_samples(P.rotation_features(wide_adjusted(m), 60, 10000))
+    rows = R.training_rows(samples, R.fit_dates(P.month_firsts(m.sessions)), m.sessions)
+    return samples, rows, R.fit_moments(rows)
+
+
+def ridge_predictions(m: Market) -> DataFrame:
+    samples, rows, moments = ridge_fits(m)
+    return R.ridge_predictions(samples, R.fit_ridge(rows, moments))
+
+
+def rotation_family_scores(m: Market) -> DataFrame:
+    """Scores of all families; ``ridge`` blends in the predictions of the monthly fits."""
+    return X.rotation_scores(rotation_features(m), ridge_predictions(m))
+
+
 @query("x04_rotation_scores", "SELECT symbol, date, family, sleeve, score, allowed::INT AS allowed FROM rotation_scores WHERE score IS NOT NULL",
        floats="score", dates="date")
 def rotation_scores(m):
-    s = X.rotation_scores(rotation_features(m)).where("score IS NOT NULL")
+    s = rotation_family_scores(m).where("score IS NOT NULL")
     return s.select("symbol", "date", "family", "sleeve", "score", F.col("allowed").cast("int").alias("allowed"))
 
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marketframe.functions.timeseries import rolling_mean
-from marketframe.operators import allocation as A, panel as P, selection, xsection as X
-from marketframe.plans.crosssection import brand_scores, rotation_features
+from marketframe.operators import allocation as A, panel as P, ridge as R, selection
+from marketframe.plans.crosssection import brand_scores, ridge_fits, ridge_predictions, rotation_family_scores
 from marketframe.plans.registry import frame, lag, part, query, roll
 from marketframe.session import cut_lineage
 from marketframe.sources.market import TYPE_ASSETS, Market
@@ -241,7 +241,7 @@ ROTATION = f"""
       SELECT r.family, r.date, r.sleeve, r.symbol, r.score, r.vol, a.bucket, a.position FROM rotation_scores r JOIN type_assets a ON a.symbol = r.symbol WHERE r.allowed AND a.bucket <> 'bond' AND r.score IS NOT NULL)) WHERE k <= 3),
   sized AS (SELECT *, least(raw / sum(raw) OVER (PARTITION BY family, date, sleeve) * 0.99, 0.30) AS w FROM (SELECT *, CASE WHEN family = 'dual' THEN 1 ELSE 1 / greatest(vol, 0.08) END AS raw FROM picks)),
   mean AS (SELECT s.family, s.date, s.symbol, sum(CASE WHEN g > 0.25 THEN w * 0.25 / g ELSE w END / n) AS weight FROM (SELECT *, sum(w) OVER (PARTITION BY family, date, sleeve, bucket) AS g FROM sized) s
-     JOIN (VALUES ('dual', 1.0), ('quality', 1.0), ('ensemble', 3.0)) f(family, n) ON f.family = s.family GROUP BY ALL),
+     JOIN (VALUES ('dual', 1.0), ('quality', 1.0), ('ensemble', 3.0), ('ridge', 3.0)) f(family, n) ON f.family = s.family GROUP BY ALL),
   bonds AS (SELECT l.family, l.date, 'SMALL' AS symbol, least(0.30, greatest(0, 0.99 - coalesce((SELECT sum(weight) FROM mean m WHERE m.family = l.family AND m.date = l.date), 0))) AS weight
      FROM (SELECT DISTINCT family, date FROM rotation_scores WHERE eligible) l JOIN rotation_features b ON b.date = l.date AND b.symbol = 'SMALL' WHERE b.eligible AND b.trend60 > 0),
   w AS (SELECT x.family AS strategy_id, x.date, s.session_no, x.symbol, x.weight FROM (SELECT * FROM mean UNION ALL SELECT * FROM bonds) x JOIN sessions s ON s.date = x.date WHERE x.weight > 0),
@@ -256,9 +256,8 @@ def rotated_sql(columns: str, target: str, variants: str = "") -> str:
 
 
 def rotated_weights(m: Market, targets: tuple[float, ...] = (8.0,)) -> DataFrame:
-    f = rotation_features(m)
     return A.rotation_weights(
-        X.rotation_scores(f), m.type_assets, type_returns(m), m.sessions, top_n=3, max_asset=0.30,
+        rotation_family_scores(m), m.type_assets, type_returns(m), m.sessions, top_n=3, max_asset=0.30,
         max_group=0.25, cash_buffer=0.01, window=60, targets=list(targets))
 
 
@@ -458,51 +457,10 @@ def trained_mean(m):
 # --- ridge -----------------------------------------------------------------------------------
 
 
-RIDGE_GROUPS = ("p_type", "o_orderpriority", "l_returnflag", "o_orderstatus")
-for _k in RIDGE_GROUPS[1:]:
-    part(f"{_k}_bars", f"""
-SELECT symbol, date, (low + high) / 2 AS open, amount / volume AS close, volume, amount,
-       1 + 0.05 * floor((date_diff('day', DATE '1995-01-01', date) + 30 * length(symbol)) / 365.0) AS adj_factor
-FROM (SELECT {_k} AS symbol, date, min(l_extendedprice / l_quantity) AS low, max(l_extendedprice / l_quantity) AS high,
-             CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS amount, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS volume
-      FROM trades GROUP BY ALL)""")
-part("wide_bars", "SELECT symbol, date, open, close, volume, amount, adj_factor FROM type_bars UNION ALL " + " UNION ALL ".join(
-    f"SELECT * FROM {_k}_bars" for _k in RIDGE_GROUPS[1:]))
-part("wide_marked", """
-SELECT *, marked / lag(marked) OVER w - 1 AS ret, abs(marked - lag(marked) OVER w) AS move FROM (
-  SELECT *, last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING) AS marked FROM (
-    SELECT g.symbol, g.date, g.session_no, b.open * b.adj_factor / f.f0 AS open, b.close * b.adj_factor / f.f0 AS close, b.volume, b.amount
-    FROM (SELECT symbol, date, session_no FROM (SELECT DISTINCT symbol FROM wide_bars), sessions) g
-    JOIN (SELECT symbol, arg_min(adj_factor, date) AS f0 FROM wide_bars GROUP BY symbol) f USING (symbol)
-    LEFT JOIN wide_bars b ON b.symbol = g.symbol AND b.date = g.date)) WINDOW w AS (PARTITION BY symbol ORDER BY date)""")
-
-
-def wide_adjusted(m: Market) -> DataFrame:
-    """Seventeen dense symbols: part types, order priorities, return flags and order states."""
-    bars = m.bars(RIDGE_GROUPS[0])
-    for key in RIDGE_GROUPS[1:]:
-        bars = bars.unionByName(m.bars(key))
-    return P.complete_panel(P.rebase_to_first_factor(bars), m.sessions)
-
-
-def ridge_model(m: Market):
-    from marketframe.operators import ridge as R
-
-    f = P.rotation_features(wide_adjusted(m), 60, 10000)
-    samples = R.ridge_samples(f)
-    rows = R.training_rows(samples, R.fit_dates(P.month_firsts(m.sessions)), m.sessions)
-    return R, samples, rows, R.fit_moments(rows)
-
-
-part("ridge_moments", f"""
-SELECT c.date AS fit_date, count(*) AS samples, max(s.i) AS last_i, avg(x1) AS mean_momentum, greatest(stddev_pop(x1), 0.05) AS spread_momentum, avg(y) AS mean_label FROM cutoffs c JOIN (
-  SELECT session_no - 1 AS i, mom21 / greatest(vol, 0.05) AS x1, (lead(open, 22) OVER w / lead(open, 1) OVER w - 1) / greatest(vol, 0.05) AS y,
-    close IS NOT NULL AND seen >= 60 AND coalesce(a20 >= 10000, false) AND coalesce(volume > 0, false) AND vol IS NOT NULL AND mom252 IS NOT NULL AND trend120 IS NOT NULL AND efficiency IS NOT NULL AND drawdown IS NOT NULL AND downside IS NOT NULL AS valid
-  FROM (SELECT *, ({roll('stddev_samp', 'ret', 60)}) * sqrt(252) AS vol, {roll('avg', 'loss2', 60)} AS downside, marked / {lag('marked', 21)} - 1 AS mom21, marked / {lag('marked', 252)} - 1 AS mom252,
-      {roll('avg', 'marked', 120)} AS trend120, {roll('sum', 'move', 63)} AS efficiency, {roll('max', 'marked', 126)} AS drawdown, count(close) OVER {frame()} AS seen, {roll('avg', 'amount', 20)} AS a20
-    FROM (SELECT *, CASE WHEN ret IS NOT NULL THEN pow(least(ret, 0), 2) END AS loss2 FROM wide_marked)) WINDOW w AS (PARTITION BY symbol ORDER BY date)) s
-ON s.valid AND s.y IS NOT NULL AND s.i % 21 = 0 AND s.i >= greatest(0, c.session_no - 1 - 756) AND s.i < greatest(0, c.session_no - 1 - 21)
-GROUP BY c.date HAVING count(*) >= 150""")
+part("ridge_moments", """
+SELECT fit_date, samples, last_i, m[1] AS mean_momentum, s[1] AS spread_momentum FROM wide_moments JOIN (
+  SELECT c.date AS fit_date, count(*) AS samples, max(s.i) AS last_i FROM cutoffs c JOIN wide_samples s
+  ON s.valid AND s.y IS NOT NULL AND s.i % 21 = 0 AND s.i >= greatest(0, c.session_no - 1 - 756) AND s.i < greatest(0, c.session_no - 1 - 21) GROUP BY c.date) USING (fit_date)""")
 
 
 @query("k18_ridge_training",
@@ -511,16 +469,15 @@ GROUP BY c.date HAVING count(*) >= 150""")
        floats="mean_momentum spread_momentum", dates="fit_date last_feature_date last_label_date")
 def ridge_training(m):
     """Audit of every monthly fit: samples, last feature and label dates, moments."""
-    R, _, _, moments = ridge_model(m)
+    _, _, moments = ridge_fits(m)
     return R.fit_audit(moments, m.sessions).join(
         moments.select("fit_date", F.col("m_x_mom21").alias("mean_momentum"), F.col("s_x_mom21").alias("spread_momentum")), "fit_date")
 
 
-@query("k18_ridge_scores", floats="prediction", dates="date")
+@query("k18_ridge_scores", "SELECT * FROM wide_predictions", floats="prediction", dates="date")
 def ridge_scores(m):
-    """Predictions of every asset on every date (a linear solve per fit, so without a SQL twin)."""
-    R, samples, rows, moments = ridge_model(m)
-    return R.ridge_predictions(samples, R.fit_ridge(rows, moments))
+    """Predictions of every asset on every date."""
+    return ridge_predictions(m)
 
 
 # --- retention picks ---------------------------------------------------------------------------
