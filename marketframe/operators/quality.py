@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField
 from pyspark.sql.window import Window
 
 from marketframe.functions.scalar import micros_after
@@ -165,23 +166,42 @@ def lag_profile(reports: DataFrame) -> DataFrame:
         F.sum("bad").alias("invalid_quarter"))
 
 
-def fingerprint(df: DataFrame, name: str) -> DataFrame:
-    """Order-free content fingerprint of a table: rows, xor and sum of row hashes."""
-    h = F.xxhash64(*[F.col(c) for c in sorted(df.columns)])
-    return df.select(h.alias("h")).agg(
-        F.count(F.lit(1)).alias("rows"), F.coalesce(F.bit_xor("h"), F.lit(0)).alias("hash_xor"),
-        F.coalesce(F.sum(F.col("h").cast("decimal(20,0)")), F.lit(0)).cast("string").alias("hash_sum"),
-    ).select(F.lit(name).alias("table"), "rows", "hash_xor", "hash_sum")
+def canonical(df: DataFrame) -> Column:
+    """A row as text, the same in every engine: columns by name, numbers as decimals, times in microseconds, nulls apart from any text."""
+    def text(field: StructField) -> Column:
+        c, kind = F.col(field.name), field.dataType.typeName()
+        if kind in ("double", "float"):
+            c = c.cast("decimal(38,6)")
+        elif kind in ("timestamp", "timestamp_ntz"):
+            c = F.unix_micros(c.cast("timestamp"))
+        return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("-"))
 
+    return F.concat_ws("|", *[text(f) for f in sorted(df.schema.fields, key=lambda f: f.name)])
 
-def changed_tables(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Tables whose fingerprint differs between two manifests, or that exist in only one."""
+
+def range_fingerprints(df: DataFrame, name: str, key: str, width: int) -> DataFrame:
+    """Order-free fingerprints of a table by ranges of ``width`` keys: rows, and the sum of 60 bits of each row's MD5.
+
+    Sums and counts of ranges add up to those of wider ranges and of the table, so the
+    fingerprints of parts that are written apart can be merged (see ``merged_fingerprints``).
+    """
+    digest = F.conv(F.substring(F.md5(canonical(df).cast("binary")), 1, 15), 16, 10).cast("decimal(38,0)")
+    return df.select(F.floor(F.col(key) / width).cast("long").alias("range"), digest.alias("h")).groupBy("range").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("h").alias("digest")).select(F.lit(name).alias("table"), "range", "rows", "digest")
+
+
+def merged_fingerprints(prints: DataFrame, factor: int | None = None) -> DataFrame:
+    """Fingerprints of ranges ``factor`` times as wide, or of whole tables."""
+    at = F.floor(F.col("range") / factor).cast("long") if factor else F.lit(0).cast("long")
+    return prints.groupBy("table", at.alias("range")).agg(F.sum("rows").alias("rows"), F.sum("digest").alias("digest"))
+
+
+def changed_ranges(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Ranges whose fingerprint differs between two manifests, or that exist in only one."""
     b, a = before.alias("b"), after.alias("a")
-    j = b.join(a, F.col("b.table") == F.col("a.table"), "full_outer")
-    same = F.lit(True)
-    for c in ("rows", "hash_xor", "hash_sum"):
-        same = same & F.col(f"b.{c}").eqNullSafe(F.col(f"a.{c}"))
-    return j.where(~same).select(F.coalesce("b.table", "a.table").alias("table"))
+    j = b.join(a, ["table", "range"], "full_outer")
+    same = F.col("b.rows").eqNullSafe(F.col("a.rows")) & F.col("b.digest").eqNullSafe(F.col("a.digest"))
+    return j.where(~same).select("table", "range", F.coalesce("b.rows", F.lit(0)).alias("rows_before"), F.coalesce("a.rows", F.lit(0)).alias("rows_after"))
 
 
 def causality_breaks(pipeline: Callable[[DataFrame], DataFrame], source: DataFrame, cutoff: str,

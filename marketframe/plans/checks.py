@@ -128,23 +128,54 @@ def lag_profile(m):
     return Q.lag_profile(D.analyst_reports(m))
 
 
-@query("q12_fingerprint")
-def fingerprint(m):
-    """Content fingerprints of the trade tables; the hash function itself has no SQL twin."""
-    names = ("orders", "lineitem", "part")
-    prints = [Q.fingerprint(m.table(n), n) for n in names]
-    return prints[0].unionByName(prints[1]).unionByName(prints[2])
+def canonical_sql(columns: dict[str, str], changed: dict[str, str] | None = None) -> str:
+    """SQL of a row's text; ``columns`` are name: kind (text, number, time)."""
+    shown = {"text": "CAST({} AS VARCHAR)", "number": "CAST(CAST({} AS DECIMAL(38,6)) AS VARCHAR)", "time": "CAST(epoch_us({}) AS VARCHAR)"}
+    return " || '|' || ".join(f"coalesce('=' || {shown[k].format((changed or {}).get(c, c))}, '-')" for c, k in sorted(columns.items()))
+
+
+ORDERS = {"o_orderkey": "text", "o_custkey": "text", "o_orderstatus": "text", "o_totalprice": "number", "o_orderdate": "time", "o_orderpriority": "text"}
+LINES = {"l_orderkey": "text", "l_partkey": "text", "l_suppkey": "text", "l_linenumber": "text", "l_quantity": "number", "l_extendedprice": "number",
+         "l_discount": "number", "l_tax": "number", "l_returnflag": "text", "l_linestatus": "text", "l_shipdate": "time"}
+#: Keys in a range.
+KEYS = 1000
+
 
+def prints_sql(table: str, key: str, columns: dict[str, str], changed: dict[str, str] | None = None, where: str = "true") -> str:
+    digest = f"('0x' || substr(md5({canonical_sql(columns, changed)}), 1, 15))::BIGINT"
+    return f"""SELECT '{table}' AS "table", floor({key} / {KEYS})::BIGINT AS range, count(*) AS rows, sum({digest}::HUGEINT) AS digest FROM {table} WHERE {where} GROUP BY ALL"""
 
-@query("q12_changed_tables", "SELECT 'orders' AS \"table\"")
+
+def prints(m: Market) -> DataFrame:
+    return Q.range_fingerprints(m.table("orders"), "orders", "o_orderkey", KEYS).unionByName(
+        Q.range_fingerprints(m.table("lineitem"), "lineitem", "l_orderkey", KEYS))
+
+
+@query("q12_fingerprint", f"""
+WITH p AS ({prints_sql("orders", "o_orderkey", ORDERS)} UNION ALL {prints_sql("lineitem", "l_orderkey", LINES)})
+SELECT "table", 'range' AS level, range, rows, digest::VARCHAR AS digest FROM p
+UNION ALL SELECT "table", 'table', 0, sum(rows)::BIGINT, sum(digest)::VARCHAR FROM p GROUP BY "table" """)
+def fingerprint(m):
+    """Content fingerprints of the trade tables by key ranges, and as a whole from those."""
+    own = prints(m)
+    both = own.withColumn("level", F.lit("range")).unionByName(Q.merged_fingerprints(own).withColumn("level", F.lit("table")))
+    return both.select("table", "level", "range", "rows", F.col("digest").cast("string").alias("digest"))
+
+
+@query("q12_changed_tables", f"""
+WITH b AS ({prints_sql("orders", "o_orderkey", ORDERS)} UNION ALL {prints_sql("lineitem", "l_orderkey", LINES)}),
+a AS ({prints_sql("orders", "o_orderkey", ORDERS, {"o_totalprice": "CASE WHEN o_orderkey = (SELECT min(o_orderkey) FROM orders) THEN o_totalprice + 1 ELSE o_totalprice END"})}
+      UNION ALL {prints_sql("lineitem", "l_orderkey", LINES, where="l_orderkey < (SELECT max(l_orderkey) FROM lineitem)")})
+SELECT "table", range, coalesce(b.rows, 0) AS rows_before, coalesce(a.rows, 0) AS rows_after FROM b FULL JOIN a USING ("table", range)
+WHERE b.rows IS DISTINCT FROM a.rows OR b.digest IS DISTINCT FROM a.digest""")
 def changed_tables(m):
-    """A table whose single value was changed is found; an untouched, reordered one is not."""
-    o, p = m.table("orders"), m.table("part")
+    """One changed price and the lines of one order taken away are found, with their ranges; the order of rows is nothing."""
+    o, lines = m.table("orders"), m.table("lineitem")
     first = F.col("o_orderkey") == o.agg(F.min("o_orderkey")).scalar()
-    edited = o.withColumn("o_totalprice", F.when(first, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
-    before = Q.fingerprint(o, "orders").unionByName(Q.fingerprint(p, "part"))
-    after = Q.fingerprint(edited, "orders").unionByName(Q.fingerprint(p.repartition(5), "part"))
-    return Q.changed_tables(before, after)
+    edited = o.withColumn("o_totalprice", F.when(first, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))).repartition(5)
+    fewer = lines.where(F.col("l_orderkey") < lines.agg(F.max("l_orderkey")).scalar())
+    after = Q.range_fingerprints(edited, "orders", "o_orderkey", KEYS).unionByName(Q.range_fingerprints(fewer, "lineitem", "l_orderkey", KEYS))
+    return Q.changed_ranges(prints(m), after)
 
 
 @query("q13_causality_audit", "SELECT symbol, date, NULL::DOUBLE AS mom63, NULL::DOUBLE AS vol FROM brand_bars WHERE false", floats="mom63 vol", dates="date")

@@ -145,9 +145,26 @@ def inverse_volatility(m):
     return A.inverse_volatility_scores(class_covariance(m))
 
 
-@query("k05_equal_risk", floats="score", dates="date")
+# one coordinate a step, forty sweeps, as in the operator
+part("equal_risk", f"""
+SELECT date, unnest(names) AS bucket, unnest(list_transform(x, lambda v: v / list_sum(x))) AS score FROM (
+  WITH RECURSIVE pairs AS (
+    SELECT date, a, b, CASE WHEN a = b THEN c * 252 + 1e-8 ELSE 0.7 * c * 252 END AS c FROM (
+      SELECT x.date, x.bucket AS a, y.bucket AS b, covar_samp(x.ret, y.ret) AS c FROM class_returns x JOIN class_returns y ON x.date = y.date AND x.s = y.s GROUP BY ALL)),
+  matrices AS (SELECT date, list(a ORDER BY list_position({_ORDER}, a)) AS names, list(line ORDER BY list_position({_ORDER}, a)) AS c FROM (
+    SELECT date, a, list(coalesce(c, 0) ORDER BY list_position({_ORDER}, b)) AS line FROM pairs GROUP BY date, a) GROUP BY date),
+  started AS (SELECT date, names, c, list_transform(names, lambda g, i: 1 / sqrt(c[i][i])) AS x FROM matrices),
+  walk AS (
+    SELECT date, names, c, 0 AS step, list_transform(x, lambda v: v / sqrt(list_sum(list_transform(x, lambda a, i: a * list_sum(list_transform(x, lambda b, j: b * c[i][j])))))) AS x FROM started
+    UNION ALL
+    SELECT date, names, c, step + 1, list_transform(x, lambda v, i: CASE WHEN i = k THEN (sqrt(others * others + 4 * c[k][k] / len(x)) - others) / (2 * c[k][k]) ELSE v END)
+    FROM (SELECT *, list_sum(list_transform(x, lambda v, i: v * c[k][i])) - c[k][k] * x[k] AS others FROM (SELECT *, (step % len(x)) + 1 AS k FROM walk)) WHERE step < 40 * len(x))
+  SELECT date, names, x FROM walk WHERE step = 40 * len(x))""")
+
+
+@query("k05_equal_risk", "SELECT date, bucket, score FROM equal_risk", floats="score", dates="date")
 def equal_risk(m):
-    """Equal risk shares of the classes on every date (iterative, so without a SQL twin)."""
+    """Equal risk shares of the classes on every date."""
     return A.equal_risk_scores(class_covariance(m))
 
 
