@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marketframe.operators import bootstrap, metrics, selection
+from marketframe.operators import bootstrap, expressions, metrics, selection, xsection as X
+from marketframe.operators.panel import number_sessions, rebase_to_first_factor
+from marketframe.plans.crosssection import rank_sql
 from marketframe.plans.registry import part, query
 from marketframe.sources.market import Market
 
@@ -244,13 +246,51 @@ def full_outer_curves(m):
     return a.join(b, "date", "full_outer")
 
 
-@query("v01_user_expression",
-       """SELECT symbol, date, close / lag(close, 20) OVER w - 1 AS user_factor FROM (
-          SELECT b.symbol, b.date, b.close * b.adj_factor / f.f0 AS close FROM brand_bars b JOIN (SELECT symbol, arg_min(adj_factor, date) AS f0 FROM brand_bars GROUP BY symbol) f USING (symbol))
-          WINDOW w AS (PARTITION BY symbol ORDER BY date)""", floats="user_factor", dates="date")
+_own = "OVER (PARTITION BY symbol ORDER BY date)"
+_last20 = "OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
+#: Factors as a user writes them.
+USER_FACTORS = {
+    "momentum": f"close / lag(close, 20) {_own} - 1",
+    "place_in_range": f"(close - min(low) {_last20}) / nullif(max(high) {_last20} - min(low) {_last20}, 0)",
+}
+part("rebased_bars", """
+SELECT b.symbol, b.date, b.open * b.adj_factor / f0 AS open, b.high * b.adj_factor / f0 AS high, b.low * b.adj_factor / f0 AS low, b.close * b.adj_factor / f0 AS close
+FROM brand_bars b JOIN (SELECT symbol, arg_min(adj_factor, date) AS f0 FROM brand_bars GROUP BY symbol) f USING (symbol)""")
+part("user_factors", " UNION ALL ".join(f"SELECT symbol, date, '{n}' AS factor, {t} AS value FROM rebased_bars" for n, t in USER_FACTORS.items()))
+part("user_ic", f"""
+SELECT date, factor, corr(x, y) AS rank_ic, count(*) AS assets FROM (
+  SELECT date, factor, value, label, {rank_sql('value', 'date, factor')} AS x, {rank_sql('label', 'date, factor')} AS y FROM (
+    SELECT f.*, l.label FROM user_factors f
+    JOIN (SELECT symbol, date, lead(open, 21) OVER w / lead(open, 1) OVER w - 1 AS label FROM brand_adjusted WINDOW w AS (PARTITION BY symbol ORDER BY date)) l USING (symbol, date)
+    JOIN (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i FROM (SELECT DISTINCT date FROM brand_bars)) d ON d.date = f.date AND d.i % 20 = 0
+    WHERE f.value IS NOT NULL AND l.label IS NOT NULL))
+GROUP BY date, factor HAVING count(*) >= 4 AND count(DISTINCT value) >= 2 AND count(DISTINCT label) >= 2""")
+
+
+def user_factors(m: Market) -> DataFrame:
+    return expressions.user_factors(rebase_to_first_factor(m.bars("p_brand")), USER_FACTORS)
+
+
+@query("v01_user_expression", "SELECT symbol, date, value AS user_factor FROM user_factors WHERE factor = 'momentum'", floats="user_factor", dates="date")
 def user_expression(m):
     """A user factor is a Spark SQL expression over the symbol's own rows."""
-    from marketframe.operators.panel import rebase_to_first_factor
+    return user_factors(m).where("factor = 'momentum'").select("symbol", "date", F.col("value").alias("user_factor"))
 
-    text = "close / lag(close, 20) OVER (PARTITION BY symbol ORDER BY date) - 1"
-    return rebase_to_first_factor(m.bars("p_brand")).select("symbol", "date", F.expr(text).alias("user_factor"))
+
+def user_rank_ic(m: Market) -> DataFrame:
+    """Rank IC of the user's factors on every 20th date, so labels do not overlap."""
+    labels = m.adjusted("p_brand").select("symbol", "date", X.forward_label(F.col("open"), 20).alias("label"))
+    thinned = number_sessions(m.bars("p_brand").select("date")).where((F.col("session_no") - 1) % 20 == 0).select("date")
+    return X.rank_ic(user_factors(m).join(labels, ["symbol", "date"]).join(thinned, "date"), ["date", "factor"])
+
+
+@query("v01_user_ic", "SELECT * FROM user_ic", floats="rank_ic", dates="date")
+def user_ic(m):
+    return user_rank_ic(m)
+
+
+@query("v01_user_summary",
+       """SELECT factor, avg(rank_ic) AS mean_rank_ic, stddev_samp(rank_ic) AS ic_std, avg((round(rank_ic, 12) > 0)::INT) AS positive_fraction, count(*) AS observations, 20 AS horizon
+          FROM user_ic WHERE rank_ic IS NOT NULL GROUP BY factor""", floats="mean_rank_ic ic_std positive_fraction")
+def user_summary(m):
+    return X.ic_summary(user_rank_ic(m), 20)
