@@ -42,15 +42,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def settle(df: DataFrame, name: str = "step") -> DataFrame:
+def sweep(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files that no table needs any more; it notices only when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def settle(df: DataFrame, name: str = "step", swept: bool = False) -> DataFrame:
     """Write ``df`` once as Parquet to the shared folder and go on from the files.
 
-    The files outlive any executor, and what follows does not compute ``df`` again.
+    The files outlive any executor, and what follows does not compute ``df`` again; ``swept``
+    has its shuffle files removed at once, for long jobs of many steps.
     """
     spark = df.sparkSession
     bounded_batches(spark)
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if swept:
+        sweep(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
