@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Most bytes of an Arrow batch.
 BATCH = "2m"
+#: Whether Spark removes the shuffle files of a query as it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -45,12 +47,18 @@ def shared_folder(spark: SparkSession) -> str:
 def settle(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` once as Parquet to the shared folder and go on from the files.
 
-    The files outlive any executor, and what follows does not compute ``df`` again.
+    The files outlive any executor, and what follows does not compute ``df`` again. The shuffle
+    files behind ``df`` are removed once it is written, as nothing reads them any more.
     """
     spark = df.sparkSession
     bounded_batches(spark)
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
