@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from marketframe.functions.ranks import percent_rank_average
 from marketframe.functions.timeseries import by_symbol, divide
+from marketframe.operators.ranking import with_spread_ranks
 
 # Weights of the composite families.
 FAMILIES = {
@@ -76,9 +77,8 @@ def safe_corr(n: Column, xy: Column, xx: Column, yy: Column) -> Column:
 
 def rank_ic(pairs: DataFrame, keys: list[str], value: str = "value", label: str = "label", needed: int = 4) -> DataFrame:
     """Spearman correlation per key over the rows with both sides known."""
-    both = pairs.where(F.col(value).isNotNull() & F.col(label).isNotNull())
-    ranked = both.withColumns({
-        "_x": percent_rank_average(F.col(value), *keys), "_y": percent_rank_average(F.col(label), *keys)})
+    both = pairs.select(*keys, F.col(value).alias("_v"), F.col(label).alias("_l")).where("_v IS NOT NULL AND _l IS NOT NULL")
+    ranked = with_spread_ranks(both, ["_v", "_l"], keys).withColumnsRenamed({"_v_rank": "_x", "_l_rank": "_y"})
     g = ranked.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("assets"),
         F.min("_x").alias("_x0"), F.max("_x").alias("_x1"), F.min("_y").alias("_y0"), F.max("_y").alias("_y1"),

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marketframe.functions.ranks import percent_rank_average
 from marketframe.functions.timeseries import change, divide, rolling_std
 from marketframe.operators import panel as P, ridge as R, selection, xsection as X
+from marketframe.operators.ranking import with_spread_ranks
 from marketframe.plans.features import DEFAULT_FACTORS, LISTING, default_factors, listings
 from marketframe.plans.registry import lag, part, query, roll
 from marketframe.sources.market import Market, priced, traded
@@ -28,7 +28,7 @@ def rank_sql(x: str, keys: str = "date", desc: bool = False) -> str:
        floats="pct", dates="date")
 def percentile_rank(m):
     v = m.bars("p_brand").select("symbol", "date", F.floor(F.col("volume") / 5).alias("v"))
-    return v.select("symbol", "date", percent_rank_average(F.col("v"), "date").alias("pct")).where("pct IS NOT NULL")
+    return with_spread_ranks(v, ["v"], ["date"]).where("v_rank IS NOT NULL").select("symbol", "date", F.col("v_rank").alias("pct"))
 
 
 # A monthly research panel over suppliers: amounts as size, their change as momentum,
