@@ -112,21 +112,23 @@ def known_versions(
     A version is in force from its ``available_at`` until the next version of the
     same key; ``cutoffs`` carries ``cutoff``. With ``max_age_months`` only periods
     that ended at most so many months before a cutoff are kept.
+
+    Cutoffs are dates of a calendar, so all of them fit one value: each version picks its
+    own from that list, and a version that no cutoff asks for costs one row and no join.
     """
     w = Window.partitionBy(*keys).orderBy("available_at")
-    horizon = cutoffs.agg(F.max("cutoff")).scalar()
-    until = F.least(F.col("_next"), F.col("_horizon"))
-    if max_age_months is not None:
-        until = F.least(until, F.add_months(period, max_age_months + 1).cast("timestamp_ntz"))
-    spans = versions.withColumn("_next", F.lead("available_at").over(w)).withColumn("_horizon", horizon)
-    spread = by_month(spans, F.col("available_at"), until, "_month")
-    out = spread.join(cutoffs.withColumn("_month", month_of(F.col("cutoff"))), "_month").where(
-        (F.col("available_at") < F.col("cutoff"))
-        & (F.col("_next").isNull() | (F.col("cutoff") <= F.col("_next")))
-    )
-    if max_age_months is not None:
-        out = out.where(month_of(F.col(period)) >= F.add_months("_month", -max_age_months))
-    return out.drop("_next", "_horizon", "_month")
+    asked = cutoffs.agg(F.collect_list(F.struct(*cutoffs.columns))).scalar()
+    since, until = F.col("available_at"), F.col("_next")
+
+    def due(c: Column) -> Column:
+        met = (since < c["cutoff"]) & (until.isNull() | (c["cutoff"] <= until))
+        if max_age_months is not None:
+            met &= month_of(F.col(period)) >= F.add_months(month_of(c["cutoff"]), -max_age_months)
+        return met
+
+    spans = versions.withColumn("_next", F.lead("available_at").over(w)).withColumn("_asked", asked)
+    out = spans.withColumn("_cutoff", F.explode(F.filter("_asked", due)))
+    return out.select(*versions.columns, "_cutoff.*")
 
 
 def latest_within(
