@@ -62,6 +62,15 @@ def settle(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*settled: DataFrame) -> None:
+    """Remove the files of tables made by ``settle``, once all that reads them has been written."""
+    for df in settled:
+        java = df.sparkSession._jvm
+        files = [java.org.apache.hadoop.fs.Path(java.java.net.URI.create(f)) for f in df.inputFiles()]
+        for folder in {f.getParent().toString(): f.getParent() for f in files}.values():
+            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def give_back() -> None:
     """Return freed memory to the system: Python workers outlive their tasks, and Spark runs several beside its own heap."""
     gc.collect()
