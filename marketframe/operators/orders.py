@@ -12,14 +12,17 @@ def account_positions(accounts: DataFrame, holdings: DataFrame, targets: DataFra
     """Accounts × assets with quantity, close, target and current weight.
 
     ``targets`` names the assets of an account's universe; an asset that is not held
-    has quantity zero. NAV is cash plus holdings at the close.
+    has quantity zero. NAV is cash plus holdings at the close; of an account worth
+    nothing no weight is a number (0 / 0).
     """
     held = holdings.join(prices.select("symbol", "close"), "symbol")
     worth = held.groupBy("account").agg(F.sum(F.col("quantity") * F.col("close")).alias("_held"))
     nav = accounts.join(worth, "account", "left").withColumn("nav", F.col("cash") + F.coalesce("_held", F.lit(0.0))).drop("_held")
     rows = targets.join(nav, "account").join(prices, "symbol").join(holdings, ["account", "symbol"], "left")
     q = F.coalesce("quantity", F.lit(0.0))
-    return rows.withColumn("quantity", q).withColumn("current", F.col("quantity") * F.col("close") / F.col("nav"))
+    value, nav = F.col("quantity") * F.col("close"), F.col("nav")
+    current = F.when(nav == 0, value * F.lit(float("inf"))).otherwise(value / nav)
+    return rows.withColumn("quantity", q).withColumn("current", current)
 
 
 def order_requests(positions: DataFrame, lot: int, participation: float, band: float, relative: float | None = None,
