@@ -13,12 +13,13 @@ def account_positions(accounts: DataFrame, holdings: DataFrame, targets: DataFra
 
     ``targets`` names the assets of an account's universe; an asset that is not held
     has quantity zero. NAV is cash plus holdings at the close; of an account worth
-    nothing no weight is a number (0 / 0).
+    nothing no weight is a number (0 / 0). Tables with a row per account are never
+    broadcast, however small their files are; prices may be.
     """
     held = holdings.join(prices.select("symbol", "close"), "symbol")
     worth = held.groupBy("account").agg(F.sum(F.col("quantity") * F.col("close")).alias("_held"))
-    nav = accounts.join(worth, "account", "left").withColumn("nav", F.col("cash") + F.coalesce("_held", F.lit(0.0))).drop("_held")
-    rows = targets.join(nav, "account").join(prices, "symbol").join(holdings, ["account", "symbol"], "left")
+    nav = accounts.join(worth.hint("merge"), "account", "left").withColumn("nav", F.col("cash") + F.coalesce("_held", F.lit(0.0))).drop("_held")
+    rows = targets.join(nav.hint("merge"), "account").join(prices, "symbol").join(holdings.hint("merge"), ["account", "symbol"], "left")
     q = F.coalesce("quantity", F.lit(0.0))
     value, nav = F.col("quantity") * F.col("close"), F.col("nav")
     current = F.when(nav == 0, value * F.lit(float("inf"))).otherwise(value / nav)

@@ -19,3 +19,10 @@ def test_account_worth_nothing(spark):
     assert math.isnan(got[2, "A"]) and math.isnan(got[2, "B"])
     orders = order_requests(account_positions(*tables(spark)), lot=1, participation=1.0, band=0.02)
     assert sorted((r.account, r.symbol, r.delta) for r in orders.collect()) == [(1, "B", 20.0), (3, "A", 1.0), (3, "B", -2.0)]
+
+
+def test_account_tables_are_not_broadcast(spark):
+    got = account_positions(*tables(spark))
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "SortMergeJoin [account" in plan and "BroadcastHashJoin [account" not in plan
