@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketframe.llm import bpe, mixing, overlap, recompress, zlang
+from marketframe.llm import bpe, mixing, overlap, recompress, simhash, zlang
 from marketframe.llm.common import settle, table
 
 #: No SQL: compression sizes, XXH64 and byte-pair merges have no form in it. Tested against brute force.
@@ -24,8 +24,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near-duplicates (five-word shingles, 0.8 or more), the one with the smallest id."""
-    return overlap.keep_one(docs)
+    """Keep one document of each group of near-duplicates, the one with the smallest id.
+
+    SimHash fingerprints of the five-word shingles are linked through BK-trees, and a link of
+    0.8 or more joins; a prefix filter then finds the pairs of 0.8 that lie beyond the radius.
+    """
+    return overlap.keep_one(docs, radius=simhash.RADIUS)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,14 +1,19 @@
-"""Near-duplicates by the Jaccard similarity of word shingles, without a missed pair.
+"""SimHash near-duplicates, checked by the Jaccard similarity of word shingles, without a missed pair.
+
+Each set of shingles has a 64-bit SimHash. BK-trees link the fingerprints within a radius
+(``simhash.links``), and a link whose sets reach ``SIMILARITY`` joins its texts. Fingerprints
+of similar sets may lie further apart than any affordable radius, so a prefix filter then looks
+for the pairs that SimHash has not joined.
 
 Two sets of shingles with a similarity of ``SIMILARITY`` or more share one of the first
 n - ceil(SIMILARITY * n) + 1 shingles of either, in any order that is the same for all texts
 (prefix filter). The order is by hash, with the shingles last that a bounded sample of texts
 shares, so a common line or passage seldom makes candidates; it decides on cost only.
 
-Texts with equal sets are one node. Nodes that share a first shingle form a bucket. In a first
-round each node is compared with the smallest of its buckets, in a second with the members of
-its buckets that the links so far have not joined to it, so a large group of near copies does
-not cost the square of its size. Every comparison is of the whole sets (of 64-bit hashes).
+Texts with equal sets are one node. Nodes that share a first shingle form a bucket. After the
+links of SimHash, in a second round each node is compared with the smallest of its buckets, in a
+third with the members of its buckets, both times only if the links so far have not joined the
+two, so a large group of near copies does not cost the square of its size. Every comparison is of the whole sets (of 64-bit hashes).
 
 * A null, empty or blank text has an empty set; such texts are copies of each other.
 * A text of fewer words than a shingle has one shingle, all its words.
@@ -28,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from marketframe.llm import simhash
 from marketframe.llm.common import discard, gives_back, raw, settle
 from marketframe.llm.graph import components
 from marketframe.llm.passages import NULL_LAST
@@ -100,21 +106,22 @@ def common_shingles(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def nodes(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """Each distinct set: its hash ``sid``, size ``n``, first shingles ``keys`` and the smallest (id, text) that has it."""
+    """Each distinct set: its hash ``sid``, SimHash ``fp``, size ``n``, first shingles ``keys`` and the smallest (id, text) that has it."""
     common = common_shingles(docs, size)
 
-    @F.pandas_udf("struct<sid:long,n:int,keys:array<long>>")
+    @F.pandas_udf("struct<sid:long,fp:long,n:int,keys:array<long>>")
     @gives_back
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             sets = [shingles(t, size) for t in texts]
             yield pd.DataFrame({
-                "sid": np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64), "n": [len(s) for s in sets],
+                "sid": np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64),
+                "fp": np.array([simhash.majority(s) for s in sets], np.int64), "n": [len(s) for s in sets],
                 "keys": [prefix(s, common).view(np.int64) for s in sets]})
 
     sets = keyed(docs).select("__id", "__th", run(raw("text")).alias("s")).select("__id", "__th", "s.*")
     first = F.min(F.struct("__id", "__th")).alias("rep")
-    return settle(sets.groupBy("sid").agg(first, F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
+    return settle(sets.groupBy("sid").agg(first, F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
 
 
 def buckets(found: DataFrame) -> DataFrame:
@@ -129,6 +136,23 @@ def close_sizes(a: Column, b: Column) -> Column:
     return SIMILARITY[1] * F.least(a, b) >= SIMILARITY[0] * F.greatest(a, b)
 
 
+def fingerprint_pairs(found: DataFrame, radius: int) -> DataFrame:
+    """Pairs of nodes that SimHash links: of one fingerprint, or of two within ``radius`` bits; a star for each group of a tree."""
+    heads = settle(found.groupBy("fp").agg(F.min(F.struct("sid", "n")).alias("head")), "fingerprints")
+    links = simhash.links(heads.select("fp"), radius).distinct()
+    far = links.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b")
+    same = found.join(heads, "fp").where(F.col("sid") != F.col("head.sid")).select(F.col("head").alias("x"), F.struct("sid", "n").alias("y"))
+    pairs = far.select("x", "y").unionByName(same).where(close_sizes(F.col("x.n"), F.col("y.n")))
+    pairs = settle(pairs.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct(), "pairs")
+    discard(heads)
+    return pairs
+
+
+def joined(links: DataFrame) -> DataFrame:
+    """``sid`` and ``root`` of the nodes that have links."""
+    return settle(components(links), "roots").select(F.col("node").alias("sid"), "root")
+
+
 def compared(pairs: DataFrame, docs: DataFrame, found: DataFrame, size: int, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The rows of ``pairs`` (``a``, ``b``) whose sets are similar, and all sets at hand.
 
@@ -175,37 +199,45 @@ def compared(pairs: DataFrame, docs: DataFrame, found: DataFrame, size: int, kno
     return links, sets
 
 
-def groups(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+def groups(docs: DataFrame, size: int = SHINGLE, radius: int = simhash.RADIUS) -> DataFrame:
     """``root`` and the smallest (id, text) ``rep`` of each distinct set of ``docs``."""
     whole = nodes(docs, size)
     held = buckets(whole)
-    found = settle(whole.select("sid", "n", "rep"), "found")
+    found = settle(whole.select("sid", "fp", "n", "rep"), "found")
     discard(whole)
+    close = fingerprint_pairs(found, radius)
+    linked, sets = compared(close, docs, found, size)
+    roots = joined(linked)
     star = held.where(F.col("sid") != F.col("least.sid")).where(close_sizes(F.col("n"), F.col("least.n")))
-    star = settle(star.select(F.col("least.sid").alias("a"), F.col("sid").alias("b")).distinct(), "pairs")
-    near, sets = compared(star, docs, found, size)
-    joined = settle(components(near), "roots").select(F.col("node").alias("sid"), "root")
+    star = star.select(F.col("least.sid").alias("a"), F.col("sid").alias("b")).distinct().join(close, ["a", "b"], "left_anti")
+    star = star.join(roots.select(F.col("sid").alias("a"), F.col("root").alias("root_a")), "a", "left")
+    star = star.join(roots.select(F.col("sid").alias("b"), F.col("root").alias("root_b")), "b", "left")
+    star = star.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    star = settle(star, "pairs")
+    near, sets = compared(star, docs, found, size, sets)
+    near = linked.unionByName(near)
+    roots = joined(near)
     w = Window.partitionBy("key")
-    open_ = held.select("key", "sid", "n").join(joined, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    open_ = held.select("key", "sid", "n").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     open_ = open_.withColumns({"lo": F.min("root").over(w), "hi": F.max("root").over(w)}).where("lo < hi").drop("lo", "hi")
     open_ = settle(open_, "open")
     discard(held)
     other = open_.select("key", *[F.col(c).alias(f"{c}_b") for c in ("sid", "n", "root")])
     rest = open_.join(other, "key").where((F.col("sid") < F.col("sid_b")) & (F.col("root") != F.col("root_b")) & close_sizes(F.col("n"), F.col("n_b")))
-    rest = rest.select(F.col("sid").alias("a"), F.col("sid_b").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    rest = rest.select(F.col("sid").alias("a"), F.col("sid_b").alias("b")).distinct().join(star.unionByName(close), ["a", "b"], "left_anti")
     rest = settle(rest, "pairs")
-    discard(star, open_)
+    discard(close, star, open_)
     far, sets = compared(rest, docs, found, size, sets)
     discard(rest, sets)
-    roots = settle(components(near.unionByName(far)), "roots").select(F.col("node").alias("sid"), "root")
+    roots = joined(near.unionByName(far))
     return found.select("sid", "rep").join(roots, "sid", "left").select(F.coalesce("root", "sid").alias("root"), "rep")
 
 
-def keep_one(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+def keep_one(docs: DataFrame, size: int = SHINGLE, radius: int = simhash.RADIUS) -> DataFrame:
     """The rows of ``docs`` that stay when each group keeps its document with the smallest id.
 
     Ties between texts of one id go to the smaller hash; of repeated rows one stays.
     """
-    first = groups(docs, size).groupBy("root").agg(F.min("rep").alias("k")).select("k.*")
+    first = groups(docs, size, radius).groupBy("root").agg(F.min("rep").alias("k")).select("k.*")
     met = keyed(docs).join(settle(first, "kept"), ["__id", "__th"], "left_semi")
     return met.dropDuplicates(["__id", "__th"]).select(*docs.columns)

@@ -45,6 +45,15 @@ SEED = 42
 SHARD_ROWS = 4096
 
 
+def majority(hashes: np.ndarray) -> int:
+    """Bit i is 1 if it is set in over half of the hashes."""
+    ones, n = np.zeros(64, np.int64), len(hashes)
+    for a in range(0, n, 65536):
+        ones += np.unpackbits(hashes[a : a + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    bits = np.packbits((2 * ones > n).astype(np.uint8), bitorder="little")
+    return int(bits.view("<i8")[0])
+
+
 def fingerprint(text: bytes, size: int = SHINGLE) -> int:
     """Bit i is 1 if it is set in over half of the hashes of the word shingles."""
     words = text.lower().split()  # bytes: only A-Z change, only the six ASCII blanks separate
@@ -57,11 +66,7 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
     last = min(size, len(words)) - 1
     hash64 = xxhash.xxh64_intdigest
     hashes = np.array([hash64(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[last : last + n].tolist())], "<u8")
-    ones = np.zeros(64, np.int64)
-    for a in range(0, n, 65536):
-        ones += np.unpackbits(hashes[a : a + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits((2 * ones > n).astype(np.uint8), bitorder="little")
-    return int(bits.view("<i8")[0])
+    return majority(hashes)
 
 
 def fingerprints(text: Column, size: int = SHINGLE) -> Column:

@@ -6,7 +6,7 @@ import pytest
 from llm_tables import documents
 
 import corpus_pipeline
-from marketframe.llm import overlap
+from marketframe.llm import overlap, simhash
 
 
 def plain_kept(rows):
@@ -68,3 +68,18 @@ def test_odd_rows(spark):
     ids = [r.doc_id for r in kept.collect()]
     assert ids.count(1) == 1 and ids.count(2) == 0 and ids.count(6) == 0 and ids.count(5) == 1 and ids.count(10) == 2
     assert overlap.keep_one(docs.limit(0)).count() == 0
+
+
+def test_stage_links_by_simhash_first(spark, monkeypatch):
+    asked, links = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda values, radius: asked.append((sorted(r.fp for r in values.collect()), radius)) or links(values, radius))
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(500)]
+    rows = [(i, " ".join(words + ["end"] * i)) for i in range(3)] + [(3, " ".join(reversed(words)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(r.doc_id for r in dict(corpus_pipeline.STAGES)["SimHash near-dedup"](spark, docs, "").collect())
+    prints = {simhash.majority(overlap.shingles(t.encode())) for _, t in rows}
+    assert asked == [(sorted(prints), simhash.RADIUS)] and got == [0, 3]
+    found = overlap.nodes(docs)
+    near, _ = overlap.compared(overlap.fingerprint_pairs(found, simhash.RADIUS), docs, found, overlap.SHINGLE)
+    assert near.count() == 2  # the copies are joined by their fingerprints alone
