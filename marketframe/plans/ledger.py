@@ -318,6 +318,7 @@ def profit_attribution(m):
            JOIN (SELECT account, avg(equity) AS me, avg(cash / equity) AS average_cash_weight, greatest((max(date) - min(date)) / 365.25, 1 / 365.25) AS years FROM account_nav GROUP BY account) e USING (account)""",
        floats="annual_trades commission slippage floor_surcharge minimum_fee_fraction total_cost_of_initial cost_bps_per_year annual_turnover median_ticket average_cash_weight tiny_ticket_fraction", digits=4)
 def trade_statistics(m):
+    m.store_trades("o_orderpriority", "p_type", "l_returnflag", "l_linenumber", "l_quantity", "l_extendedprice")
     return L.trade_statistics(fills(m), nav(m), bps=1.5, minimum=5.0, initial_cash=CASH0)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,6 +49,16 @@ def work_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def write_once(df: DataFrame, name: str) -> DataFrame:
+    """Write a large ``df`` as Parquet to the work folder (see ``work_folder``) and go on from the files.
+
+    A checkpoint keeps whole rows, uncompressed; these files are smaller, and a reader takes its columns only.
+    """
+    path = f"{work_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the reliable checkpoint folder (see ``work_folder``) and go on from there."""
     work_folder(df.sparkSession)

@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from marketframe.functions.timeseries import clip
 from marketframe.operators.panel import complete_panel, number_sessions
-from marketframe.session import cut_lineage
+from marketframe.session import cut_lineage, write_once
 
 # The allocation universe of six part types.
 TYPE_ASSETS = [
@@ -80,6 +80,17 @@ class Market:
             self._memo[settled] = self._memo[key] = cut_lineage(build())
         return self._memo[settled]
 
+    def store(self, key: str, build) -> DataFrame:
+        """Like ``settle``, for tables about as large as the trades."""
+        stored = ("stored", key)
+        if stored not in self._memo:
+            self._memo[stored] = self._memo[key] = write_once(build(), key)
+        return self._memo[stored]
+
+    def store_trades(self, *columns: str) -> None:
+        """Join the trades once, with the columns that a query reads, when several of its branches read all of them."""
+        self.trades = self.store("trades", lambda: self.trades.select(*columns, "date"))
+
     # --- calendar ---------------------------------------------------------
 
     @cached_property

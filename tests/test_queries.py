@@ -32,3 +32,27 @@ def test_every_twin_has_a_query():
 def test_flagship(spark):
     df = entry.entry(spark)
     assert df.columns == ["date", "symbol", "score", "rank"]
+
+
+def reads_of(monkeypatch, spark, name):
+    """How often a query joins the trades."""
+    from marketframe.sources import market
+
+    made = []
+    plain = market.Market.__dict__["trades"].func
+    monkeypatch.setattr(market.Market, "trades", property(lambda m: m._memo.get(("stored", "trades")) or made.append(name) or plain(m), lambda m, df: None))
+    entry.queries()[name](spark, FOLDER)
+    return len(made)
+
+
+def test_trade_statistics_join_the_trades_once(spark, monkeypatch):
+    assert reads_of(monkeypatch, spark, "a12_trade_statistics") == 1
+
+
+def test_tilted_allocation_settles_its_bars_and_rates(spark, monkeypatch):
+    from marketframe.sources import market
+
+    kept, plain = [], market.Market.settle
+    monkeypatch.setattr(market.Market, "settle", lambda m, key, build: kept.append(key) or plain(m, key, build))
+    entry.queries()["k07_adaptive_tilted"](spark, FOLDER)
+    assert kept == [("bars", "p_type"), "rates"]
