@@ -211,7 +211,7 @@ FROM (SELECT *, {_ranks} FROM factor_raw))""")
 def factor_panel(m: Market) -> DataFrame:
     """Month-first members with revision, surprise, quality, industry, size and price factors."""
     m.settle(("bars", "p_brand"), lambda: m.bars("p_brand"))
-    m.settle("estimates", lambda: estimates(m))
+    m.store("estimates", lambda: estimates(m))
     days = cutoffs(m).where("session_no > 63")
     base = pool(m).join(days.select("date", "cutoff"), "date")
     revision = G.analyst_revision(G.paired_estimates(estimates(m), revision_dates(m))).withColumnRenamed("ts_code", "symbol")
