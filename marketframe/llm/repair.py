@@ -27,6 +27,7 @@ The file format is a Parquet table that Spark writes and reads, a row per block:
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -42,12 +43,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
+from marketframe.llm.common import gives_back
+
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 BLOCK_IDS = 1 << 20
 PAIRS_A_ROUND, MIN_COUNT, ROUNDS = 4096, 8, 8
-#: Words that a worker remembers, and texts that it encodes at once.
-REMEMBERED, TOGETHER = 1 << 18, 256
+#: Words that a worker remembers, texts that it encodes at once, and the most texts and characters of one call of the library.
+REMEMBERED, TOGETHER = 1 << 17, 64
+CALL_TEXTS, CALL_CHARACTERS = 1 << 11, 1 << 16
 
 SCHEMA = ("shard int, block int, doc_ids binary, doc_nulls binary, lengths binary, left binary, right binary, "
           "spans binary, symbols binary, base long, n_ids long")
@@ -74,10 +78,42 @@ class Encoder:
         self.library = tokenizer(vocabulary)
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        # bytes of each token; a byte-level vocabulary writes a character for a byte
+        sizes = np.zeros(self.library.get_vocab_size(with_added_tokens=True), np.int64)
+        for token, i in self.library.get_vocab(with_added_tokens=True).items():
+            sizes[i] = len(token)
+        self.sizes = sizes
 
     def whole(self, texts: list[str]) -> list[bytes]:
+        """Ids of every text; the library keeps several hundred bytes for each, so it gets a bounded part of them at a time."""
+        out: list[bytes] = []
+        first = held = 0
+        for i, text in enumerate(texts):
+            if i - first == CALL_TEXTS or (i > first and held + len(text) > CALL_CHARACTERS):
+                out += self.call(texts[first:i])
+                first, held = i, 0
+            held += len(text)
+        return out + self.call(texts[first:])
+
+    def call(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word with a space before it: a part of them goes as one text, which is cut where the words' bytes end."""
+        out: list[bytes] = []
+        for at in range(0, len(words), CALL_TEXTS):
+            part = [" " + w for w in words[at : at + CALL_TEXTS]]
+            text = "".join(part)
+            ids = np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
+            stops, ends = np.cumsum([len(w.encode()) for w in part]), np.cumsum(self.sizes[ids])
+            cuts = np.searchsorted(ends, stops)
+            if any(t in text for t in self.added) or cuts[-1] + 1 != len(ids) or (ends[cuts] != stops).any():
+                out += self.whole(part)  # the words' ids are not side by side in the text's
+            else:
+                raw, cuts = ids.tobytes(), [0, *(4 * (cuts + 1)).tolist()]
+                out += [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+        return out
+
     def splits(self, text: str) -> bool:
         """Whether the text's words can be taken one by one."""
         if not _PLAIN.fullmatch(text) or text[0] in " \n" or text[-1] in " \n":
@@ -93,7 +129,7 @@ class Encoder:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         new = [w for w in wanted if w not in self.known]
-        self.known.update(zip(new, self.whole([" " + w for w in new])))
+        self.known.update(zip(new, self.words(new)))
         # what has no space before it, or goes whole
         rest = [i for i, t in enumerate(texts) if t]
         heads = dict(zip(rest, self.whole([split[i][0] if split[i] else texts[i] for i in rest])))
@@ -230,7 +266,9 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id: int
     kinds = {"int": pa.int32(), "binary": pa.binary(), "long": pa.int64()}
     schema = pa.schema([(n, kinds[k]) for n, k in (field.split() for field in SCHEMA.split(", "))])
 
+    @gives_back
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library's threads would each hold memory
         shard, encode = TaskContext.get().partitionId(), Encoder(vocabulary)
         base = max(encode.library.get_vocab_size(with_added_tokens=True), end_id + 1)
         end = np.array([end_id], "<u4").tobytes()
@@ -264,6 +302,7 @@ def read(spark, path: str) -> DataFrame:
         "inside", F.sum("n_ids").over(Window.partitionBy("shard").orderBy("block")) - F.col("n_ids"))
     starts = inside.join(before, "shard").select("shard", "block", (F.col("before") + F.col("inside")).alias("start"))
 
+    @gives_back
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):

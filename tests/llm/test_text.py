@@ -1,6 +1,7 @@
 """Host rules, BPE round trip, token blocks and language: edge cases and plain versions."""
 
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -131,3 +132,14 @@ def test_language_on_odd_rows(spark):
     assert zlang.predict_one("text", []) == ("und", 0.0)
     assert zlang.predict_one("text", zlang.compressors({"en": b"some text here"})) == ("en", 1.0)
     assert zlang.predict_one("12 34 !", zlang.compressors({"en": b"some text here"})) == ("und", 0.0)
+
+
+def test_library_gets_bounded_parts():
+    encode = repair.Encoder()
+    sizes, call = [], encode.call
+    encode.call = lambda texts: sizes.append((len(texts), sum(map(len, texts)))) or call(texts)
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(900)) for _ in range(20)] + ["a  b " * 30_000, "c  d"]
+    got = encode(texts)
+    assert got == [np.array(repair.tokenizer().encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert all(n <= repair.CALL_TEXTS and (n == 1 or c <= repair.CALL_CHARACTERS) for n, c in sizes)
