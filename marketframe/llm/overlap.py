@@ -13,7 +13,12 @@ shares, so a common line or passage seldom makes candidates; it decides on cost
 Texts with equal sets are one node. Nodes that share a first shingle form a bucket. After the
 links of SimHash, in a second round each node is compared with the smallest of its buckets, in a
 third with the members of its buckets, both times only if the links so far have not joined the
-two, so a large group of near copies does not cost the square of its size. Every comparison is of the whole sets (of 64-bit hashes).
+two, so a large group of near copies does not cost the square of its size.
+
+Each node has a bitmap of its set, two to four bits a shingle. A bit that one side alone has
+stands for a shingle that the other lacks, so two bitmaps bound what their sets share from
+above. Only pairs whose bound reaches the similarity have their sets fetched, and the whole
+sets (of 64-bit hashes) decide.
 
 * A null, empty or blank text has an empty set; such texts are copies of each other.
 * A text of fewer words than a shingle has one shingle, all its words.
@@ -84,6 +89,25 @@ def similar(a: bytes, b: bytes) -> bool:
     return SIMILARITY[1] * both >= SIMILARITY[0] * (len(x) + len(y) - both)
 
 
+def bitmap(hashes: np.ndarray) -> bytes:
+    """A bit for each shingle, by the low bits of its hash, in a power of two of bits."""
+    size = max(64, 1 << (2 * len(hashes) - 1).bit_length()) if len(hashes) else 64
+    bits = np.zeros(size, bool)
+    bits[(hashes & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def may_reach(a: bytes, n: int, b: bytes, m: int) -> bool:
+    """Whether sets of ``n`` and ``m`` shingles with these bitmaps may reach the similarity; never false for a pair that does."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] | y[len(y) // 2 :]
+    both = min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
+    return SIMILARITY[1] * both >= SIMILARITY[0] * (n + m - both)
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """``docs`` with ``__id`` (null ids last) and ``__th``, a hash of the text."""
     return docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_LAST))).withColumn("__th", F.xxhash64(raw("text")))
@@ -106,10 +130,10 @@ def common_shingles(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def nodes(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """Each distinct set: its hash ``sid``, SimHash ``fp``, size ``n``, first shingles ``keys`` and the smallest (id, text) that has it."""
+    """Each distinct set: its hash ``sid``, SimHash ``fp``, size ``n``, ``bits``, first shingles ``keys`` and the smallest (id, text) that has it."""
     common = common_shingles(docs, size)
 
-    @F.pandas_udf("struct<sid:long,fp:long,n:int,keys:array<long>>")
+    @F.pandas_udf("struct<sid:long,fp:long,n:int,bits:binary,keys:array<long>>")
     @gives_back
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
@@ -117,11 +141,12 @@ def nodes(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
             yield pd.DataFrame({
                 "sid": np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64),
                 "fp": np.array([simhash.majority(s) for s in sets], np.int64), "n": [len(s) for s in sets],
+                "bits": [bitmap(s) for s in sets],
                 "keys": [prefix(s, common).view(np.int64) for s in sets]})
 
     sets = keyed(docs).select("__id", "__th", run(raw("text")).alias("s")).select("__id", "__th", "s.*")
     first = F.min(F.struct("__id", "__th")).alias("rep")
-    return settle(sets.groupBy("sid").agg(first, F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
+    return settle(sets.groupBy("sid").agg(first, *[F.first(c).alias(c) for c in ("fp", "n", "bits", "keys")]), "nodes")
 
 
 def buckets(found: DataFrame) -> DataFrame:
@@ -156,8 +181,19 @@ def joined(links: DataFrame) -> DataFrame:
 def compared(pairs: DataFrame, docs: DataFrame, found: DataFrame, size: int, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The rows of ``pairs`` (``a``, ``b``) whose sets are similar, and all sets at hand.
 
-    Only the texts that a pair names leave their files, and of these only the ones whose set is not in ``known``.
+    Pairs that their bitmaps rule out go first. Only the texts that one of the others names leave
+    their files, and of these only the ones whose set is not in ``known``.
     """
+
+    @F.pandas_udf("boolean")
+    @gives_back
+    def room(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for columns in batches:
+            yield pd.Series([may_reach(*row) for row in zip(*columns)], dtype=bool)
+
+    for side in ("a", "b"):
+        pairs = pairs.join(found.select(F.col("sid").alias(side), F.col("bits").alias(f"bits_{side}"), F.col("n").alias(f"n_{side}")), side)
+    pairs = settle(pairs.where(room("bits_a", "n_a", "bits_b", "n_b")).select("a", "b"), "pairs")
     named = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     if known is not None:
         named = named.join(known.select("sid"), "sid", "left_anti")
@@ -195,7 +231,7 @@ def compared(pairs: DataFrame, docs: DataFrame, found: DataFrame, size: int, kno
     met = pairs.join(sets.select(F.col("sid").alias("a"), F.col("set").alias("set_a")), "a")
     met = met.join(sets.select(F.col("sid").alias("b"), F.col("set").alias("set_b")), "b")
     links = settle(met.where(reach("set_a", "set_b")).select("a", "b"), "links")
-    discard(needed)
+    discard(needed, pairs)
     return links, sets
 
 
@@ -203,7 +239,7 @@ def groups(docs: DataFrame, size: int = SHINGLE, radius: int = simhash.RADIUS) -
     """``root`` and the smallest (id, text) ``rep`` of each distinct set of ``docs``."""
     whole = nodes(docs, size)
     held = buckets(whole)
-    found = settle(whole.select("sid", "fp", "n", "rep"), "found")
+    found = settle(whole.select("sid", "fp", "n", "bits", "rep"), "found")
     discard(whole)
     close = fingerprint_pairs(found, radius)
     linked, sets = compared(close, docs, found, size)

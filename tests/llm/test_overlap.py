@@ -2,8 +2,10 @@
 
 import random
 
+import numpy as np
 import pytest
 from llm_tables import documents
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from marketframe.llm import overlap, simhash
@@ -83,3 +85,32 @@ def test_stage_links_by_simhash_first(spark, monkeypatch):
     found = overlap.nodes(docs)
     near, _ = overlap.compared(overlap.fingerprint_pairs(found, simhash.RADIUS), docs, found, overlap.SHINGLE)
     assert near.count() == 2  # the copies are joined by their fingerprints alone
+
+
+def test_bitmaps_never_rule_out_a_similar_pair():
+    rng = np.random.default_rng(8)
+    ruled_out = 0
+    for n in [0, 1, 2, 5, 31, 32, 33, 400, 3000] * 20:
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < rng.choice([0.3, 0.8, 0.9, 1])], rng.integers(0, 1 << 63, rng.integers(0, n // 4 + 2), dtype=np.uint64)]))
+        may = overlap.may_reach(overlap.bitmap(a), len(a), overlap.bitmap(b), len(b))
+        assert may == overlap.may_reach(overlap.bitmap(b), len(b), overlap.bitmap(a), len(a))
+        if len(a) + len(b):
+            assert may or not overlap.similar(a.tobytes(), b.tobytes())
+        ruled_out += not may
+    assert ruled_out > 40
+
+
+def test_only_sets_that_may_be_similar_are_fetched(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(900)]
+    shared = [rng.choice(words) for _ in range(60)]
+    far = [" ".join(shared + [rng.choice(words) for _ in range(120)]) for _ in range(20)]
+    near = [far[0] + " end", far[1] + " end"]
+    docs = spark.createDataFrame(list(enumerate(far + near)), "doc_id long, text string")
+    found = overlap.nodes(docs)
+    sid = F.col("sid")
+    pairs = found.select(sid.alias("a")).join(found.select(sid.alias("b"))).where("a < b")
+    links, sets = overlap.compared(pairs, docs, found, overlap.SHINGLE)
+    assert links.count() == 2
+    assert sets.count() == 4  # of 22, which all pairs name
