@@ -60,3 +60,29 @@ def with_spread_ranks(df: DataFrame, columns: list[str], keys: list[str], suffix
         own = {k: f"__k{i}" for i, k in enumerate(keys)} | {c: "__v"}
         df = _met(df, average_ranks(df, c, keys), own, "left").withColumnRenamed("__rank", c + suffix)
     return df
+
+
+def with_subset_ranks(df: DataFrame, whole: DataFrame, column: str, among: dict[str, Column], group: str) -> DataFrame:
+    """Average-tie percentile ranks of ``column`` among several subsets of a group at once, a column for each name in ``among``.
+
+    ``among`` has a subset's condition on the row; rows outside it and missing values have no rank. ``group`` is never
+    null (a struct of keys may hold nulls). ``whole`` has the rows of ``df`` and gives the totals of the buckets, so
+    that calls in a row need not compute ``df`` again. Rows are shuffled once, by group and bucket; a missing value
+    goes to a bucket by the hash of its row.
+    """
+    x = F.col(column)
+    flags = {n: F.when(x.isNotNull() & c, 1).otherwise(0) for n, c in among.items()}
+    totals = whole.where(x.isNotNull()).groupBy(group, bucket(x).alias("__b")).agg(*[F.sum(f).alias(f"__n_{n}") for n, f in flags.items()])
+    every = Window.partitionBy(group)
+    running = every.orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
+    totals = totals.select(group, "__b", *[e for n in among for e in (
+        (F.sum(f"__n_{n}").over(running) - F.col(f"__n_{n}")).alias(f"__below_{n}"), F.sum(f"__n_{n}").over(every).alias(f"__all_{n}"))])
+    spread = F.pmod(F.xxhash64(*[c for c in df.columns if c != group]), F.lit(4 * ONE)) + 8 * ONE
+    placed = df.withColumn("__b", F.when(x.isNull(), spread).otherwise(bucket(x)))
+    placed = placed.join(totals.hint("shuffle_hash"), [group, "__b"], "left")
+    order = Window.partitionBy(group, "__b").orderBy(column)  # a range takes in the ties of a value; one sort serves both
+    inside, ties = order.rangeBetween(Window.unboundedPreceding, Window.currentRow), order.rangeBetween(Window.currentRow, Window.currentRow)
+    placed = placed.withColumns({k: v for n, f in flags.items() for k, v in {f"__upto_{n}": F.sum(f).over(inside), f"__ties_{n}": F.sum(f).over(ties)}.items()})
+    ranks = [F.when(f == 1, (F.col(f"__below_{n}") + F.col(f"__upto_{n}") - (F.col(f"__ties_{n}") - 1) / 2) / F.col(f"__all_{n}")).alias(n)
+             for n, f in flags.items()]
+    return placed.select(*df.columns, *ranks)

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from marketframe.functions.ranks import percent_rank_average
 from marketframe.functions.timeseries import by_symbol, divide
-from marketframe.operators.ranking import with_spread_ranks
+from marketframe.operators.ranking import with_spread_ranks, with_subset_ranks
 
 # Weights of the composite families.
 FAMILIES = {
@@ -100,6 +100,10 @@ def ic_summary(ic: DataFrame, horizon: int) -> DataFrame:
     ).withColumn("horizon", F.lit(horizon))
 
 
+#: Products of ranks that the controlled IC sums: factor x, label y, size c, momentum m.
+PRODUCTS = [("x", "x"), ("y", "y"), ("x", "y"), ("x", "c"), ("x", "m"), ("y", "c"), ("y", "m"), ("c", "c"), ("c", "m"), ("m", "m")]
+
+
 def factor_tests(long: DataFrame, keys: list[str]) -> DataFrame:
     """Raw IC, quantile spread and controlled IC per key.
 
@@ -107,42 +111,58 @@ def factor_tests(long: DataFrame, keys: list[str]) -> DataFrame:
     ``momentum_raw``. The controlled IC correlates what is left of the factor's and
     the label's ranks after industry dummies, size rank and momentum rank: ranks are
     centred inside the industry, then the two slopes are taken out through sums of
-    products, so nothing but one row per key leaves the aggregation.
+    products. A row is shuffled once for each of the four ranked columns, by key and
+    bucket of the value, so no task holds a key's rows; then each key and industry
+    leaves its moments, combined before the shuffle. A key with a null has no
+    controlled IC. ``long`` is read five times: settle it if it is dear.
     """
-    d = long.where("value IS NOT NULL AND forward IS NOT NULL")
-    d = with_ranks(d, ["value", "forward"], keys)
-    v = F.col("value_rank")
-    top, bottom = F.when(v >= 0.8, F.col("forward")), F.when(v <= 0.2, F.col("forward"))
-    x, y = F.col("value_rank"), F.col("forward_rank")
-    raw = d.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("observations"),
-        F.corr(x, y).alias("_corr"), F.stddev_pop(x).alias("_sx"), F.stddev_pop(y).alias("_sy"),
-        F.avg(top).alias("_top"), F.avg(bottom).alias("_bottom"), F.count(top).alias("_nt"), F.count(bottom).alias("_nb"),
-        F.count_distinct("value").alias("_levels"))
-    wide = F.col("observations") >= 20
-    spread = wide & (F.col("_nt") >= 3) & (F.col("_nb") >= 3) & (F.col("_levels") > 2)
-    sloped = wide & (F.col("_sx") >= 1e-12) & (F.col("_sy") >= 1e-12)
-    raw = raw.select(
-        *keys, "observations", F.when(sloped, F.col("_corr")).alias("raw_ic"),
-        F.when(spread, F.col("_top")).alias("top_mean"), F.when(spread, F.col("_bottom")).alias("bottom_mean"),
-        F.when(spread, F.col("_top") - F.col("_bottom")).alias("top_minus_bottom"))
-    joined = raw.join(controlled_ic(d, keys), keys, "left")
-    shown = F.when(wide, F.coalesce("controlled_observations", F.lit(0).cast("bigint"))).otherwise(F.lit(0).cast("bigint"))
-    return joined.withColumns({
-        "controlled_ic": F.when(wide, F.col("controlled_ic")), "controlled_observations": shown})
-
-
-def controlled_ic(d: DataFrame, keys: list[str]) -> DataFrame:
-    """Correlation of rank residuals after industry, size and momentum."""
-    control = d.where("industry IS NOT NULL AND log_market_cap IS NOT NULL AND momentum_raw IS NOT NULL")
-    names = {"x": "value", "y": "forward", "c": "log_market_cap", "m": "momentum_raw"}
-    ranked = control.select(*keys, "industry", *[percent_rank_average(F.col(c), *keys).alias(a) for a, c in names.items()])
-    inside = Window.partitionBy(*keys, "industry")
-    centred = ranked.select(*keys, "industry", *[(F.col(a) - F.avg(a).over(inside)).alias(a) for a in names])
-    products = [("x", "x"), ("y", "y"), ("x", "y"), ("x", "c"), ("x", "m"), ("y", "c"), ("y", "m"), ("c", "c"), ("c", "m"), ("m", "m")]
-    s = centred.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("controlled_observations"), F.count_distinct("industry").alias("_k"),
-        *[F.sum(F.col(a) * F.col(b)).alias(a + b) for a, b in products])
+    known = ["industry", "log_market_cap", "momentum_raw"]
+    control = " AND ".join(f"{c} IS NOT NULL" for c in known)
+    d = long.where("value IS NOT NULL AND forward IS NOT NULL").select(
+        F.struct(*keys).alias("_key"), "value", "forward", *known, F.expr(control).alias("_control"))
+    inside, every = F.col("_control"), F.lit(True)
+    r = with_subset_ranks(d, d, "value", {"_x": every, "x": inside}, "_key")
+    r = with_subset_ranks(r, d, "forward", {"_y": every, "y": inside}, "_key")
+    r = with_subset_ranks(r, d, "log_market_cap", {"c": inside}, "_key")
+    r = with_subset_ranks(r, d, "momentum_raw", {"m": inside}, "_key")
+    x, y, f = F.col("_x"), F.col("_y"), F.col("forward")
+    top, bottom = F.when(x >= 0.8, f), F.when(x <= 0.2, f)
+    n = F.count(F.lit(1))
+    parts = r.groupBy("_key", "industry").agg(
+        n.alias("_n"), F.avg(x).alias("_ax"), F.avg(y).alias("_ay"), F.min(x).alias("_x0"), F.max(x).alias("_x1"),
+        (F.covar_pop(x, x) * n).alias("_xx"), (F.covar_pop(y, y) * n).alias("_yy"), (F.covar_pop(x, y) * n).alias("_xy"),
+        F.sum(top).alias("_top"), F.sum(bottom).alias("_bottom"), F.count(top).alias("_nt"), F.count(bottom).alias("_nb"),
+        F.count("x").alias("_cn"), *[(F.covar_pop(F.col(a), F.col(b)) * F.count("x")).alias(a + b) for a, b in PRODUCTS])
+    # a row per key and industry from here on; moments about an industry's mean become moments about the key's
+    w = Window.partitionBy("_key")
+    mean = {a: F.sum(F.col(a) * F.col("_n")).over(w) / F.sum("_n").over(w) for a in ("_ax", "_ay")}
+    parts = parts.withColumns({"_dx": F.col("_ax") - mean["_ax"], "_dy": F.col("_ay") - mean["_ay"]})
+
+    def about(moment: str, a: str, b: str) -> Column:
+        return F.sum(F.col(moment) + F.col("_n") * F.col(a) * F.col(b))
+
+    s = parts.groupBy("_key").agg(
+        F.sum("_n").alias("observations"), about("_xx", "_dx", "_dx").alias("_xx"), about("_yy", "_dy", "_dy").alias("_yy"),
+        about("_xy", "_dx", "_dy").alias("_xy"), F.min("_x0").alias("_x0"), F.max("_x1").alias("_x1"),
+        *[F.sum(c).alias(c) for c in ("_top", "_bottom", "_nt", "_nb")], F.sum("_cn").alias("controlled_observations"),
+        F.count(F.when(F.col("_cn") > 0, 1)).alias("_k"), *[F.sum(a + b).alias(a + b) for a, b in PRODUCTS])
+    count, wide = F.col("observations"), F.col("observations") >= 20
+    # the lowest and the highest rank tell how many rows tie there; a third level is what is left
+    at_ends = F.round(2 * F.col("_x0") * count) - 1 + F.round(2 * (1 - F.col("_x1")) * count) + 1
+    spread = wide & (F.col("_nt") >= 3) & (F.col("_nb") >= 3) & (F.col("_x0") < F.col("_x1")) & (at_ends < count)
+    sloped = wide & (F.sqrt(F.col("_xx") / count) >= 1e-12) & (F.sqrt(F.col("_yy") / count) >= 1e-12)
+    s = controlled_ic(s).withColumns({
+        "raw_ic": F.when(sloped, F.col("_xy") / F.sqrt(F.col("_xx") * F.col("_yy"))),
+        "top_mean": F.when(spread, F.col("_top") / F.col("_nt")), "bottom_mean": F.when(spread, F.col("_bottom") / F.col("_nb"))})
+    named = wide & ~F.greatest(*[F.col(f"_key.{k}").isNull() for k in keys], F.lit(False))
+    return s.select(
+        *[F.col(f"_key.{k}").alias(k) for k in keys], "observations", "raw_ic", "top_mean", "bottom_mean",
+        (F.col("top_mean") - F.col("bottom_mean")).alias("top_minus_bottom"), F.when(named, F.col("controlled_ic")).alias("controlled_ic"),
+        F.when(named, F.col("controlled_observations")).otherwise(F.lit(0).cast("bigint")).alias("controlled_observations"))
+
+
+def controlled_ic(s: DataFrame) -> DataFrame:
+    """Correlation of rank residuals after industry, size and momentum, from the sums of centred products."""
 
     def share(a: Column, b: Column, size: Column) -> Column:
         return F.when(size > 1e-12, a * b / size).otherwise(0.0)
@@ -160,8 +180,7 @@ def controlled_ic(d: DataFrame, keys: list[str]) -> DataFrame:
         "rxy": left_over("xy", "xc", "yc", "xm_", "ym_")})
     n = F.col("controlled_observations")
     enough = n >= F.greatest(F.lit(30), F.col("_k") + 2 + 10)
-    return s.select(*keys, "controlled_observations", F.when(
-        enough, safe_corr(n, F.col("rxy"), F.col("rxx"), F.col("ryy"))).alias("controlled_ic"))
+    return s.withColumn("controlled_ic", F.when(enough, safe_corr(n, F.col("rxy"), F.col("rxx"), F.col("ryy"))))
 
 
 def factor_summary(monthly: DataFrame, keys: list[str]) -> DataFrame:

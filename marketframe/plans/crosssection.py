@@ -66,7 +66,8 @@ def research_long(m: Market) -> DataFrame:
     horizons = F.explode(F.array(
         F.struct(F.lit(1).alias("horizon"), F.col("fwd1").alias("forward")), F.struct(F.lit(3).alias("horizon"), F.col("fwd3").alias("forward"))))
     keep = ["symbol", "date", "industry", "log_market_cap", "momentum_raw", "horizon", "forward"]
-    wide = research_panel(m).withColumn("_h", horizons).select(*keep[:5], "f1", "f2", "f3", "_h.*")
+    panel = m.store("research", lambda: research_panel(m))  # the factor tests read it five times
+    wide = panel.withColumn("_h", horizons).select(*keep[:5], "f1", "f2", "f3", "_h.*")
     return wide.unpivot(keep, ["f1", "f2", "f3"], "factor", "value")
 
 

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketframe.functions.ranks import percent_rank_average
-from marketframe.operators.ranking import average_ranks, bucket, with_spread_ranks
+from marketframe.operators import xsection as X
+from marketframe.operators.ranking import average_ranks, bucket, with_spread_ranks, with_subset_ranks
 
 ODD = [0.0, -0.0, math.inf, -math.inf, math.nan, math.nan, 5e-324, -5e-324, 1.7e308, -1.7e308, None, None, 1.0, 1.0, -1.0]
 
@@ -50,3 +51,34 @@ def test_buckets_never_fall(spark):
     values = sorted([v for v in ODD if v is not None and v == v] + [rng.gauss(0, 1) * 10 ** rng.randint(-12, 12) for _ in range(3_000)])
     got = [r.b for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select("i", bucket(F.col("v")).alias("b")).orderBy("i").collect()]
     assert got == sorted(got)
+
+
+def factor_rows(seed, dates):
+    rng = random.Random(seed)
+    out = []
+    for d in dates:
+        for i in range(rng.choice([15, 40, 90])):
+            out.append((d, rng.choice(["a", "b", "c", None]), rng.choice([None, math.nan, float(rng.randint(0, 5)), rng.gauss(0, 1)]), rng.choice([None, rng.gauss(0, 1)] + [0.5] * 2),
+                        rng.choice([None] + [rng.gauss(12, 1)] * 6), rng.choice([None, 0.0, -0.0] + [rng.gauss(0, 0.1)] * 6)))
+    return out
+
+
+def test_subset_ranks_are_the_window_of_the_subset(spark):
+    rows = [(i, *r) for i, r in enumerate(factor_rows(3, ["x", None, "y"] * 3))]
+    df = spark.createDataFrame(rows, "i int, d string, industry string, value double, forward double, log_market_cap double, momentum_raw double")
+    df = df.withColumn("g", F.struct("d"))
+    inside = F.col("industry").isNotNull()
+    got = with_subset_ranks(df, df, "value", {"a": F.lit(True), "b": inside}, "g")
+    got = {r.i: (r.a, r.b) for r in with_subset_ranks(got, df, "momentum_raw", {"m": inside}, "g").collect()}
+    want = {r.i: [r.a, None] for r in df.withColumn("a", percent_rank_average(F.col("value"), "d")).collect()}
+    for r in df.where(inside).withColumn("b", percent_rank_average(F.col("value"), "d")).collect():
+        want[r.i][1] = r.b
+    assert got == {i: tuple(w) for i, w in want.items()} and any(b is not None for _, b in got.values())
+
+
+def test_factor_tests_shuffle_rows_by_bucket(spark):
+    rows = factor_rows(4, ["x"])
+    df = spark.createDataFrame(rows, "d string, industry string, value double, forward double, log_market_cap double, momentum_raw double")
+    plan = X.factor_tests(df, ["d"])._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line and "__ties" not in line and "__upto" not in line]
+    assert not [line for line in windows if "rank(" in line or "industry" in line.split("Window [")[1].split("]")[0]]
