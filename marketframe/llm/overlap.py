@@ -11,14 +11,17 @@ n - ceil(SIMILARITY * n) + 1 shingles of either, in any order that is the same f
 shares, so a common line or passage seldom makes candidates; it decides on cost only.
 
 Texts with equal sets are one node. Nodes that share a first shingle form a bucket. After the
-links of SimHash, in a second round each node is compared with the smallest of its buckets, in a
-third with the members of its buckets, both times only if the links so far have not joined the
-two, so a large group of near copies does not cost the square of its size.
+links of SimHash, in a second round each node is compared with the smallest of its buckets, its
+hubs. The nodes of a hub hold all members of its buckets, and in a third round they meet each
+other: all pairs of close sizes that the links so far have not joined, in arrays within tasks.
+No pair is a row. Large hubs are split, and each pair of parts is a group of its own, so the
+rows of a hub grow with its size times its parts and no task holds more than two parts; the
+comparisons inside still grow with the square where near copies stay unjoined.
 
 Each node has a bitmap of its set, two to four bits a shingle. A bit that one side alone has
 stands for a shingle that the other lacks, so two bitmaps bound what their sets share from
-above. Only pairs whose bound reaches the similarity have their sets fetched, and the whole
-sets (of 64-bit hashes) decide.
+above. Only nodes of a pair whose bound reaches the similarity have their sets fetched, and the
+whole sets (of 64-bit hashes) decide.
 
 * A null, empty or blank text has an empty set; such texts are copies of each other.
 * A text of fewer words than a shingle has one shingle, all its words.
@@ -53,6 +56,8 @@ CHUNK = 1 << 14
 SAMPLE, COMMON = 10_000, 1 << 17
 #: Slots of the map that tells which texts a join needs.
 SLOTS = 1 << 20
+#: Nodes and shingles of a hub that one part has, about; a task holds two parts.
+MEMBERS, MEMBER_SHINGLES = 2048, 1 << 20
 
 
 def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -150,11 +155,12 @@ def nodes(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 
 def buckets(found: DataFrame) -> DataFrame:
-    """Nodes that share a first shingle, with the smallest of them."""
+    """Nodes ``sid`` that share a first shingle with a smaller one, for each smallest ``hub``; ``more`` if a third node shares it."""
     w = Window.partitionBy("key")
     rows = found.select("sid", "n", F.explode("keys").alias("key"))
-    rows = rows.withColumns({"least": F.min(F.struct("sid", "n")).over(w), "most": F.max("sid").over(w)})
-    return settle(rows.where(F.col("least.sid") < F.col("most")).select("key", "sid", "n", "least"), "buckets")
+    rows = rows.withColumns({"least": F.min(F.struct("sid", "n")).over(w), "more": F.count(F.lit(1)).over(w) > 2})
+    rows = rows.where(F.col("sid") != F.col("least.sid")).groupBy("least", "sid", "n").agg(F.max("more").alias("more"))
+    return settle(rows.select(F.col("least.sid").alias("hub"), F.col("least.n").alias("hub_n"), "sid", "n", "more"), "buckets")
 
 
 def close_sizes(a: Column, b: Column) -> Column:
@@ -178,23 +184,8 @@ def joined(links: DataFrame) -> DataFrame:
     return settle(components(links), "roots").select(F.col("node").alias("sid"), "root")
 
 
-def compared(pairs: DataFrame, docs: DataFrame, found: DataFrame, size: int, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """The rows of ``pairs`` (``a``, ``b``) whose sets are similar, and all sets at hand.
-
-    Pairs that their bitmaps rule out go first. Only the texts that one of the others names leave
-    their files, and of these only the ones whose set is not in ``known``.
-    """
-
-    @F.pandas_udf("boolean")
-    @gives_back
-    def room(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for columns in batches:
-            yield pd.Series([may_reach(*row) for row in zip(*columns)], dtype=bool)
-
-    for side in ("a", "b"):
-        pairs = pairs.join(found.select(F.col("sid").alias(side), F.col("bits").alias(f"bits_{side}"), F.col("n").alias(f"n_{side}")), side)
-    pairs = settle(pairs.where(room("bits_a", "n_a", "bits_b", "n_b")).select("a", "b"), "pairs")
-    named = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+def whole_sets(named: DataFrame, docs: DataFrame, found: DataFrame, size: int, known: DataFrame | None = None) -> DataFrame:
+    """``sid`` and ``set`` of the nodes in ``named`` and in ``known``. Only texts that one of the others names leave their files."""
     if known is not None:
         named = named.join(known.select("sid"), "sid", "left_anti")
     needed = settle(found.select("sid", "rep.*").join(named, "sid"), "needed")
@@ -219,19 +210,144 @@ def compared(pairs: DataFrame, docs: DataFrame, found: DataFrame, size: int, kno
         for texts in batches:
             yield pd.Series([shingles(t, size).tobytes() for t in texts])
 
+    texts = keyed(docs).select("__id", "__th", raw("text").alias("text")).where(wanted(slot())).join(needed, ["__id", "__th"])
+    sets = settle(texts.dropDuplicates(["sid"]).select("sid", hashes("text").alias("set")), "candidates")
+    discard(needed)
+    return sets if known is None else known.unionByName(sets)
+
+
+def compared(pairs: DataFrame, docs: DataFrame, found: DataFrame, size: int, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``pairs`` (``a``, ``b``) whose sets are similar, and all sets at hand. Pairs that their bitmaps rule out go first."""
+
+    @F.pandas_udf("boolean")
+    @gives_back
+    def room(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for columns in batches:
+            yield pd.Series([may_reach(*row) for row in zip(*columns)], dtype=bool)
+
     @F.pandas_udf("boolean")
     @gives_back
     def reach(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for left, right in batches:
             yield pd.Series([similar(a, b) for a, b in zip(left, right)], dtype=bool)
 
-    texts = keyed(docs).select("__id", "__th", raw("text").alias("text")).where(wanted(slot())).join(needed, ["__id", "__th"])
-    sets = settle(texts.dropDuplicates(["sid"]).select("sid", hashes("text").alias("set")), "candidates")
-    sets = sets if known is None else known.unionByName(sets)
+    for side in ("a", "b"):
+        pairs = pairs.join(found.select(F.col("sid").alias(side), F.col("bits").alias(f"bits_{side}"), F.col("n").alias(f"n_{side}")), side)
+    pairs = settle(pairs.where(room("bits_a", "n_a", "bits_b", "n_b")).select("a", "b"), "pairs")
+    sets = whole_sets(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), docs, found, size, known)
     met = pairs.join(sets.select(F.col("sid").alias("a"), F.col("set").alias("set_a")), "a")
     met = met.join(sets.select(F.col("sid").alias("b"), F.col("set").alias("set_b")), "b")
     links = settle(met.where(reach("set_a", "set_b")).select("a", "b"), "links")
-    discard(needed, pairs)
+    discard(pairs)
+    return links, sets
+
+
+def in_parts(rows: DataFrame) -> DataFrame:
+    """The ``rows`` (``hub``, ``sid``, ``n``, ``root``, one value) of hubs with several roots, where their groups meet.
+
+    A group is a pair of a hub's parts ``p`` and ``q``: the ``early`` rows are of ``p``, the others of ``q``; a part
+    with itself has early rows alone.
+    """
+    held = rows.groupBy("hub").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("members"), F.sum("n").alias("total"))
+    parts = F.greatest(F.ceil(F.col("members") / MEMBERS), F.ceil(F.col("total") / MEMBER_SHINGLES)).cast("int")
+    met = rows.join(held.where("lo < hi").select("hub", parts.alias("parts")), "hub")
+    met = met.withColumn("own", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    group = {"p": F.least("own", "other"), "q": F.greatest("own", "other"), "early": F.col("own") <= F.col("other")}
+    met = met.withColumns(group).drop("own", "other", "parts")
+    return met.repartition("hub", "p", "q").sortWithinPartitions("hub", "p", "q")
+
+
+def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The groups of ``in_parts``, each by ascending ``n``; its rows come one after the other."""
+    held, key = [], None
+    for batch in batches:
+        keys = np.stack([batch.column(c).to_numpy() for c in ("hub", "p", "q")], axis=1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            if b > a:
+                if held and keys[a].tolist() != key:
+                    yield pa.Table.from_batches(held).sort_by("n")
+                    held = []
+                key = keys[a].tolist()
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held).sort_by("n")
+
+
+def meeting(n: np.ndarray, early: np.ndarray, i: int) -> np.ndarray:
+    """The later rows of a group, by ascending ``n``, that row ``i`` meets: those of close size, and of the other part if there are two."""
+    part, whole = SIMILARITY
+    js = np.arange(i + 1, np.searchsorted(n, whole * int(n[i]) // part, "right"))
+    return js if early.all() else js[early[js] != early[i]]
+
+
+def hopeful(group: pa.Table) -> np.ndarray:
+    """Which rows of a group have a row of another root that their bitmaps do not rule out."""
+    n, root, early = (group.column(c).to_numpy() for c in ("n", "root", "early"))
+    words = [np.frombuffer(b, np.uint64) for b in group.column("bits").to_pylist()]
+    sizes = np.array([len(w) for w in words])
+    found = np.zeros(len(n), bool)
+    # bitmaps grow with n, at most twofold between close sizes; the larger is folded to the smaller
+    for width in np.unique(sizes).tolist():
+        at, wider = np.flatnonzero(sizes == width), np.flatnonzero(sizes == 2 * width)
+        maps = np.stack([words[j] for j in at] + [words[j][:width] | words[j][width:] for j in wider])
+        ones = np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
+        for i in at.tolist():
+            js = meeting(n, early, i)
+            js = js[root[js] != root[i]]
+            if len(js):
+                both = np.bitwise_count(maps[js - at[0]] & words[i]).sum(axis=1, dtype=np.int64)
+                most = np.minimum(n[i] - (ones[i - at[0]] - both), n[js] - (ones[js - at[0]] - both))
+                may = js[SIMILARITY[1] * most >= SIMILARITY[0] * (n[i] + n[js] - most)]
+                found[may] = True
+                found[i] |= len(may) > 0
+    return found
+
+
+def spanning(group: pa.Table) -> list[tuple[int, int]]:
+    """Pairs of rows of a group whose sets are similar, as many as join all that the similar pairs join."""
+    n, root, early = (group.column(c).to_numpy() for c in ("n", "root", "early"))
+    sets = [np.frombuffer(b, np.uint64) for b in group.column("set").to_pylist()]
+    every, own = np.unique(np.concatenate(sets), return_inverse=True)
+    own = np.split(own, np.cumsum(n)[:-1])
+    label, there, links = root.copy(), np.zeros(len(every), bool), []
+    for i in range(len(n)):
+        js = meeting(n, early, i)
+        js = js[label[js] != label[i]]
+        if not len(js):
+            continue
+        there[own[i]] = True
+        both = np.add.reduceat(there[np.concatenate([own[j] for j in js])], np.cumsum(n[js]) - n[js], dtype=np.int64)
+        there[own[i]] = False
+        for j in js[SIMILARITY[1] * both >= SIMILARITY[0] * (n[i] + n[js] - both)].tolist():
+            if label[i] != label[j]:
+                links.append((i, j))
+                label[label == label[j]] = label[i]
+    return links
+
+
+def met_at_hubs(rows: DataFrame, docs: DataFrame, found: DataFrame, size: int, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links ``a``, ``b`` that join all similar nodes of one hub with different roots, and all sets at hand; ``rows`` has ``hub``, ``sid``, ``n`` and ``root``."""
+    names = rows.columns
+
+    @gives_back
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in parts_of(batches):
+            yield from group.filter(pa.array(hopeful(group))).select(names).combine_chunks().to_batches()
+
+    @gives_back
+    def similar_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in parts_of(batches):
+            sid = group.column("sid").to_numpy()
+            pairs = np.array(spanning(group), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(sid[pairs[:, 0]]), pa.array(sid[pairs[:, 1]])], ["a", "b"])
+
+    left = in_parts(rows.join(found.select("sid", "bits"), "sid")).mapInArrow(near, rows.schema)
+    left = settle(left.distinct(), "hopeful")
+    sets = whole_sets(left.select("sid").distinct(), docs, found, size, known)
+    links = settle(in_parts(left.join(sets, "sid")).mapInArrow(similar_ones, "a long, b long"), "links")
+    discard(left)
     return links, sets
 
 
@@ -244,8 +360,7 @@ def groups(docs: DataFrame, size: int = SHINGLE, radius: int = simhash.RADIUS) -
     close = fingerprint_pairs(found, radius)
     linked, sets = compared(close, docs, found, size)
     roots = joined(linked)
-    star = held.where(F.col("sid") != F.col("least.sid")).where(close_sizes(F.col("n"), F.col("least.n")))
-    star = star.select(F.col("least.sid").alias("a"), F.col("sid").alias("b")).distinct().join(close, ["a", "b"], "left_anti")
+    star = held.where(close_sizes(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("sid").alias("b")).join(close, ["a", "b"], "left_anti")
     star = star.join(roots.select(F.col("sid").alias("a"), F.col("root").alias("root_a")), "a", "left")
     star = star.join(roots.select(F.col("sid").alias("b"), F.col("root").alias("root_b")), "b", "left")
     star = star.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
@@ -253,17 +368,10 @@ def groups(docs: DataFrame, size: int = SHINGLE, radius: int = simhash.RADIUS) -
     near, sets = compared(star, docs, found, size, sets)
     near = linked.unionByName(near)
     roots = joined(near)
-    w = Window.partitionBy("key")
-    open_ = held.select("key", "sid", "n").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    open_ = open_.withColumns({"lo": F.min("root").over(w), "hi": F.max("root").over(w)}).where("lo < hi").drop("lo", "hi")
-    open_ = settle(open_, "open")
-    discard(held)
-    other = open_.select("key", *[F.col(c).alias(f"{c}_b") for c in ("sid", "n", "root")])
-    rest = open_.join(other, "key").where((F.col("sid") < F.col("sid_b")) & (F.col("root") != F.col("root_b")) & close_sizes(F.col("n"), F.col("n_b")))
-    rest = rest.select(F.col("sid").alias("a"), F.col("sid_b").alias("b")).distinct().join(star.unionByName(close), ["a", "b"], "left_anti")
-    rest = settle(rest, "pairs")
-    discard(close, star, open_)
-    far, sets = compared(rest, docs, found, size, sets)
+    rest = held.where("more").select("hub", "sid", "n").join(roots, "sid", "left").select("hub", "sid", "n", F.coalesce("root", "sid").alias("root"))
+    rest = settle(rest, "open")
+    discard(held, close, star)
+    far, sets = met_at_hubs(rest, docs, found, size, sets)
     discard(rest, sets)
     roots = joined(near.unionByName(far))
     return found.select("sid", "rep").join(roots, "sid", "left").select(F.coalesce("root", "sid").alias("root"), "rep")

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_tables import documents
 from pyspark.sql import functions as F
@@ -114,3 +115,55 @@ def test_only_sets_that_may_be_similar_are_fetched(spark):
     links, sets = overlap.compared(pairs, docs, found, overlap.SHINGLE)
     assert links.count() == 2
     assert sets.count() == 4  # of 22, which all pairs name
+
+
+def near_copies(rng, words, n):
+    """Texts a few of whose pairs are similar, though all have most words in common."""
+    base = [rng.choice(words) for _ in range(150)]
+    return [edited(rng, base, rng.choice([0.01, 0.03, 0.04, 0.05])) for _ in range(n)]
+
+
+def as_group(sets, roots, late=()):
+    columns = {"sid": list(range(len(sets))), "n": [len(s) for s in sets], "root": roots, "early": [i not in late for i in range(len(sets))]}
+    return pa.table(columns | {"bits": [overlap.bitmap(s) for s in sets], "set": [s.tobytes() for s in sets]}).sort_by("n")
+
+
+@pytest.mark.parametrize("late", [(), range(40, 70)])
+def test_rows_of_a_group_meet(late):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(600)]
+    sets = [overlap.shingles(t.encode()) for t in [*near_copies(rng, words, 50), *[" ".join(rng.choice(words) for _ in range(rng.randint(1, 300))) for _ in range(20)]]]
+    rng.shuffle(sets)
+    roots = [rng.choice([i, i % 9]) for i in range(len(sets))]
+    group = as_group(sets, roots, late)
+    sid = group.column("sid").to_pylist()
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if roots[i] != roots[j] and (not late or (i in late) != (j in late))]
+    pairs = [(i, j) for i, j in pairs if 5 * min(len(sets[i]), len(sets[j])) >= 4 * max(len(sets[i]), len(sets[j]))]
+    may = {k for i, j in pairs if overlap.may_reach(overlap.bitmap(sets[i]), len(sets[i]), overlap.bitmap(sets[j]), len(sets[j])) for k in (i, j)}
+    assert {sid[k] for k in np.flatnonzero(overlap.hopeful(group))} == may and 0 < len(may) < len(sets)
+    links = [(sid[i], sid[j]) for i, j in overlap.spanning(group)]
+    similar = [(i, j) for i, j in pairs if overlap.similar(sets[i].tobytes(), sets[j].tobytes())]
+    assert {(max(p), min(p)) for p in links} <= set(similar) and len(links) < len(similar)
+
+    def joined(edges):
+        label = list(roots)
+        for i, j in edges:
+            label = [label[i] if x == label[j] else x for x in label]
+        return {frozenset(k for k in range(len(sets)) if label[k] == x) for x in label}
+
+    assert joined(links) == joined(similar)
+
+
+def test_pairs_of_a_large_group_are_no_rows_and_none_is_lost(spark, monkeypatch):
+    compared, asked = overlap.compared, []
+    monkeypatch.setattr(overlap, "compared", lambda pairs, *rest: asked.append(pairs.count()) or compared(pairs, *rest))
+    monkeypatch.setattr(overlap, "MEMBERS", 8)  # large hubs are split
+    rng = random.Random(14)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(600)]
+    base = [rng.choice(words) for _ in range(150)]
+    texts = [edited(rng, base, 0.05) for _ in range(80)] + [edited(rng, base, 0.02) for _ in range(40)]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(r.doc_id for r in overlap.keep_one(docs).collect())
+    assert got == plain_kept(rows) and 40 < len(got) < 110
+    assert sum(asked) < 120 * 119 / 2 / 4  # pairs of the whole group
