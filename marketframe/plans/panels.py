@@ -161,7 +161,7 @@ def priced(m: Market) -> DataFrame:
 
 def pool(m: Market, delay: int = 0) -> DataFrame:
     """Eligible members of each month's first session without a warning in their name."""
-    dates = P.month_firsts(m.sessions).select("date")
+    dates = cutoffs(m).select("date")
     inside = asof.members_on(dates, D.members(m))
     live = priced(m).where("eligible").select("symbol", "date", "momentum_raw", "volatility")
     named = inside.where(F.col("symbol").startswith("Brand#")).join(flagged_names(m, dates), ["date", "symbol"], "left_anti")
@@ -208,18 +208,37 @@ SELECT *, {_mean_sql(list(X.GROUPS), 2)} AS balanced FROM (SELECT *, {', '.join(
 FROM (SELECT *, {_ranks} FROM factor_raw))""")
 
 
+def store_panel_parts(m: Market) -> None:
+    """Join the trades once, and write the tables that several branches of the factor panel read.
+
+    As one plan the panel has more than a hundred shuffles. The driver plans all of what is left of it anew
+    after each, and holds its plans, their texts and their generated code, so it works through the panel part by part.
+    """
+    m.store_sessions()
+    m.store("cutoffs", lambda: cutoffs(m))
+    m.store_trades("p_brand", "p_type", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag")
+    m.store(("bars", "p_brand"), lambda: m.bars("p_brand"))
+    m.store("estimates", lambda: estimates(m))
+    m.settle("statements", lambda: D.statements(m))
+    for kind in G.KINDS:
+        m.store(("prepared", kind), lambda: prepared(m, kind))
+    m.store(("members", 12), lambda: D.members(m))
+    m.store("names", lambda: D.names(m))
+    m.store("industries", lambda: D.industries(m))
+
+
 def factor_panel(m: Market) -> DataFrame:
     """Month-first members with revision, surprise, quality, industry, size and price factors."""
-    m.settle(("bars", "p_brand"), lambda: m.bars("p_brand"))
-    m.store("estimates", lambda: estimates(m))
+    store_panel_parts(m)
     days = cutoffs(m).where("session_no > 63")
-    base = pool(m).join(days.select("date", "cutoff"), "date")
-    revision = G.analyst_revision(G.paired_estimates(estimates(m), revision_dates(m))).withColumnRenamed("ts_code", "symbol")
-    quality = financials(m).withColumnRenamed("ts_code", "symbol")
-    industry = industry_at(m, days.select("date")).withColumnRenamed("ts_code", "symbol")
+    base = m.store("pool", lambda: pool(m)).join(days.select("date", "cutoff"), "date")
+    revision = m.store("revisions", lambda: G.analyst_revision(G.paired_estimates(estimates(m), revision_dates(m)))).withColumnRenamed("ts_code", "symbol")
+    quality = m.store("financials", lambda: financials(m)).withColumnRenamed("ts_code", "symbol")
+    recent = m.store("recent", lambda: G.recent_events(surprises(m), days))
+    industry = m.store("industry_at", lambda: industry_at(m, days.select("date"))).withColumnRenamed("ts_code", "symbol")
     size = D.valuations(m).select("symbol", "date", F.when(F.col("total_mv") > 0, F.ln(F.col("total_mv") * 10000)).alias("log_market_cap"))
     f = (base.join(revision, ["date", "symbol"], "left").join(quality, ["cutoff", "symbol"], "left")
-         .join(G.recent_events(surprises(m), days), ["cutoff", "symbol"], "left")
+         .join(recent, ["cutoff", "symbol"], "left")
          .join(industry, ["date", "symbol"], "left").join(size, ["date", "symbol"], "left"))
     f = f.withColumns({c: finite(F.col(c)) for c in X.RAW_FACTORS})
     return m._once("factor_panel", lambda: X.factor_scores(f, ["date"]))

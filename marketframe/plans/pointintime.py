@@ -18,7 +18,7 @@ STMT = "ts_code, end_date, available_at"
 
 def cutoffs(m: Market) -> DataFrame:
     """First session of each month with its 18:30 cutoff."""
-    return P.month_firsts(m.sessions).select("date", "session_no", asof.cutoff_of(F.col("date")).alias("cutoff"))
+    return m._once("cutoffs", lambda: P.month_firsts(m.sessions).select("date", "session_no", asof.cutoff_of(F.col("date")).alias("cutoff")))
 
 
 def prepared(m: Market, kind: str) -> DataFrame:
@@ -248,7 +248,7 @@ def revision_dates(m: Market) -> DataFrame:
     """Month-first sessions with the session 63 before."""
     w = Window.orderBy("date")
     return (m.sessions.withColumn("before", F.lag("date", 63).over(w))
-            .join(P.month_firsts(m.sessions).select("date"), "date", "left_semi")
+            .join(cutoffs(m).select("date"), "date", "left_semi")
             .where("before IS NOT NULL").select("date", F.col("date").alias("at"), "before"))
 
 

@@ -17,6 +17,9 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+#: Whether Spark removes the shuffle files of a query as it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
     """A local session for tests and benchmarks; a cluster job brings its own."""
@@ -53,10 +56,17 @@ def write_once(df: DataFrame, name: str) -> DataFrame:
     """Write a large ``df`` as Parquet to the work folder (see ``work_folder``) and go on from the files.
 
     A checkpoint keeps whole rows, uncompressed; these files are smaller, and a reader takes its columns only.
+    The shuffle files behind ``df`` go once it is written: nothing reads them any more.
     """
-    path = f"{work_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -80,17 +80,21 @@ class Market:
             self._memo[settled] = self._memo[key] = cut_lineage(build())
         return self._memo[settled]
 
-    def store(self, key: str, build) -> DataFrame:
-        """Like ``settle``, for tables about as large as the trades."""
+    def store(self, key, build) -> DataFrame:
+        """Like ``settle``, for tables about as large as the trades, and for small ones whose readers should know their size."""
         stored = ("stored", key)
         if stored not in self._memo:
-            self._memo[stored] = self._memo[key] = write_once(build(), key)
+            self._memo[stored] = self._memo[key] = write_once(build(), key if isinstance(key, str) else "-".join(map(str, key)))
         return self._memo[stored]
 
     def store_trades(self, *columns: str) -> None:
         """Join the trades once, with the columns that a query reads, when several of its branches read all of them."""
         self.trades = self.store("trades", lambda: self.trades.select(*columns, "date"))
 
+    def store_sessions(self) -> None:
+        """Write the calendar once, when many branches of a query would each read the orders for it."""
+        self.sessions = self.store("sessions", lambda: self.sessions)
+
     # --- calendar ---------------------------------------------------------
 
     @cached_property
