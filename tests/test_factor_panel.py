@@ -12,7 +12,7 @@ from marketframe.plans import registry
 from marketframe.sources import market
 
 QUERIES = ["a09_coverage_counts", "g10_availability_audit", "g10_factor_panel", "x03_group_scores"]
-#: Most shuffles of one plan; as a single plan the panel had 206.
+#: Most shuffles of one plan; as a single plan the panel had 121.
 SHUFFLES = 30
 
 
